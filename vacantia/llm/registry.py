@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from vacantia.llm import mixing
+from vacantia.llm import decontaminate, mixing
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1,
         "op8_mix_sources": mixing.op8,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op1_decontaminate": decontaminate.ORACLE,
         "op8_mix_sources": mixing.ORACLE,
     }
