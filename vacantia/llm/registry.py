@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vacantia.llm import decontaminate, mixing
+from vacantia.llm import decontaminate, mixing, token_files
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1,
+        "op3_token_files": token_files.op3,
         "op8_mix_sources": mixing.op8,
     }
 
