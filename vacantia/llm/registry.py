@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from vacantia.llm import decontaminate, mixing, token_files
+from vacantia.llm import decontaminate, language, mixing, quality, secrets, token_files, topk
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1,
+        "op2_quality": quality.op2,
         "op3_token_files": token_files.op3,
+        "op4_topk_search": topk.op4,
+        "op7_language": language.op7,
         "op8_mix_sources": mixing.op8,
+        "op9_secrets": secrets.op9,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
+        "op4_topk_search": topk.ORACLE,
         "op8_mix_sources": mixing.ORACLE,
     }
