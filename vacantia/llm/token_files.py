@@ -16,6 +16,7 @@ ids stand in the order of their texts. An empty table gives no shard. Other colu
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,25 +39,62 @@ MANIFEST = "shard string, n_tokens bigint, n_docs bigint, low bigint"
 
 class Encoder:
     """Ids of whole texts. A tokenizer that neither keeps nor joins over white space encodes the words
-    between spaces and line ends one by one, so each distinct word is encoded once and remembered."""
+    between spaces and line ends one by one, so each distinct word is encoded once and remembered.
+
+    New words are encoded together, with a mark between them that no text of the shard contains; its
+    ids show where each word ends. ASCII texts are put in lower case first, as the tokenizer does.
+    """
+
+    MARK = "\x01"
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        mark, both = self._ids(self.MARK), self._ids(f"a {self.MARK} A")
+        # One id that stands alone, and letters whose case doesn't count.
+        self.joins = len(mark) == 1 and both == [*self._ids("a"), *mark, *self._ids("a")]
+        self.mark = mark[0]
+        self.tails = {c: np.array(self._ids(c), self.dtype).tobytes() for c in ".," if self._ids(f"a{c}") == self._ids(f"a {c}")}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[str]) -> None:
+        if not self.joins:
+            self.known.update((w, np.array(self._ids(w), self.dtype).tobytes()) for w in words)
+            return
+        ids = np.array(self._ids(f" {self.MARK} ".join([*words, ""])), self.dtype)
+        ends = (np.flatnonzero(ids == self.mark) * self.dtype.itemsize).tolist()
+        data, start = ids.tobytes(), 0
+        for word, end in zip(words, ends, strict=True):
+            self.known[word] = data[start:end]
+            start = end + self.dtype.itemsize
+
+    def _core(self, word: str) -> tuple[str, bytes]:
+        """What a word's ids follow from: without case, and without a full stop or comma that ends it
+        (which stands alone behind a letter or digit)."""
+        tail = b""
+        if word[-1:] in self.tails and word[-2:-1].isalnum():
+            tail, word = self.tails[word[-1]], word[:-1]
+        return (word.lower() if word.isascii() or max(word) <= "\xff" else word), tail
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [(t.lower() if self.joins and t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for begin in range(0, len(new), 10_000):
-            part = new[begin : begin + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, self.dtype).tobytes()
+        known.setdefault("", b"")
+        new = {w for ws in split for w in ws if w not in known}
+        cores = {w: self._core(w) for w in new} if self.joins else {}
+        learn = [w for w in {c for c, _ in cores.values()} or new if w not in known]
+        for begin in range(0, len(learn), 2000):
+            self._learn([w for w in learn[begin : begin + 2000] if self.MARK not in w])
+        known.update((w, np.array(self._ids(w), self.dtype).tobytes()) for w in learn if self.MARK in w)
+        known.update((w, known[c] + tail) for w, (c, tail) in cores.items())
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
