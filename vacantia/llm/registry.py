@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vacantia.llm import decontaminate, language, mixing, quality, secrets, token_files, topk
+from vacantia.llm import decontaminate, jaccard, language, mixing, quality, secrets, token_files, topk
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_language": language.op7,
         "op8_mix_sources": mixing.op8,
         "op9_secrets": secrets.op9,
+        "op10_jaccard_join": jaccard.op10,
     }
 
 
