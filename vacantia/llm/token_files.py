@@ -16,8 +16,10 @@ ids stand in the order of their texts. An empty table gives no shard. Other colu
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,24 @@ SHARD_BYTES, REMEMBERED = 4 << 20, 400_000
 MANIFEST = "shard string, n_tokens bigint, n_docs bigint, low bigint"
 
 
+class _Letters(dict):
+    """What the tokenizer's model sees of a letter, by code point."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.split = tokenizer.pre_tokenizer.pre_tokenize_str if tokenizer.pre_tokenizer else lambda c: [(c, None)]
+
+    def __missing__(self, point: int) -> str:
+        self[point] = "".join(piece for piece, _ in self.split(chr(point)))
+        return self[point]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, with the words it remembers."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of whole texts. A tokenizer that neither keeps nor joins over white space encodes the words
     between spaces and line ends one by one, so each distinct word is encoded once and remembered.
@@ -58,15 +78,26 @@ class Encoder:
         # One id that stands alone, and letters whose case doesn't count.
         self.joins = len(mark) == 1 and both == [*self._ids("a"), *mark, *self._ids("a")]
         self.mark = mark[0]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.letters = _Letters(self.tokenizer)
+        trial = ["a", "thandedble", "éelletréoi", "übergößen"]
+        self.plain = self.joins and all(self._plain(w) == array(self.code, self._ids(w)).tobytes() for w in trial)
         self.tails = {c: np.array(self._ids(c), self.dtype).tobytes() for c in ".," if self._ids(f"a{c}") == self._ids(f"a {c}")}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _plain(self, word: str) -> bytes:
+        """Ids of a word of small Latin letters, which the model sees as one piece."""
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes()
+
     def _learn(self, words: list[str]) -> None:
         if not self.joins:
             self.known.update((w, np.array(self._ids(w), self.dtype).tobytes()) for w in words)
             return
+        if self.plain:
+            self.known.update((w, self._plain(w)) for w in words if w.isalpha() and max(w) <= "\xff")
+            words = [w for w in words if w not in self.known]
         ids = np.array(self._ids(f" {self.MARK} ".join([*words, ""])), self.dtype)
         ends = (np.flatnonzero(ids == self.mark) * self.dtype.itemsize).tolist()
         data, start = ids.tobytes(), 0
@@ -159,8 +190,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id="doc_id", text="t
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
 
-        encoder, writer = Encoder(tokenizer), None
-        tail, low = np.array([end], encoder.dtype).tobytes(), None
+        ids_of, writer = encoder(tokenizer), None
+        tail, low = np.array([end], ids_of.dtype).tobytes(), None
         for shard in common.shards(batches, 1, SHARD_BYTES):
             ids = shard.column(0).to_pylist()
             if writer is None:
@@ -168,9 +199,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id="doc_id", text="t
                 fs.create_dir(path)
                 name, low = f"part-{TaskContext.get().partitionId():06d}", ids[0]
                 # Attempts of one task write aside from each other; what is moved into place is the same.
-                writer = _Writer(fs, f"{path}/{name}", encoder.dtype, length, batch)
+                writer = _Writer(fs, f"{path}/{name}", ids_of.dtype, length, batch)
             texts = [t or "" for t in shard.column(1).to_pylist()]
-            for i, data in zip(ids, encoder.encode(texts), strict=True):
+            for i, data in zip(ids, ids_of.encode(texts), strict=True):
                 writer.add(i, data + tail)
         if writer is not None:
             total, n = writer.close()
