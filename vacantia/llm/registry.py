@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vacantia.llm import decontaminate, jaccard, language, mixing, quality, secrets, suffix_dedup, token_files, topk
+from vacantia.llm import decontaminate, html_text, jaccard, language, mixing, quality, secrets, suffix_dedup, token_files, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality": quality.op2,
         "op3_token_files": token_files.op3,
         "op4_topk_search": topk.op4,
+        "op5_html_text": html_text.op5,
         "op6_suffix_dedup": suffix_dedup.op6,
         "op7_language": language.op7,
         "op8_mix_sources": mixing.op8,
