@@ -101,56 +101,59 @@ def _by_bucket(text: np.ndarray, kind: np.ndarray, leftmost: np.ndarray) -> np.n
             _deal(p[~own], text, out)
         return p[own]
 
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
     for c in range(size):
-        done = 0
-        while done < len(ls[c]):
-            part = ls[c][done]
-            done += 1
-            if len(own := wave(part, False, c, ls)):
-                ls[c].append(own)
+        part = join(ls[c])
+        ls[c] = [part]
+        while len(part := wave(part, False, c, ls)):
+            ls[c].append(part)
         for part in seeds[c]:
             wave(part, False, c, ls)
+        ls[c] = [join(ls[c])]
     # S suffixes are dealt from the right end; each list runs from the largest down.
     for c in range(size - 1, -1, -1):
-        done = 0
-        while done < len(ss[c]):
-            part = ss[c][done]
-            done += 1
-            if len(own := wave(part, True, c, ss)):
-                ss[c].append(own)
-        for part in reversed(ls[c]):
-            wave(part[::-1], True, c, ss)
-    return np.concatenate([x for c in range(size) for x in (*ls[c], *(p[::-1] for p in reversed(ss[c])))])
+        part = join(ss[c])
+        ss[c] = [part]
+        while len(part := wave(part, True, c, ss)):
+            ss[c].append(part)
+        wave(ls[c][0][::-1], True, c, ss)
+        ss[c] = [join(ss[c])]
+    return np.concatenate([x for c in range(size) for x in (ls[c][0], ss[c][0][::-1])])
 
 
 def _by_position(text: np.ndarray, kind: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
     n = len(text)
     sizes = np.bincount(text)
     ends = np.cumsum(sizes)
-    t, s = text.tolist(), kind.tolist()
+    # The character before a position if it starts an L (or S) suffix, else -1; place n, also read as
+    # the last one, stands for what is not known yet.
+    earlier = np.append(-1, text[:-1])
+    is_s = np.append(False, kind[:-1])
+    before_l = [*np.where(is_s, -1, earlier).tolist(), -1]
+    before_s = [*np.where(is_s, earlier, -1).tolist(), -1]
     order = [-1] * n
     tail = ends.tolist()
-    for p in leftmost[::-1].tolist():
-        tail[t[p]] -= 1
-        order[tail[t[p]]] = p
+    for p, c in zip(leftmost[::-1].tolist(), text[leftmost[::-1]].tolist(), strict=True):
+        tail[c] -= 1
+        order[tail[c]] = p
     head = (ends - sizes).tolist()
-    order_at = head[t[n - 1]]
     # The last suffix comes from the empty one, before everything else in its bucket.
-    order[order_at] = n - 1
-    head[t[n - 1]] += 1
-    for i in range(n):
-        p = order[i] - 1
-        if p >= 0 and not s[p]:
-            c = t[p]
-            order[head[c]] = p
-            head[c] += 1
+    last = int(text[n - 1])
+    order[head[last]] = n - 1
+    head[last] += 1
+    for p in order:  # reads what the loop itself has put further right
+        c = before_l[p]
+        if c >= 0:
+            at = head[c]
+            order[at] = p - 1
+            head[c] = at + 1
     tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        p = order[i] - 1
-        if p >= 0 and s[p]:
-            c = t[p]
-            tail[c] -= 1
-            order[tail[c]] = p
+    for p in reversed(order):  # and further left
+        c = before_s[p]
+        if c >= 0:
+            at = tail[c] - 1
+            order[at] = p - 1
+            tail[c] = at
     return np.array(order, np.int64)
 
 

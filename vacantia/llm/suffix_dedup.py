@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from vacantia.llm import common, suffix_array
 
 #: Bytes of a repeated string, of a gram; of a text shard and of a suffix array's shard.
-LENGTH, GRAM = 400, 128
+LENGTH, GRAM = 400, 200
 SHARD_BYTES, ARRAY_BYTES = 4 << 20, 2 << 20
 #: Distinct segments of one anchor that meet in one shard.
 MEET = 4000
