@@ -1,15 +1,16 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document is its set of distinct word shingles, as 64-bit hashes. In one order of all shingles, rarest
-first, two sets that are similar enough share one of their first n - ceil(t n) + 1 shingles, their
-prefixes. Documents with one prefix and size form a group; groups that share a prefix shingle are
+first, two sets that are similar enough share k of their first n - ceil(t n) + k shingles, their
+prefixes (or all, if they have fewer). Documents with one prefix and size form a group; groups that share a prefix shingle are
 filtered into candidate clusters; the clusters' members are expanded and verified on their whole sets.
 
  1. Every shingle of every document is counted in a table of bounded size (hashed, so some counts are
     too high, alike for all). Any order is right; this one keeps what is common out of the prefixes.
- 2. Documents with one set are one member from here on. For each prefix shingle, each group is tied to
-    the shingle's least group, which leaves as many ties as rows, not as pairs.
- 3. Clusters of tied groups are verified, small ones in one task each. A large one is dealt in blocks,
+ 2. Documents with one set are one member from here on. Groups that hold a prefix shingle are paired
+    and filtered by size and by the shingles that they share; where more than FEW hold one, each is
+    tied to the least of them, which leaves as many ties as rows, not as pairs.
+ 3. Clusters of paired or tied groups are verified, small ones in one task each. A large one is dealt in blocks,
     and each two blocks meet in a task of bounded size; so no cluster is too large, and none is cut.
     A task gives a spanning forest of the links it finds, not all of them.
  4. Links make components. Similarity is only ever decided on pairs of sets.
@@ -35,6 +36,8 @@ from vacantia.llm import common, graph
 #: Words of a shingle, least similarity in percent: of the contract, and of near duplicates elsewhere.
 WORDS, PERCENT = 3, 90
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Shingles that candidates' prefixes share, and groups that hold one and are still paired.
+SHARED, FEW = 3, 128
 #: Bits of the table of counts (4 MB broadcast at 20), text of a shard, and work and shingles of a task.
 COUNT_BITS, SHARD_BYTES = 20, 4 << 20
 TASK_WORK, TASK_SHINGLES = 2_000_000_000, 4_000_000
@@ -95,7 +98,8 @@ def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """Of sets that link, the SHARED first common shingles (or all, if fewer) are in both prefixes."""
+    return min(n, n - -(-percent * n // 100) + SHARED)
 
 
 def _counter(words: int, bits: int):
@@ -159,6 +163,25 @@ def _members(words: int, percent: int, counts):
     return task
 
 
+def _candidates(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (a, b) that may link, or that hold such a pair's clusters together.
+
+    Where few groups hold a shingle, all pairs of fitting sizes count it, and pairs that share as many as
+    linking takes are kept. Where many do, each is tied to the least of them instead.
+    """
+    keys = found.filter(F.col("n") > 0).dropDuplicates(["grp"]).select("grp", "n", F.explode("prefix").alias("key"))
+    held = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("grp").alias("least")).filter(F.col("m") > 1), "key")
+    few = held.filter(F.col("m") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "grp"))).alias("g"))
+    fits = lambda x: lambda y: 100 * x["n"] >= percent * y["n"]
+    pair = lambda x: lambda y: F.struct(F.least(x["grp"], y["grp"]).alias("a"), F.greatest(x["grp"], y["grp"]).alias("b"), y["n"].alias("n"))
+    later = lambda i: F.slice(F.col("g"), i + F.lit(2), F.size("g"))
+    pairs = few.select(F.inline(F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(later(i), fits(x)), pair(x))))))
+    shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    shared = shared.filter(F.col("k") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))).select("a", "b")
+    tied = held.filter((F.col("m") > FEW) & (F.col("grp") != F.col("least"))).select(F.col("least").alias("a"), F.col("grp").alias("b"))
+    return shared.union(tied)
+
+
 def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the similar pairs. Intersections with all others come from the
     lists of who holds each of a set's shingles."""
@@ -237,11 +260,7 @@ def link(docs: DataFrame, doc_id="doc_id", text="text", words: int = WORDS, perc
     members = found.filter(F.col("n") > 0).groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("grp").alias("grp"))
     members = common.cut(members, "distinct-sets")
 
-    # Groups that share a prefix shingle, each tied to the shingle's least group.
-    keys = found.select("grp", F.explode("prefix").alias("key"))
-    least = keys.groupBy("key").agg(F.min("grp").alias("a"), F.max("grp").alias("most")).filter(F.col("a") != F.col("most")).select("key", "a")
-    ties = keys.join(least, "key").filter(F.col("grp") != F.col("a")).select("a", F.col("grp").alias("b"))
-    clusters = graph.components(ties)
+    clusters = graph.components(_candidates(found, percent))
 
     placed = members.join(clusters, F.col("grp") == F.col("node"), "left").select("member", "doc_id", "n", F.coalesce("label", "grp").alias("root"))
     placed = common.cut(placed, "placed")
