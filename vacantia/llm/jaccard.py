@@ -170,7 +170,7 @@ def _candidates(found: DataFrame, percent: int) -> DataFrame:
     linking takes are kept. Where many do, each is tied to the least of them instead.
     """
     keys = found.filter(F.col("n") > 0).dropDuplicates(["grp"]).select("grp", "n", F.explode("prefix").alias("key"))
-    held = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("grp").alias("least")).filter(F.col("m") > 1), "key")
+    held = common.cut(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1), "key"), "shared-keys")
     few = held.filter(F.col("m") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "grp"))).alias("g"))
     fits = lambda x: lambda y: 100 * x["n"] >= percent * y["n"]
     pair = lambda x: lambda y: F.struct(F.least(x["grp"], y["grp"]).alias("a"), F.greatest(x["grp"], y["grp"]).alias("b"), y["n"].alias("n"))
@@ -178,7 +178,8 @@ def _candidates(found: DataFrame, percent: int) -> DataFrame:
     pairs = few.select(F.inline(F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(later(i), fits(x)), pair(x))))))
     shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
     shared = shared.filter(F.col("k") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))).select("a", "b")
-    tied = held.filter((F.col("m") > FEW) & (F.col("grp") != F.col("least"))).select(F.col("least").alias("a"), F.col("grp").alias("b"))
+    many = held.filter(F.col("m") > FEW)
+    tied = many.join(many.groupBy("key").agg(F.min("grp").alias("a")), "key").filter(F.col("grp") != F.col("a")).select("a", F.col("grp").alias("b"))
     return shared.union(tied)
 
 
