@@ -247,3 +247,24 @@ def ats_salary(pay: Column) -> Column:
     period = F.when(unit.rlike("year|annu"), "yearly").when(unit.contains("month"), "monthly").when(unit.contains("hour"), "hourly")
     code = F.nullif(F.upper(F.trim(key("currencyCode", "currency"))), F.lit(""))
     return F.struct(low.alias("salary_min"), high.alias("salary_max"), code.alias("salary_currency"), period.alias("salary_period"), F.when(low.isNotNull() | high.isNotNull(), "ats_api").alias("salary_source"))
+
+
+#: Older names of classes. Fixed values.
+OLD_REMOTE = {"remote_but_geo_restricted": "remote_region_locked", "hybrid": "non_remote", "office_first": "non_remote"}
+OLD_GEO = {"eog": "eu_region", "worldwide": "unknown", "global": "unknown", "eu_friendly": "unknown", "non_eu_restricted": "non_eu"}
+REMOTE_CLASSES = ("remote_only", "remote_region_locked", "remote_optional", "non_remote", "unknown")
+GEO_CLASSES = ("eu_member_state", "eu_explicit", "eu_region", "uk", "non_eu", "unknown")
+
+
+def _class_name(value: Column, old: dict[str, str], known: tuple[str, ...]) -> Column:
+    name = strip(F.lower(text_or_empty(value)))
+    renamed = F.try_element_at(F.create_map(*[F.lit(x) for pair in old.items() for x in pair]), name)
+    return F.coalesce(renamed, F.when(name.isin(*known), name), F.lit("unknown"))
+
+
+def remote_class_name(value: Column) -> Column:
+    return _class_name(value, OLD_REMOTE, REMOTE_CLASSES)
+
+
+def geo_class_name(value: Column) -> Column:
+    return _class_name(value, OLD_GEO, GEO_CLASSES)

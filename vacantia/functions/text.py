@@ -208,3 +208,20 @@ def clean_description(column: Column) -> Column:
 def leftover_tags(column: Column) -> Column:
     """Names of the tags that a text still holds."""
     return F.transform(F.regexp_extract_all(column, F.lit(r"</?([a-zA-Z][a-zA-Z0-9]*)[^>]*>"), 1), lambda t: F.lower(t))
+
+
+#: Spam of one source. Fixed values.
+SPAM = (
+    r"(?i)please mention the word\s+[a-z0-9]+\s+(?:when applying|in your application)[^\n]*\n?",
+    r"(?i)(?:this is a\s+)?beta feature to avoid spam[^\n]*\n?",
+    r"(?i)rmtg[-a-z0-9+/]+={0,2}\s*\n?",
+    r"""(?i)<img[^>]+src=["'][^"']*tracking[^"']*["'][^>]*>""",
+)
+
+
+def without_spam(column: Column, source: Column) -> Column:
+    """One source's texts without its spam lines; other sources' as they are."""
+    clean = column
+    for pattern in SPAM:
+        clean = F.regexp_replace(clean, pattern, "")
+    return F.when(source == "remoteok", clean).otherwise(column)
