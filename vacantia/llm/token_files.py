@@ -34,7 +34,7 @@ from vacantia.llm import common
 #: Tokens of a sequence, sequences of a record batch, id behind each document.
 SEQUENCE, BATCH, END = 2048, 64, 2
 #: Bytes of text that are tokenised at once, and words whose ids a task remembers.
-SHARD_BYTES, REMEMBERED = 4 << 20, 400_000
+SHARD_BYTES, REMEMBERED = 4 << 20, 900_000
 
 MANIFEST = "shard string, n_tokens bigint, n_docs bigint, low bigint"
 
