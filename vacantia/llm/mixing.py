@@ -26,7 +26,7 @@ OPENING = (0.5, 1.0, 1.5)
 #: No source, and no document, is taken more often than this.
 REPEATS = 3
 #: Rows of one source that are numbered by one task, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
