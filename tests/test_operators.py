@@ -71,3 +71,11 @@ def test_details_replace_summaries(spark):
     summaries = spark.createDataFrame([("a", "s1"), ("b", "s2")], "code string, payload string")
     details = spark.createDataFrame([("b", "d2")], "code string, payload string")
     assert sorted(map(tuple, boards.with_details(summaries, details, "code").collect())) == [("a", "s1"), ("b", "d2")]
+
+
+def test_tick_isolates_failures():
+    from vacantia.plans import tick
+
+    done = tick.run_steps([("a", lambda: 3), ("b", lambda: 1 / 0), ("c", lambda: None)])
+    assert [o.ok for o in done] == [True, False, True]
+    assert "ZeroDivisionError" in tick.report(done) and tick.report(done).endswith("2 ok, 1 failed")

@@ -184,3 +184,26 @@ def policy(jobs, title="title", description="description", scope="remote_scope")
         "policy_reason": F.when(F.col("__hard"), "geo_restriction_hard"),
     }
     return out.withColumns(columns).drop("__hard", "__remote", "__geo", "__verdict")
+
+
+# Phrases of the older scope, by place, after those of the United States.
+CANADA_PHRASES = ["canada only", "canadian residents only", "remote canada", "remote in canada", "canada-based", "canada based", "must live in canada", "must be based in canada", "must reside in canada", "within canada", "canada"]
+APAC_PHRASES = ["apac only", "within apac", "asia pacific", "apac"]
+AUSTRALIA_PHRASES = ["australia only", "australia-based", "australia based", "must live in australia", "within australia", "australia"]
+INDIA_PHRASES = ["india only", "india-based", "india based", "must live in india", "within india", "india"]
+LATAM_PHRASES = ["latam only", "within latam", "latin america", "latam"]
+FAR_PHRASES = [*US_PHRASES, *CANADA_PHRASES, *APAC_PHRASES, *AUSTRALIA_PHRASES, *INDIA_PHRASES, *LATAM_PHRASES, "north america only"]
+#: Different state codes that make a text American.
+STATES_NEEDED = 3
+
+
+def geography_of_text(title: Column, description: Column) -> Column:
+    """The older scope, from title and description as one text: struct(geo_class, matched_keyword)."""
+    text = F.lower(F.concat_ws(" ", text_or_empty(title), text_or_empty(description)))
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(" + "|".join(STATES) + r")\b"), 1))
+    verdict = lambda kind, word: F.struct(F.lit(kind).alias("geo_class"), (word if isinstance(word, Column) else F.lit(word)).cast("string").alias("matched_keyword"))
+    out = F.when(_has(text, FAR_PHRASES), verdict("non_eu", _first(text, FAR_PHRASES)))
+    out = out.when(F.size(codes) >= STATES_NEEDED, verdict("non_eu", f"us_state_codes>={STATES_NEEDED}")).when(_has(text, ["eu only", "eu-only", "european union"]), verdict("eu_explicit", "eu"))
+    for kind, words in (("eu_member_state", MEMBERS), ("eu_region", EEA), ("eu_region", EU_WORDS), ("uk", UK)):
+        out = out.when(_has(text, words), verdict(kind, _first(text, words)))
+    return out.when(text.rlike(r"\buk\b"), verdict("uk", "uk")).otherwise(verdict("unknown", None))

@@ -160,3 +160,20 @@ def quota_use(calls: DataFrame, quota: int) -> DataFrame:
     """Per key and day: calls, and how many of them the quota turns away."""
     used = calls.groupBy("key", "day").agg(F.count(F.lit(1)).alias("calls"))
     return used.withColumn("rejected", F.greatest(F.col("calls") - quota, F.lit(0).cast("long")))
+
+
+def merged_collisions(jobs: DataFrame, job_sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jobs, job_sources) after jobs of one fingerprint have become one: the first seen stays, the
+    others' sources point to it unless it has the pair already."""
+    first = W.partitionBy("job_fingerprint").orderBy(F.asc_nulls_last("first_seen_at"), "job_id")
+    target = jobs.select("job_id", F.first("job_id").over(first).alias("__to"))
+    kept = jobs.join(target.filter(F.col("job_id") == F.col("__to")).select("job_id"), "job_id", "left_semi")
+    moved = job_sources.join(target, "job_id", "left").withColumn("__own", F.coalesce(F.col("__to") == F.col("job_id"), F.lit(True))).withColumn("job_id", F.coalesce("__to", "job_id"))
+    once = W.partitionBy("source", "source_job_id", "job_id").orderBy(F.desc("__own"), "first_seen_at")
+    return kept, moved.withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n", "__own", "__to")
+
+
+def filled_department(jobs: DataFrame, found: DataFrame) -> DataFrame:
+    """Departments from (job_id, department) where a job has none, cut to 255 characters."""
+    new = found.select(F.col("job_id").alias("__id"), F.substring("department", 1, 255).alias("__d"))
+    return jobs.join(new, F.col("job_id") == F.col("__id"), "left").withColumn("source_department", F.coalesce("source_department", "__d")).drop("__id", "__d")

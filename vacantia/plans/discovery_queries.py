@@ -68,3 +68,4 @@ def stream(t):
 
 
 query("st01_incremental_tick", "SELECT source, source_job_id, job_id, first_seen_at, last_seen_at, CAST(1 AS INTEGER) AS seen_count FROM job_sources_v WHERE seen_count <= 4")(stream)
+query("s17_company_pages", "SELECT 'Acme' AS name, 'https://acme.example.com' AS url")(lambda t: d.companies_of_pages(t.spark.createDataFrame([("---\ntitle: \"Acme\"\nwebsite: https://acme.example.com\n---\nText",), ("title: only",), ("",)], "value string")))

@@ -28,3 +28,8 @@ OUT = ("remote_class", "geo_class", "compliance_score", "compliance_status")
 query("c07_policy", "SELECT CAST(n AS INTEGER) AS n, remote_class, geo_class, compliance_score, compliance_status FROM (VALUES " + ", ".join(f"({i}, '{r[3]}', '{r[4]}', {r[5]}, '{r[6]}')" for i, r in enumerate(POLICY)) + ") v(n, remote_class, geo_class, compliance_score, compliance_status)")(
     lambda t: geo.policy(t.spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(POLICY)], "n int, title string, description string, remote_scope string")).select("n", *OUT)
 )
+cases("c05_geo_text", "title description", [
+    ("Engineer", "US-based only", "non_eu", "us-based only"), ("Engineer", "remote in Canada", "non_eu", "remote in canada"), ("Engineer", "LATAM", "non_eu", "latam"), ("Engineer", "offices in NY, TX and WA", "non_eu", "us_state_codes>=3"),
+    ("Engineer", "EU only", "eu_explicit", "eu"), ("Engineer", "based in Spain", "eu_member_state", "spain"), ("Engineer", "Norway", "eu_region", "norway"), ("Engineer", "across Europe", "eu_region", "europe"),
+    ("Engineer", "London", "uk", "london"), ("Engineer, UK", "", "uk", "uk"), ("Engineer", "", "unknown", None), (None, None, "unknown", None),
+], lambda a, b: [F.inline(F.array(geo.geography_of_text(a, b)))], "geo_class matched_keyword")

@@ -116,3 +116,10 @@ SELECT company_id, provider FROM (SELECT c.company_id, p.provider, row_number()
   FROM companies_v c JOIN (SELECT unnest(['greenhouse', 'lever', 'ashby', 'workable', 'smartrecruiters', 'recruitee', 'teamtailor']) AS provider, unnest(range(7)) AS n) p ON (c.company_id + p.n) % 3 = 0) WHERE r = 1""")(
     lambda t: (lambda hit: t.companies.select("company_id", hit.alias("provider")).filter("provider IS NOT NULL"))(F.coalesce(*[F.when((F.col("company_id") + i) % 3 == 0, F.lit(p)) for i, p in enumerate(PROVIDERS)]))
 )
+query("d10_collision_merge", """
+WITH t AS (SELECT job_id, first_value(job_id) OVER (PARTITION BY job_fingerprint ORDER BY first_seen_at NULLS LAST, job_id) AS target FROM jobs_v)
+SELECT DISTINCT s.source, s.source_job_id, coalesce(t.target, s.job_id) AS job_id FROM job_sources_v s LEFT JOIN t ON t.job_id = s.job_id""", "jobs_v", "job_sources_v")(lambda t: s.merged_collisions(t.jobs, t.job_sources)[1].select("source", "source_job_id", "job_id"))
+query("d11_duplicates_deleted", "SELECT count(DISTINCT job_fingerprint) AS jobs FROM jobs_v")(lambda t: s.merged_collisions(t.jobs, t.job_sources)[0].agg(F.count(F.lit(1)).alias("jobs")))
+query("d08_department_backfill", "SELECT job_id, CASE WHEN k % 2 = 0 THEN 'own' ELSE 'found' END AS source_department FROM jobs_v")(
+    lambda t: s.filled_department(t.jobs.withColumn("source_department", F.when(F.col("k") % 2 == 0, "own")), t.jobs.select("job_id", F.lit("found").alias("department"))).select("job_id", "source_department")
+)

@@ -107,3 +107,9 @@ def passes_gate(jobs_total: Column, remote_hits: Column, recent_at: Column, as_o
 def promotion(provider: Column, passed: Column, has_token: Column) -> Column:
     """What becomes of a pending slug."""
     return F.when((provider == "teamtailor") & ~has_token, "needs_token").when(passed, "promoted").otherwise("rejected")
+
+
+def companies_of_pages(pages: DataFrame, content: str = "value") -> DataFrame:
+    """(name, url) of company pages whose front matter has both; read them with wholetext."""
+    field = lambda k: F.nullif(strip(F.regexp_extract(F.col(content), k + r""":\s*["']?([^"'\n]+)""", 1)), F.lit(""))
+    return pages.select(field("title").alias("name"), field("website").alias("url")).filter("name IS NOT NULL AND url IS NOT NULL")
