@@ -52,7 +52,7 @@ query("a19_feed_departments", f"SELECT job_family AS name, count(*) AS count FRO
 query("k11_feed_json")(lambda t: exports.feed_json(t.jobs))
 query("k12_stats_json")(lambda t: exports.stats_json(series(t), active_counts(t.jobs)))
 query("k13_segments_json")(lambda t: exports.segments_json(segments(t)))
-query("st02_daily_window", "SELECT CAST(ts AS DATE) AS day, event_type AS kind, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1, 2")(lambda t: tick.daily_windows(t.read("events").withColumn("ts", F.col("ts").cast("timestamp"))))
+query("st02_daily_window", "SELECT CAST(ts AS DATE) AS day, event_type AS kind, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1, 2", rounded=("mean",))(lambda t: tick.daily_windows(t.read("events").withColumn("ts", F.col("ts").cast("timestamp"))))
 
 
 def stream(t):
