@@ -104,8 +104,8 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     return text[w], w - starts[text[w]], count, name[w].view(np.int64)
 
 
-_SCAN = "doc_id bigint, sha string, n_bytes bigint, parts array<struct<anchor:bigint,part:bigint,start:int,n:int>>"
-_PART = pa.struct([("anchor", pa.int64()), ("part", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+_SCAN = "doc_id bigint, sha string, n_bytes bigint, parts array<struct<anchor:bigint,part:bigint,n:int,starts:array<int>>>"
+_PART = pa.struct([("anchor", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), ("starts", pa.list_(pa.int32()))])
 
 
 def _scanner(length: int, gram: int):
@@ -114,8 +114,15 @@ def _scanner(length: int, gram: int):
             texts = common.utf8(shard.column(1))
             text, start, n, anchor = segments(texts, length, gram)
             part = np.array([xxhash.xxh3_64_intdigest(texts[t][a : a + k + length - 1]) for t, a, k in zip(text.tolist(), start.tolist(), n.tolist(), strict=True)], np.uint64).view(np.int64)
-            offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-            parts = pa.StructArray.from_arrays([pa.array(anchor, pa.int64()), pa.array(part, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], fields=list(_PART))
+            # A text's equal segments are one, with all its places: texts that repeat a word have thousands.
+            order = np.lexsort((start, part, anchor, text))
+            text, start, n, anchor, part = (x[order] for x in (text, start, n, anchor, part))
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
+            first = np.flatnonzero(new)
+            starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(text)), pa.int32()), pa.array(start, pa.int32()))
+            offsets = np.searchsorted(text[first], np.arange(len(texts) + 1)).astype(np.int32)
+            parts = pa.StructArray.from_arrays([pa.array(anchor[first], pa.int64()), pa.array(part[first], pa.int64()), pa.array(n[first], pa.int32()), starts], fields=list(_PART))
             out = pa.table({"doc_id": shard.column(0), "sha": [hashlib.sha256(t).hexdigest() for t in texts], "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "parts": pa.ListArray.from_arrays(pa.array(offsets), parts)})
             yield from out.to_batches()
 
@@ -235,12 +242,12 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text", length: int =
     # Distinct texts with their copies; segments in two places or more, and anchors with several segments.
     texts = scan.filter(F.size("parts") > 0).groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("owner"), F.first("parts").alias("parts"))
     texts = common.cut(texts, "texts")
-    places = texts.select("sha", "owner", "copies", F.inline("parts"))
+    places = texts.select("sha", "owner", "copies", F.inline("parts")).withColumn("copies", F.col("copies") * F.size("starts"))
     busy = places.groupBy("anchor").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("copies").alias("times"))
     busy = busy.filter((F.col("lo") != F.col("hi")) | (F.col("times") > 1)).select("anchor", (F.col("lo") != F.col("hi")).alias("several"))
     busy = places.join(busy, "anchor")
     busy = common.cut(busy, "busy")
-    whole = busy.groupBy("anchor", "part").agg(F.sum("copies").alias("times"), F.max("several").alias("several"), F.min(F.struct("sha", "start", "owner", "n")).alias("at"))
+    whole = busy.groupBy("anchor", "part").agg(F.sum("copies").alias("times"), F.max("several").alias("several"), F.min(F.struct("sha", F.col("starts")[0].alias("start"), "owner", "n")).alias("at"))
     whole = common.cut(whole.select("anchor", "part", "times", "several", "at.*"), "parts")
 
     # One place of each distinct segment, brought to the shard of its anchor; hot anchors go to several.
@@ -262,7 +269,7 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text", length: int =
     within = found.filter("name is null").select("anchor", "part", "first", "last")
     full = whole.filter("times > 1").select("anchor", "part", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
     windows = within.union(across).union(full)
-    spans = busy.select("sha", "anchor", "part", "start").join(windows, ["anchor", "part"])
+    spans = busy.select("sha", "anchor", "part", "starts").join(windows, ["anchor", "part"]).withColumn("start", F.explode("starts"))
     span = F.struct((F.col("start") + F.col("first")).alias("begin"), (F.col("start") + F.col("last") + length).alias("end"))
     spans = spans.groupBy("sha").agg(F.collect_set(span).alias("spans"))
     lost = held.join(spans, "sha").select("sha", "text", "spans").mapInArrow(_remover, "sha string, n_removed bigint, n_spans bigint, kept_sha256 string").dropDuplicates(["sha"])
