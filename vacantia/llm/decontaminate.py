@@ -12,7 +12,6 @@ Empty tables give empty results, and other columns of the documents pass through
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
