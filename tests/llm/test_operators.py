@@ -284,3 +284,11 @@ def test_jaccard(spark, docs, words, percent, monkeypatch):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {least[r] for (i, _), r in zip(rows, root) if r in least}
     assert jaccard.link(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group(spark):
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcde")
+    rows = [(1, a, "x")] * 4 + [(2, a + " more", "x"), (1, b, "y"), (None, b, "y"), (None, a, "z"), (None, c, "z"), (None, c, "z"), (None, d, "z"), (3, e, "w"), (3, e, "w"), (4, "", "v"), (4, "", "v"), (None, None, "u")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = Counter([(1, a, "x"), (1, b, "y"), (None, c, "z"), (None, d, "z"), (3, e, "w"), (4, "", "v"), (4, "", "v"), (None, None, "u")])
+    assert Counter(tuple(r) for r in jaccard.deduplicated(table).collect()) == want

@@ -17,8 +17,8 @@ filtered into candidate clusters; the clusters' members are expanded and verifie
 
 Nulls: a null text, or one without words, has no shingles and links with nothing; a null id still has a
 component, whose name is the least id in it (null if there is none). Texts of fewer words than a
-shingle are one shingle. Repeated rows and repeated ids each keep their row. Empty tables give empty
-results; other columns are not read.
+shingle are one shingle. Repeated rows and repeated ids each keep their row; texts of members are found
+again by a key of their row, never by id alone. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -134,16 +134,16 @@ def shingle_counts(docs: DataFrame, text: str, words: int, bits: int = COUNT_BIT
     return out.ravel()
 
 
-_MEMBERS = "doc_id bigint, n bigint, member binary, grp bigint, prefix array<bigint>"
+_MEMBERS = "row bigint, doc_id bigint, n bigint, member binary, grp bigint, prefix array<bigint>"
 
 
 def _members(words: int, percent: int, counts):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value.astype(np.uint64)
         shift = np.uint64(64 - int(len(table)).bit_length() + 1)
-        for shard in common.shards(batches, 1, SHARD_BYTES):
+        for shard in common.shards(batches, 2, SHARD_BYTES):
             sizes, members, groups, prefixes = [], [], [], []
-            for found in shingles(common.utf8(shard.column(1)), words):
+            for found in shingles(common.utf8(shard.column(2)), words):
                 n = len(found)
                 sizes.append(n)
                 if not n:
@@ -157,7 +157,7 @@ def _members(words: int, percent: int, counts):
                 members.append(xxhash.xxh3_128_digest(found.tobytes()))
                 groups.append(xxhash.xxh3_64_intdigest(prefix.tobytes() + n.to_bytes(8, "little")) - (1 << 63))
                 prefixes.append(prefix)
-            out = pa.table({"doc_id": shard.column(0), "n": pa.array(sizes, pa.int64()), "member": pa.array(members, pa.binary()), "grp": pa.array(groups, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+            out = pa.table({"row": shard.column(0), "doc_id": shard.column(1), "n": pa.array(sizes, pa.int64()), "member": pa.array(members, pa.binary()), "grp": pa.array(groups, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
             yield from out.to_batches()
 
     return task
@@ -225,16 +225,18 @@ def _verify(percent: int):
 
 
 def _expand(words: int):
-    """Whole sets of the rows that a member stands for, for each of the tasks that the member meets."""
+    """Whole sets of the rows that stand for a member, for each of the tasks that the member meets."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
         for shard in common.shards(batches, 0, SHARD_BYTES):
             cols = [shard.column(c).to_pylist() for c in ("member", "root", "blocks", "block")]
             out: list[tuple] = []
             for found, member, root, blocks, block in zip(shingles(common.utf8(shard.column(0)), words), *cols, strict=True):
                 data = found.tobytes()
-                if not len(found) or xxhash.xxh3_128_digest(data) != member:
-                    continue  # another row with this id
+                if member in told or xxhash.xxh3_128_digest(data) != member:
+                    continue  # a copy of the row, or another row with this key
+                told.add(member)
                 pairs = [(0, 0)] if blocks == 1 else [(min(block, b), max(block, b)) for b in range(blocks) if b != block]
                 out += [(root, i, j, member, data) for i, j in pairs]
                 if sum(len(o[4]) for o in out[-len(pairs) :]) and len(out) > 256:
@@ -251,43 +253,55 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["root", "i", "j", "member", "set"])
 
 
-def link(docs: DataFrame, doc_id="doc_id", text="text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the least id that links lead to, its own included."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (row, doc_id, text) what they are (_MEMBERS), and of each member (member, label, first): its
+    component and its own first row (no id, doc_id, row) by id, null ids last, and then by key."""
+    spark = rows.sparkSession
     counts = spark.sparkContext.broadcast(shingle_counts(rows, "text", words))
-    found = common.cut(rows.mapInArrow(_members(words, percent, counts), _MEMBERS), "shingle-members")
-    members = found.filter(F.col("n") > 0).groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("grp").alias("grp"))
+    found = common.cut(rows.select("row", "doc_id", "text").mapInArrow(_members(words, percent, counts), _MEMBERS), "shingle-members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    members = found.filter(F.col("n") > 0).groupBy("member").agg(first.alias("first"), F.max("n").alias("n"), F.max("grp").alias("grp"))
     members = common.cut(members, "distinct-sets")
 
     clusters = graph.components(_candidates(found, percent))
 
-    placed = members.join(clusters, F.col("grp") == F.col("node"), "left").select("member", "doc_id", "n", F.coalesce("label", "grp").alias("root"))
+    placed = members.join(clusters, F.col("grp") == F.col("node"), "left").select("member", "first", "n", F.coalesce("label", "grp").alias("root"))
     placed = common.cut(placed, "placed")
     sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).filter(F.col("m") > 1)
     work = F.col("m").cast("double") * F.col("s")
     blocks = F.greatest(F.ceil(2 * F.sqrt(work / TASK_WORK)), F.ceil(2 * F.col("s") / TASK_SHINGLES))
     sizes = sizes.select("root", F.when((work <= TASK_WORK) & (F.col("s") <= TASK_SHINGLES), 1).otherwise(F.greatest(F.lit(2), blocks)).cast("int").alias("blocks"))
-    open_ = placed.join(sizes, "root").select("doc_id", "member", "root", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
-    texts = rows.join(open_.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "member", "root", "blocks", "block")
+    open_ = placed.join(sizes, "root").select(F.col("first.row").alias("__row"), "member", "root", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
+    texts = rows.join(open_, F.col("row") == F.col("__row")).select("text", "member", "root", "blocks", "block")
     sets = texts.mapInArrow(_expand(words), "root bigint, i int, j int, member binary, set binary")
     edges = sets.groupBy("root", "i", "j").applyInArrow(_verify(percent), "a binary, b binary")
     linked = graph.components(edges)
+    return found, placed.join(linked, F.col("member") == F.col("node"), "left").select("member", F.coalesce("label", "member").alias("label"), "first")
+
 
-    named = placed.join(linked, F.col("member") == F.col("node"), "left").select("member", "doc_id", F.coalesce("label", "member").alias("label"))
-    least_id = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+def link(docs: DataFrame, doc_id="doc_id", text="text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the least id that links lead to, its own included."""
+    common.bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Rows with one key are copies, or differ in their sets, which tells them apart.
+    found, named = _linked(rows.withColumn("row", F.xxhash64("doc_id", "text")), words, percent)
+    least_id = named.groupBy("label").agg(F.min("first.doc_id").alias("component_id"))
     of_member = named.join(least_id, "label").select(F.col("member").alias("__member"), "component_id")
     out = found.select("doc_id", "n", "member").join(of_member, F.col("member") == F.col("__member"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, doc_id="doc_id", text="text", words: int = NEAR_WORDS, percent: int = NEAR_PERCENT) -> DataFrame:
-    """docs with one row of each group of linked ones: a row with the group's least id. Rows without
-    words, or without an id, all stay but for rows that repeat an id's own."""
-    kept = link(docs, doc_id, text, words, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """docs with exactly one row of each group of linked ones: of those with the group's least id (null only
+    if it has no other) the first in the table as it is read here. Rows without words link with nothing, so
+    each of them stays. Every row counts by itself, whatever rows share its id."""
+    common.bounded_batches(docs.sparkSession)
+    keyed = common.cut(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-rows")
+    rows = keyed.select(F.col("__row").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found, named = _linked(rows, words, percent)
+    first = named.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__kept"))
+    kept = first.union(found.filter(F.col("n") == 0).select("row"))
+    return keyed.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
