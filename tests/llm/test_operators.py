@@ -292,3 +292,18 @@ def test_one_row_of_each_group(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     want = Counter([(1, a, "x"), (1, b, "y"), (None, c, "z"), (None, d, "z"), (3, e, "w"), (4, "", "v"), (4, "", "v"), (None, None, "u")])
     assert Counter(tuple(r) for r in jaccard.deduplicated(table).collect()) == want
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_topk_repeated_ids(spark, parts):
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(x) for x in rng.normal(size=8).round(1)]) for i in range(60)]
+    vectors += [(7, [3.0 * x for x in vectors[0][1]])] * 6 + [(8, vectors[50][1]), (8, [2.0 * x for x in vectors[50][1]]), vectors[50], (0, vectors[9][1])]
+    table = topk.quantised(spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(parts))
+    rows = [(r.id, r.v) for r in table.collect()]
+    got = sorted(tuple(r) for r in topk.search(table.filter("id % 50 = 0"), table, 5).collect())
+    want = []
+    for q in (0, 50):
+        pairs = sorted((-sum(a * b for a, b in zip(v, w)), j) for i, v in rows if i == q for j, w in rows if j != q)
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(pairs[:5])]
+    assert got == sorted(want)

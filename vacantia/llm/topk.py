@@ -8,9 +8,10 @@ before they are few.
 
 Vectors that are null, hold null or non-finite components, or are empty take no part; a query meets
 only vectors of its own length. Equal scores are in the order of the ids. A vector is never its own
-candidate: rows that share a query's id are skipped, and a repeated query id is answered once for each
-of its rows' vectors together. Rows without an id take no part. Scores beyond 62 bits are held at that
-bound. Empty tables give empty results; other columns are not read.
+candidate: rows that share a query's id are skipped. Every other row is a candidate, so an id on several
+rows may fill several places. A repeated query id has one list, the best of the pairs of each of its rows
+with each candidate row. Rows without an id take no part. Scores beyond 62 bits are held at that bound.
+Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -116,7 +117,6 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         folder = folder or common.shared_dir(spark, "top-lists")
         block.write.mode("append").parquet(folder)
     lists = spark.createDataFrame([], _HITS) if folder is None else spark.read.schema(_HITS).parquet(folder)
-    lists = lists.dropDuplicates(["query_id", "vec_id", "part"])
     order = [F.desc("score"), "vec_id"]
     group = F.col("part") % GROUPS
     lists = lists.withColumn("group", group).withColumn("rank", F.row_number().over(W.partitionBy("query_id", "group").orderBy(*order))).filter(F.col("rank") <= k)
