@@ -307,3 +307,13 @@ def test_topk_repeated_ids(spark, parts):
         pairs = sorted((-sum(a * b for a, b in zip(v, w)), j) for i, v in rows if i == q for j, w in rows if j != q)
         want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(pairs[:5])]
     assert got == sorted(want)
+
+
+def test_secrets_within_longer_runs(spark):
+    key = "aZ9kQ2mX7pL4vB8nR1sT6wY3cD5eF0gHjK2uM8xW"
+    around = [("see /download/reports/", "/files/annual/overview today"), ("0123456789abcdef-", " end"), ("the_quarterly_report_of_the_department_for_", "_and_further_matters_of_the_committee_of_2024 end")]
+    table = spark.createDataFrame([(i, a + key + b) for i, (a, b) in enumerate(around)] + [(9, "/download/reports/annual/overview/of/the/department/for/further/matters/2024 end")], "doc_id long, text string")
+    got = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in secrets.scan(table).collect()}
+    for i, (a, _) in enumerate(around):
+        assert any(k == "learned" and int(x) <= len(a) and int(y) >= len(a + key) for k, x, y in got[i]), got
+    assert got[1][0] == ["hex", "0", "16"] and got[9] == []

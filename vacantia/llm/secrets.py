@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns, and a character convolutional network over every further candidate.
 
-A candidate is any long unbroken run of key-like characters that no pattern has matched. The network
-reads the candidate's characters with a stretch of context on either side and gives a probability; the
-candidates above a threshold are added to the patterns' spans, which always stay. It is trained on
+A candidate is any long unbroken run of key-like characters that no pattern has matched; a run that the
+patterns match in part is split around their spans, and the long parts between a run's path separators
+and equals signs are candidates besides the run. The network reads a candidate in overlapping windows,
+each with a stretch of context on either side, and gives a probability; the windows above a threshold,
+joined where they meet, are added to the patterns' spans, which always stay. It is trained on
 labelled findings that are made from rules here: secrets of many shapes in the contexts that carry
 them, against words, numbers, paths, addresses and hyphenated prose in the same contexts. Probabilities
 are calibrated by a temperature on findings kept aside, and the threshold is the highest one that
@@ -33,10 +35,12 @@ HEX = re.compile(r"[0-9a-f]+")
 PATTERNS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 
 #: A further candidate: a long run of key characters with a digit in it.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+PART = re.compile(rf"[^/=]{{{LEAST},}}")
 
-#: Characters read of a candidate and on either side; network sizes; findings; the threshold's constraint.
-WIDTH, SIDE = 48, 24
+#: Characters of a window, on either side, and from window to window; network sizes; findings; the threshold's constraint.
+WIDTH, SIDE, STRIDE = 48, 24, 16
 CHANNELS, FILTERS, KERNEL, HIDDEN = 12, 24, 5, 24
 FINDINGS, EPOCHS, SEED = 4000, 6, 17
 RECALL = 0.97
@@ -61,25 +65,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Key-like runs, with letters and digits, that touch no span of the patterns."""
+    """Key-like runs, with letters and digits, between the patterns' spans, and such parts of them."""
+    spans: list[list[int]] = []
+    for a, b in sorted((a, b) for a, _, b in base):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    keyed = lambda run: any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
     out, at = [], 0
-    spans = sorted((a, b) for a, _, b in base)
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-            continue
+        begin, free = m.start(), []
         while at < len(spans) and spans[at][1] <= m.start():
             at += 1
-        if any(a < m.end() and b > m.start() for a, b in spans[at : at + 8]):
-            continue
-        out.append((m.start(), m.end()))
+        for k in range(at, len(spans)):
+            if spans[k][0] >= m.end():
+                break
+            free.append((begin, spans[k][0]))
+            begin = spans[k][1]
+        for a, b in [*free, (begin, m.end())]:
+            if b - a >= LEAST and keyed(text[a:b]):
+                parts = [(a + p.start(), a + p.end()) for p in PART.finditer(text[a:b]) if keyed(p.group())]
+                out += [(a, b), *(p for p in parts if p != (a, b))]
     return out
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """A candidate, or where it is longer than WIDTH, overlapping windows over all of it."""
+    if end - start <= WIDTH:
+        return [(start, end)]
+    return [(a, a + WIDTH) for a in [*range(start, end - WIDTH, STRIDE), end - WIDTH]]
+
+
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Character classes around a candidate: context, its beginning and its end, context."""
-    half = WIDTH // 2
-    body = text[start:end] if end - start <= WIDTH else text[start : start + half] + text[end - half : end]
+    """Character classes around a window: context, its characters, context."""
+    body = text[start:end]
     left, right = text[max(0, start - SIDE) : start], text[end : end + SIDE]
     codes = np.full(SIDE + WIDTH + SIDE, _OUTSIDE, np.int64)
     for at, part in ((SIDE - len(left), left), (SIDE, body), (SIDE + WIDTH, right)):
@@ -142,7 +162,8 @@ class Network:
 
 
 def findings(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled findings: key material of several alphabets, and what merely looks long."""
+    """Labelled windows of n findings: key material of several alphabets, alone or within a longer run,
+    and what merely looks long. A window that holds less than LEAST of a key is not used."""
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     draw = lambda alphabet, k: "".join(rng.choice(list(alphabet), k))
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "ment", "tion", "eau", "que", "ch", "ung", "keit", "ver", "los", "ción", "ar", "pa", "vi", "le", "sch"]
@@ -190,9 +211,19 @@ def findings(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         lead = rng.integers(4)
         before = "" if lead == 0 else str(rng.choice(["key: ", "auth=", "Bearer ", "credential = '", "\"private\": \"", "id=", "see ", "file ", "url /"])) if lead == 1 else prose(3) + " "
         after = str(rng.choice(["", "\n", " ", "'", '",', ". ", ", "])) + (prose(3) if rng.random() < 0.7 else "")
-        text = before + body + after
-        codes.append(encode(text, len(before), len(before) + len(body)))
-        labels.append(label)
+        lead_in = tail = ""
+        if label and rng.random() < 0.4:  # within a longer run
+            mark = str(rng.choice(["/", "/", "_", "-", "="]))
+            run = lambda: mark.join(word() for _ in range(rng.integers(1, 7)))  # noqa: B023, E731
+            lead_in, tail = run() + mark, mark + run()
+        text = before + lead_in + body + tail + after
+        begin, end = (at := len(before) + len(lead_in)), at + len(body)
+        for a, b in candidates(text, []):
+            for x, y in windows(a, b):
+                held = min(y, end) - max(x, begin) if label else 0
+                if held <= 0 or held >= LEAST:
+                    codes.append(encode(text, x, y))
+                    labels.append(int(held > 0))
     return np.array(codes), np.array(labels, float)
 
 
@@ -201,7 +232,7 @@ def trained() -> Network:
     """The network, from FINDINGS labelled findings; the last quarter sets temperature and threshold."""
     rng = np.random.default_rng(SEED)
     codes, labels = findings(FINDINGS, rng)
-    cut = FINDINGS * 3 // 4
+    cut = len(codes) * 3 // 4
     net, state = Network(rng), {"t": 0}
     for epoch in range(EPOCHS):
         order = rng.permutation(cut)
@@ -216,18 +247,30 @@ def trained() -> Network:
     return net
 
 
+def _joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch], net: Network, keep: list[str], column: int) -> Iterator[pa.RecordBatch]:
     for shard in common.shards(batches, column, SHARD_BYTES):
         texts = [t or "" for t in shard.column(column).to_pylist()]
         base = [base_spans(t) for t in texts]
-        places = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, base[i])]
-        added: list[list] = [[] for _ in texts]
+        places = [(i, x, y) for i, t in enumerate(texts) for a, b in candidates(t, base[i]) for x, y in windows(a, b)]
+        above: list[list] = [[] for _ in texts]
         for begin in range(0, len(places), 4096):
             part = places[begin : begin + 4096]
             chance = net.probability(np.array([encode(texts[i], a, b) for i, a, b in part]))
             for (i, a, b), p in zip(part, chance.tolist(), strict=True):
                 if p >= net.threshold:
-                    added[i].append((a, len(PATTERNS), b))
+                    above[i].append((a, b))
+        added = [[(a, len(PATTERNS), b) for a, b in _joined(x)] for x in above]
         names = [p[0] for p in PATTERNS] + ["learned"]
         told = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
         count = lambda kind: [sum(k == kind for _, k, _ in s) for s in base]
