@@ -317,3 +317,27 @@ def test_secrets_within_longer_runs(spark):
     for i, (a, _) in enumerate(around):
         assert any(k == "learned" and int(x) <= len(a) and int(y) >= len(a + key) for k, x, y in got[i]), got
     assert got[1][0] == ["hex", "0", "16"] and got[9] == []
+
+
+def test_texts_of_members_are_found_by_row(spark, monkeypatch):
+    a, b = (" ".join(f"{k}{i}" for i in range(200)) for k in "ab")
+    rows = [(None, t + x) for t in (a, b) for x in ("", " more")] * 3 + [(None, f"other {i} words here") for i in range(50)]
+    seen = spark.sparkContext.accumulator(0)
+    expand = jaccard._expand
+
+    def counted(words):
+        def task(batches):
+            def through():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            return expand(words)(through())
+
+        return task
+
+    monkeypatch.setattr(jaccard, "_expand", counted)
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == len(rows) and {r.component_id for r in got.collect()} == {None}
+    runs = 2  # the edges are read once, each of 4 members with its 3 copies
+    assert seen.value <= 12 * runs
