@@ -45,8 +45,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
-    """Keep the Arrow batches that go to Python workers small even where texts are long."""
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Keep the Arrow batches that go to Python workers small even where texts are long. The setting is read
+    when a plan runs, which may be long after this call, so it stays set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 

@@ -35,11 +35,11 @@ from vacantia.llm import common, suffix_array
 
 #: Bytes of a repeated string, of a gram; of a text shard and of a suffix array's shard.
 LENGTH, GRAM = 400, 200
-SHARD_BYTES, ARRAY_BYTES = 4 << 20, 2 << 20
+SHARD_BYTES, ARRAY_BYTES = 1 << 20, 1 << 20
 #: Distinct segments of one anchor that meet in one shard.
 MEET = 4000
 
-_CHUNK = 1 << 22
+_CHUNK = 1 << 18
 _RNG = np.random.default_rng(20240608)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
