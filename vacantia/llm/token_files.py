@@ -11,7 +11,7 @@ own range and writes it under a name that its contents determine, first aside an
 place, so a task that runs again replaces what it wrote.
 
 Nulls: a null text is empty, a null id comes first. An empty text still has its end token. Repeated
-ids stand in the order of their texts. An empty table gives no shard. Other columns are not read.
+ids stand in the order of a hash of their texts. An empty table gives no shard. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ from vacantia.llm import common
 
 #: Tokens of a sequence, sequences of a record batch, id behind each document.
 SEQUENCE, BATCH, END = 2048, 64, 2
-#: Bytes of text that are tokenised at once, and words whose ids a task remembers.
-SHARD_BYTES, REMEMBERED = 4 << 20, 900_000
+#: Bytes of text that are tokenised at once, and words whose ids a task remembers (some 230 bytes each;
+#: none longer than LONG), twice at most and forgotten when it ends.
+SHARD_BYTES, REMEMBERED, LONG = 2 << 20, 150_000, 64
 
 MANIFEST = "shard string, n_tokens bigint, n_docs bigint, low bigint"
 
@@ -53,7 +54,7 @@ class _Letters(dict):
 
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a worker, with the words it remembers."""
+    """One encoder for all tasks of a worker."""
     return Encoder(path)
 
 
@@ -63,6 +64,8 @@ class Encoder:
 
     New words are encoded together, with a mark between them that no text of the shard contains; its
     ids show where each word ends. ASCII texts are put in lower case first, as the tokenizer does.
+    Texts that hold an added token's content, in whatever case, go to the tokenizer whole, as do all
+    texts of a tokenizer that keeps or joins over white space.
     """
 
     MARK = "\x01"
@@ -73,7 +76,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.forget()
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         mark, both = self._ids(self.MARK), self._ids(f"a {self.MARK} A")
         # One id that stands alone, and letters whose case doesn't count.
         self.joins = len(mark) == 1 and both == [*self._ids("a"), *mark, *self._ids("a")]
@@ -91,10 +95,12 @@ class Encoder:
         """Ids of a word of small Latin letters, which the model sees as one piece."""
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes()
 
+    def forget(self) -> None:
+        """Words of this task, and of its last REMEMBERED ones before."""
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
     def _learn(self, words: list[str]) -> None:
-        if not self.joins:
-            self.known.update((w, np.array(self._ids(w), self.dtype).tobytes()) for w in words)
-            return
         if self.plain:
             self.known.update((w, self._plain(w)) for w in words if w.isalpha() and max(w) <= "\xff")
             words = [w for w in words if w not in self.known]
@@ -113,31 +119,50 @@ class Encoder:
             tail, word = self.tails[word[-1]], word[:-1]
         return (word.lower() if word.isascii() or max(word) <= "\xff" else word), tail
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._ids(text), self.dtype).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [(t.lower() if self.joins and t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        if not self.joins:
+            return [self._whole(t) for t in texts]
+        split: list[list[str]] = []
+        whole = {}
+        for i, text in enumerate(texts):
+            low = text.lower()
+            if any(a in low for a in self.added):
+                whole[i] = self._whole(text)
+                split.append([])
+            else:
+                split.append((low if text.isascii() else text).replace("\n", " ").split(" "))
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         known = self.known
         known.setdefault("", b"")
         new = {w for ws in split for w in ws if w not in known}
-        cores = {w: self._core(w) for w in new} if self.joins else {}
-        learn = [w for w in {c for c, _ in cores.values()} or new if w not in known]
+        again = new & self.older.keys()
+        known.update((w, self.older[w]) for w in again)
+        cores = {w: self._core(w) for w in new - again}
+        learn = [w for w in {c for c, _ in cores.values()} if w not in known]
         for begin in range(0, len(learn), 2000):
             self._learn([w for w in learn[begin : begin + 2000] if self.MARK not in w])
-        known.update((w, np.array(self._ids(w), self.dtype).tobytes()) for w in learn if self.MARK in w)
+        known.update((w, self._whole(w)) for w in learn if self.MARK in w)
         known.update((w, known[c] + tail) for w, (c, tail) in cores.items())
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        out = [whole[i] if i in whole else b"".join(map(known.__getitem__, ws)) for i, ws in enumerate(split)]
+        for w in [w for w in (*new, *learn) if len(w) > LONG]:
+            known.pop(w, None)
+        return out
 
 
 class _Writer:
     """Appends documents to a shard; sequences go out as soon as a batch of them is full."""
 
-    def __init__(self, fs, path: str, dtype: np.dtype, length: int, batch: int):
+    def __init__(self, fs, path: str, attempt: int, dtype: np.dtype, length: int, batch: int):
         self.fs, self.path, self.dtype, self.length, self.batch = fs, path, dtype, length, batch
+        self.aside = f"{attempt}.part"
         kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
         self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.kind, self.waiting, self.size, self.total = kind, [], 0, 0
-        self.sink = fs.open_output_stream(f"{path}.arrow.part")
+        self.sink = fs.open_output_stream(f"{path}.arrow.{self.aside}")
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.index: list[tuple] = []
 
@@ -171,10 +196,10 @@ class _Writer:
         self.sink.close()
         ids, starts, counts = zip(*self.index, strict=True)
         index = pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "start", "n_tokens"])
-        with self.fs.open_output_stream(f"{self.path}.index.part") as sink, pa.ipc.new_file(sink, index.schema) as out:
+        with self.fs.open_output_stream(f"{self.path}.index.{self.aside}") as sink, pa.ipc.new_file(sink, index.schema) as out:
             out.write_batch(index)
         for kind in ("index", "arrow"):
-            self.fs.move(f"{self.path}.{kind}.part", f"{self.path}.{kind}")
+            self.fs.move(f"{self.path}.{kind}.{self.aside}", f"{self.path}.{kind}")
         return self.total, len(self.index)
 
 
@@ -199,16 +224,18 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id="doc_id", text="t
                 fs.create_dir(path)
                 name, low = f"part-{TaskContext.get().partitionId():06d}", ids[0]
                 # Attempts of one task write aside from each other; what is moved into place is the same.
-                writer = _Writer(fs, f"{path}/{name}", ids_of.dtype, length, batch)
+                writer = _Writer(fs, f"{path}/{name}", TaskContext.get().taskAttemptId(), ids_of.dtype, length, batch)
             texts = [t or "" for t in shard.column(1).to_pylist()]
             for i, data in zip(ids, ids_of.encode(texts), strict=True):
                 writer.add(i, data + tail)
+        ids_of.forget()
         if writer is not None:
             total, n = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [name], "n_tokens": [total], "n_docs": [n], "low": pa.array([low], pa.int64())})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
-    ordered = rows.repartitionByRange(F.col("i").asc_nulls_first()).sortWithinPartitions(F.col("i").asc_nulls_first(), "t")
+    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("m"))
+    # A hot id is dealt by its texts, and one text of it by its rows, which are alike.
+    ordered = rows.repartitionByRange(F.col("i").asc_nulls_first(), "h", "m").sortWithinPartitions(F.col("i").asc_nulls_first(), "h", "t").select("i", "t")
     ordered.mapInArrow(task, MANIFEST).write.parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest)
 
