@@ -7,7 +7,8 @@ label 1, calibrated by a temperature on sample rows kept aside.
 
 Vectors and network are fitted on a bounded sample: SAMPLE labelled rows, the first by a hash of their
 ids, without those held out. Tokens outside the VOCABULARY most frequent ones count as their shape
-(case, digits, length, symbols). Every document is scored whole.
+(case, digits, length, symbols), or as nothing if that is not among them either. Every document is
+scored whole.
 
 Nulls: a null or empty text has the mean of no tokens and is scored like any other; null labels and
 labels other than 0 and 1 teach nothing; of several labels of one document the largest counts. Without
@@ -37,7 +38,8 @@ DIMENSIONS, ENTRIES, REACH = 48, 4, 2
 HIDDEN, EPOCHS, RATE, SEED = 32, 40, 0.01, 11
 #: A document is good from this probability on.
 THRESHOLD = 0.7
-SHARD_BYTES = 8 << 20
+#: Text that is pooled at once, and tokens that a task remembers (some 100 bytes each).
+SHARD_BYTES, REMEMBERED = 2 << 20, 200_000
 
 AGAIN = ("<again 1>", "<again 2>")
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -69,32 +71,24 @@ def index_vector(token: str, dimensions: int = DIMENSIONS) -> np.ndarray:
 
 
 class Numbers(dict):
-    """Numbers of the tokens with vectors; others get the number of their shape."""
+    """Numbers of the tokens with vectors; others get the number of their shape, or the one behind the
+    last, which stands for nothing. A task makes its own."""
 
     def __init__(self, names: list[str]):
         super().__init__({n: i for i, n in enumerate(names)})
-        self.room = len(names) + 1_000_000
+        self.nothing, self.room = len(names), len(names) + REMEMBERED
 
     def __missing__(self, token: str) -> int:
-        n = self.get(shape(token), -1)
-        if n < 0:
-            n = self.get("<symbols>", 0)
+        n = self.get(shape(token), self.nothing)
         if len(self) < self.room:
             self[token] = n
         return n
 
-    def __reduce__(self):
-        return Numbers, ([k for k, _ in sorted(self.names().items(), key=lambda x: x[1])],)
-
-    def names(self) -> dict:
-        out: dict = {}
-        for k, v in self.items():
-            out.setdefault(v, k)
-        return {k: v for v, k in out.items()}
-
 
 @dataclass
 class Model:
+    """`vectors` has a row for each name, and one of zeros behind them."""
+
     names: list[str]
     vectors: np.ndarray
     weights: dict = field(default_factory=dict)
@@ -161,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, **columns) -> Model:
     sample = labelled_sample(docs, labels, **columns)
     counts = sample.select("label", "text").mapInArrow(_counts, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     names = [r.token for r in counts.orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()]
-    model = Model(names, np.zeros((max(1, len(names)), DIMENSIONS), np.float32))
+    model = Model(names, np.zeros((len(names) + 1, DIMENSIONS), np.float32))
     if not names:
         return model
     sums = sample.select("label", "text").coalesce(16).mapInArrow(_contexts(names), "at bigint, v array<double>").groupBy("at").agg(F.array(*[F.sum(F.col("v")[d]) for d in range(DIMENSIONS)]).alias("v"))
@@ -169,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, **columns) -> Model:
     for r in sums.collect():
         context[r.at] = r.v
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    model.vectors = (unit(context - context.mean(0)) + unit(np.array([index_vector(n) for n in names]))).astype(np.float32)
+    model.vectors[:-1] = unit(context - context.mean(0)) + unit(np.array([index_vector(n) for n in names]))
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(model.names)
