@@ -5,14 +5,15 @@ first, two sets that are similar enough share k of their first n - ceil(t n) + k
 prefixes (or all, if they have fewer). Documents with one prefix and size form a group; groups that share a prefix shingle are
 filtered into candidate clusters; the clusters' members are expanded and verified on their whole sets.
 
- 1. Every shingle of every document is counted in a table of bounded size (hashed, so some counts are
-    too high, alike for all). Any order is right; this one keeps what is common out of the prefixes.
+ 1. Every shingle of every document is counted in a hashed table that grows with the text up to a bound
+    (so some counts are too high, alike for all), of which orders of magnitude are kept. Any order is
+    right; this one keeps what is common out of the prefixes.
  2. Documents with one set are one member from here on. Groups that hold a prefix shingle are paired
     and filtered by size and by the shingles that they share; where more than FEW hold one, each is
     tied to the least of them, which leaves as many ties as rows, not as pairs.
  3. Clusters of paired or tied groups are verified, small ones in one task each. A large one is dealt in blocks,
     and each two blocks meet in a task of bounded size; so no cluster is too large, and none is cut.
-    A task gives a spanning forest of the links it finds, not all of them.
+    A task gives a spanning forest of the links it finds, not all of them, and how many each member has.
  4. Links make components. Similarity is only ever decided on pairs of sets.
 
 Nulls: a null text, or one without words, has no shingles and links with nothing; a null id still has a
@@ -23,6 +24,7 @@ again by a key of their row, never by id alone. Empty tables give empty results;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +40,15 @@ WORDS, PERCENT = 3, 90
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Shingles that candidates' prefixes share, and groups that hold one and are still paired.
 SHARED, FEW = 3, 128
-#: Bits of the table of counts (4 MB broadcast at 20), text of a shard, and work and shingles of a task.
-COUNT_BITS, SHARD_BYTES = 20, 4 << 20
-TASK_WORK, TASK_SHINGLES = 2_000_000_000, 4_000_000
+#: Bits of the table of counts, least and most (1 byte each is broadcast: 16 MB at 24), and text for each of them.
+COUNT_BITS, MOST_BITS, SLOT_BYTES = 20, 24, 1024
+#: Text of a shard, and work and shingles of a task.
+SHARD_BYTES = 1 << 20
+TASK_WORK, TASK_SHINGLES = 2_000_000_000, 2_000_000
 
 _CHUNK = 1 << 14
+#: Letters that are hashed at once, and of a word that is hashed by itself.
+_PIECE, _LONG = 1 << 20, 4096
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -61,6 +67,9 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_POWERS = _powers(_LONG + 1)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, A-Z in lower case, and how many each text has."""
     data = np.frombuffer(b"\n" + b"\n".join(t.lower() for t in texts) + b"\n", np.uint8)
@@ -72,10 +81,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), counts
     lengths = ends - starts
-    offsets = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum()) - np.repeat(offsets, lengths)
-    sums = np.add.reduceat(_BYTE[data[~space]] * _powers(int(lengths.max()))[place], offsets)
-    return _mix(sums + lengths.astype(np.uint64)), counts
+    hashes = np.empty(len(starts), np.uint64)
+    for i in np.flatnonzero(lengths > _LONG).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    short = np.flatnonzero(lengths <= _LONG)
+    letters = np.cumsum(lengths[short])
+    for part in np.split(short, np.searchsorted(letters, np.arange(_PIECE, letters[-1] if len(letters) else 0, _PIECE))):
+        if len(part):
+            n = lengths[part]
+            offsets = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(offsets, n)
+            sums = np.add.reduceat(_BYTE[data[np.repeat(starts[part], n) + place]] * _POWERS[place], offsets)
+            hashes[part] = _mix(sums + n.astype(np.uint64))
+    return hashes, counts
 
 
 def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -104,33 +122,37 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _counter(words: int, bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for shard in common.shards(batches, 0, SHARD_BYTES):
             for found in shingles(common.utf8(shard.column(0)), words):
                 np.add.at(total, (found >> np.uint64(64 - bits)).astype(np.int64), 1)
         parts = total.reshape(-1, min(_CHUNK, len(total)))
         used = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "counts": pa.array([parts[i].astype(np.uint32).tobytes() for i in used], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "counts": pa.array([parts[i].tobytes() for i in used], pa.binary())})
 
     return count
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of each chunk, as eighths of their order of magnitude in one byte."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             add = np.frombuffer(counts, np.uint32).astype(np.int64)
             total[chunk] = total.get(chunk, 0) + add
-    yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([np.minimum(t, 0xFFFFFFFF).astype(np.uint32).tobytes() for t in total.values()], pa.binary())})
+    yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([np.minimum(np.round(8 * np.log2(t + 1)), 255).astype(np.uint8).tobytes() for t in total.values()], pa.binary())})
 
 
-def shingle_counts(docs: DataFrame, text: str, words: int, bits: int = COUNT_BITS) -> np.ndarray:
-    """In how many documents shingles occur, by the first bits of their hashes, over all documents."""
+def shingle_counts(docs: DataFrame, text: str, words: int, bits: int | None = None) -> np.ndarray:
+    """In how many documents shingles occur, about, by the first bits of their hashes, over all documents."""
     kind = "chunk int, counts binary"
+    if bits is None:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        bits = min(MOST_BITS, max(COUNT_BITS, math.ceil(math.log2(size / SLOT_BYTES + 1))))
     rows = docs.select(text).mapInArrow(_counter(words, bits), kind).repartition(max(1, (1 << bits) // _CHUNK), "chunk").mapInArrow(_summed, kind)
-    out = np.zeros((max(1, (1 << bits) // _CHUNK), min(_CHUNK, 1 << bits)), np.uint32)
+    out = np.zeros((max(1, (1 << bits) // _CHUNK), min(_CHUNK, 1 << bits)), np.uint8)
     for chunk, counts in rows.collect():
-        out[chunk] = np.frombuffer(counts, np.uint32)
+        out[chunk] = np.frombuffer(counts, np.uint8)
     return out.ravel()
 
 
@@ -139,7 +161,7 @@ _MEMBERS = "row bigint, doc_id bigint, n bigint, member binary, grp bigint, pref
 
 def _members(words: int, percent: int, counts):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value.astype(np.uint64)
+        table = counts.value
         shift = np.uint64(64 - int(len(table)).bit_length() + 1)
         for shard in common.shards(batches, 2, SHARD_BYTES):
             sizes, members, groups, prefixes = [], [], [], []
@@ -152,7 +174,7 @@ def _members(words: int, percent: int, counts):
                     prefixes.append([])
                     continue
                 # Counts first, hashes within; found ascends, so a stable sort settles what the key leaves out.
-                key = (np.minimum(table[(found >> shift).astype(np.int64)], np.uint64((1 << 20) - 1)) << np.uint64(44)) | (found >> np.uint64(20))
+                key = (table[(found >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8))
                 prefix = found[np.argsort(key, kind="stable")[: prefix_length(n, percent)]].view(np.int64)
                 members.append(xxhash.xxh3_128_digest(found.tobytes()))
                 groups.append(xxhash.xxh3_64_intdigest(prefix.tobytes() + n.to_bytes(8, "little")) - (1 << 63))
@@ -183,9 +205,10 @@ def _candidates(found: DataFrame, percent: int) -> DataFrame:
     return shared.union(tied)
 
 
-def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the similar pairs. Intersections with all others come from the
-    lists of who holds each of a set's shingles."""
+def _forest(sets: list[np.ndarray], copies: np.ndarray, first: int, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges of a spanning forest of the similar pairs, and of each set the copies of those it is similar to.
+    Intersections with all others come from the lists of who holds each of a set's shingles. The first
+    so many sets are one block and the others another; if that is not none, only pairs of both count."""
     sizes = np.array([len(s) for s in sets])
     _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -195,8 +218,8 @@ def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     begin = np.cumsum(np.where(df > 1, df, 0)) - np.where(df > 1, df, 0)
     own = np.searchsorted(owner, np.arange(len(sets) + 1))
     root = np.arange(len(sets))
-    edges = []
-    for y in range(len(sets) - 1):
+    edges, links = [], np.zeros(len(sets), np.int64)
+    for y in range(first or len(sets) - 1):
         mine = token[own[y] : own[y + 1]]
         cost = np.cumsum(df[mine])
         both = np.zeros(len(sets), np.int64)
@@ -204,22 +227,32 @@ def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             part = mine[(cost > lo) & (cost <= lo + 4_000_000)]
             n = df[part]
             both += np.bincount(held[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(sets))
-        linked = np.flatnonzero(100 * both[y + 1 :] >= percent * (sizes[y + 1 :] + sizes[y] - both[y + 1 :])) + y + 1
+        rest = slice(first or y + 1, None)
+        linked = np.flatnonzero(100 * both[rest] >= percent * (sizes[rest] + sizes[y] - both[rest])) + rest.start
+        links[y] += copies[linked].sum()
+        links[linked] += copies[y]
         for r in np.unique(root[linked]).tolist():
             if r != root[y]:
                 edges.append((y, int(linked[root[linked] == r][0])))
                 root[root == r] = root[y]
-    return edges
+    return edges, links
 
 
 def _verify(percent: int):
     def task(table: pa.Table) -> pa.Table:
-        table = table.sort_by("member")
+        table = table.sort_by([("side", "ascending"), ("member", "ascending")])
         names = table.column("member").to_pylist()
-        first = [i for i, m in enumerate(names) if not i or m != names[i - 1]]
-        sets = [np.frombuffer(table.column("set")[i].as_py(), np.uint64) for i in first]
-        edges = _forest(sets, percent) if len(sets) > 1 else []
-        return pa.table({"a": pa.array([names[first[a]] for a, _ in edges], pa.binary()), "b": pa.array([names[first[b]] for _, b in edges], pa.binary())})
+        one = [i for i, m in enumerate(names) if not i or m != names[i - 1]]
+        sets = [np.frombuffer(table.column("set")[i].as_py(), np.uint64) for i in one]
+        sides = table.column("side").to_numpy()[one]
+        copies = table.column("copies").to_numpy()[one]
+        # A task of two blocks that got only one of them has nothing to do.
+        alone = table.column("i")[0].as_py() != table.column("j")[0].as_py() and (sides == sides[0]).all()
+        edges, links = ([], np.zeros(0, np.int64)) if alone or len(sets) < 2 else _forest(sets, copies, int((sides == 0).sum()) if sides[-1] else 0, percent)
+        has = np.flatnonzero(links)
+        a = [names[one[a]] for a, _ in edges] + [names[one[k]] for k in has.tolist()]
+        b = [names[one[b]] for _, b in edges] + [None] * len(has)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array([0] * len(edges) + links[has].tolist(), pa.int64())})
 
     return task
 
@@ -230,65 +263,76 @@ def _expand(words: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
         for shard in common.shards(batches, 0, SHARD_BYTES):
-            cols = [shard.column(c).to_pylist() for c in ("member", "root", "blocks", "block")]
+            cols = [shard.column(c).to_pylist() for c in ("member", "copies", "root", "blocks", "block")]
             out: list[tuple] = []
-            for found, member, root, blocks, block in zip(shingles(common.utf8(shard.column(0)), words), *cols, strict=True):
+            size = 0
+            for found, member, copies, root, blocks, block in zip(shingles(common.utf8(shard.column(0)), words), *cols, strict=True):
                 data = found.tobytes()
                 if member in told or xxhash.xxh3_128_digest(data) != member:
                     continue  # a copy of the row, or another row with this key
                 told.add(member)
-                pairs = [(0, 0)] if blocks == 1 else [(min(block, b), max(block, b)) for b in range(blocks) if b != block]
-                out += [(root, i, j, member, data) for i, j in pairs]
-                if sum(len(o[4]) for o in out[-len(pairs) :]) and len(out) > 256:
+                for b in range(blocks):
+                    i, j = min(block, b), max(block, b)
+                    out.append((root, i, j, int(block != i), member, copies, data))
+                    size += len(data)
+                    if size > SHARD_BYTES:
+                        yield _rows(out)
+                        out, size = [], 0
+                if len(out) > 256:
                     yield _rows(out)
-                    out = []
+                    out, size = [], 0
             yield _rows(out)
 
     return task
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out, strict=True)) or [()] * 5
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["root", "i", "j", "member", "set"])
+    columns = list(zip(*out, strict=True)) or [()] * 7
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["root", "i", "j", "side", "member", "copies", "set"])
 
 
 def _linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (row, doc_id, text) what they are (_MEMBERS), and of each member (member, label, first): its
-    component and its own first row (no id, doc_id, row) by id, null ids last, and then by key."""
+    """Of rows (row, doc_id, text) what they are (_MEMBERS), and of each member (member, label, first, links):
+    its component, its own first row (no id, doc_id, row) by id, null ids last, and then by key, and the
+    rows that each of its own links with."""
     spark = rows.sparkSession
     counts = spark.sparkContext.broadcast(shingle_counts(rows, "text", words))
     found = common.cut(rows.select("row", "doc_id", "text").mapInArrow(_members(words, percent, counts), _MEMBERS), "shingle-members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    members = found.filter(F.col("n") > 0).groupBy("member").agg(first.alias("first"), F.max("n").alias("n"), F.max("grp").alias("grp"))
+    members = found.filter(F.col("n") > 0).groupBy("member").agg(first.alias("first"), F.max("n").alias("n"), F.max("grp").alias("grp"), F.count(F.lit(1)).alias("copies"))
     members = common.cut(members, "distinct-sets")
 
     clusters = graph.components(_candidates(found, percent))
 
-    placed = members.join(clusters, F.col("grp") == F.col("node"), "left").select("member", "first", "n", F.coalesce("label", "grp").alias("root"))
+    placed = members.join(clusters, F.col("grp") == F.col("node"), "left").select("member", "first", "n", "copies", F.coalesce("label", "grp").alias("root"))
     placed = common.cut(placed, "placed")
     sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).filter(F.col("m") > 1)
     work = F.col("m").cast("double") * F.col("s")
     blocks = F.greatest(F.ceil(2 * F.sqrt(work / TASK_WORK)), F.ceil(2 * F.col("s") / TASK_SHINGLES))
     sizes = sizes.select("root", F.when((work <= TASK_WORK) & (F.col("s") <= TASK_SHINGLES), 1).otherwise(F.greatest(F.lit(2), blocks)).cast("int").alias("blocks"))
-    open_ = placed.join(sizes, "root").select(F.col("first.row").alias("__row"), "member", "root", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
-    texts = rows.join(open_, F.col("row") == F.col("__row")).select("text", "member", "root", "blocks", "block")
-    sets = texts.mapInArrow(_expand(words), "root bigint, i int, j int, member binary, set binary")
-    edges = sets.groupBy("root", "i", "j").applyInArrow(_verify(percent), "a binary, b binary")
-    linked = graph.components(edges)
-    return found, placed.join(linked, F.col("member") == F.col("node"), "left").select("member", F.coalesce("label", "member").alias("label"), "first")
+    open_ = placed.join(sizes, "root").select(F.col("first.row").alias("__row"), "member", "copies", "root", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
+    texts = rows.join(open_, F.col("row") == F.col("__row")).select("text", "member", "copies", "root", "blocks", "block")
+    sets = texts.mapInArrow(_expand(words), "root bigint, i int, j int, side int, member binary, copies bigint, set binary")
+    edges = common.cut(sets.groupBy("root", "i", "j").applyInArrow(_verify(percent), "a binary, b binary, n bigint"), "links")
+    linked = graph.components(edges.filter("b is not null").select("a", "b"))
+    others = edges.filter("b is null").groupBy(F.col("a").alias("__of")).agg(F.sum("n").alias("__others"))
+    named = placed.join(linked, F.col("member") == F.col("node"), "left").join(others, F.col("member") == F.col("__of"), "left")
+    links = F.col("copies") - 1 + F.coalesce("__others", F.lit(0))
+    return found, named.select("member", F.coalesce("label", "member").alias("label"), "first", links.alias("links"))
 
 
 def link(docs: DataFrame, doc_id="doc_id", text="text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the least id that links lead to, its own included."""
+    """(doc_id, n_shingles, component_id, n_links) of every row: the least id that links lead to, its own
+    included, and how many other rows it links with itself."""
     common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # Rows with one key are copies, or differ in their sets, which tells them apart.
     found, named = _linked(rows.withColumn("row", F.xxhash64("doc_id", "text")), words, percent)
     least_id = named.groupBy("label").agg(F.min("first.doc_id").alias("component_id"))
-    of_member = named.join(least_id, "label").select(F.col("member").alias("__member"), "component_id")
+    of_member = named.join(least_id, "label").select(F.col("member").alias("__member"), "component_id", "links")
     out = found.select("doc_id", "n", "member").join(of_member, F.col("member") == F.col("__member"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, doc_id="doc_id", text="text", words: int = NEAR_WORDS, percent: int = NEAR_PERCENT) -> DataFrame:
