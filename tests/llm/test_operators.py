@@ -96,13 +96,13 @@ def test_quality(spark):
     assert {r["__score"] for r in quality.classify(table, empty).collect()} == {0.5}
 
 
-def test_token_files(spark, docs):
+def test_token_files(spark, docs, monkeypatch):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     path = public.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    extra = spark.createDataFrame([(500, "It's a\x01b <|endoftext|> ÉÀ, don't. " * 300), (501, "İ Σας 12,5%.")], "doc_id long, text string")
+    extra = spark.createDataFrame([(500, "It's a\x01b <|endoftext|> ÉÀ, don't. " * 300), (501, "İ Σας 12,5%."), (502, "Ends <|ENDOFTEXT|> and <|StartOfText|>x"), (503, "long" * 100 + " word")], "doc_id long, text string")
     table = docs.select("doc_id", "text").union(extra)
     folder = common.shared_dir(spark, "tokens")
     manifest = token_files.write(table, folder, path, length=64, batch=4)
@@ -118,6 +118,14 @@ def test_token_files(spark, docs):
     shard = token_files.Shard(folder, name)
     ids, mask = shard.sequence(0)
     assert len(ids) == len(mask) == 64
+    # Every text by itself, when words are remembered for a short while, and by a tokenizer that keeps white space.
+    samples = [t for _, t in rows_of(table)]
+    for remembered, joins in ((150_000, True), (3, True), (3, False)):
+        monkeypatch.setattr(token_files, "REMEMBERED", remembered)
+        coder = token_files.Encoder(path)
+        coder.joins = joins
+        for text in samples + samples[::-1]:
+            assert coder.encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, coder.dtype).tobytes()
     empty = common.shared_dir(spark, "tokens")
     assert token_files.write(table.limit(0), empty, path).count() == 0
     assert token_files.read(spark, empty).count() == 0
@@ -264,21 +272,22 @@ def test_jaccard(spark, docs, words, percent, monkeypatch):
     for _, t in rows:
         own = re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
         sets.append(frozenset(tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))) if own else frozenset())
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                links[i], links[j] = links[i] + 1, links[j] + 1
                 root = [root[j] if r == root[i] else r for r in root]
     least = {}
     for (i, _), r in zip(rows, root):
         if i is not None:
             least[r] = min(least.get(r, i), i)
-    want = sorted((str(i), len(s), str(least.get(r))) for (i, _), s, r in zip(rows, sets, root))
+    want = sorted((str(i), len(s), str(least.get(r)), n) for (i, _), s, r, n in zip(rows, sets, root, links))
     for few, work in ((128, 2_000_000_000), (1, 2000)):  # paired in full; tied, and verified in blocks
         monkeypatch.setattr(jaccard, "FEW", few)
         monkeypatch.setattr(jaccard, "TASK_WORK", work)
-        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.link(docs, words=words, percent=percent).collect())
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in jaccard.link(docs, words=words, percent=percent).collect())
         assert got == want
     kept = jaccard.deduplicated(docs, words=words, percent=percent)
     assert kept.columns == docs.columns
