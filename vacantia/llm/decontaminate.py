@@ -1,9 +1,15 @@
 """Benchmark decontamination with training suffix arrays.
 
-Documents are read in shards of bounded size. Each shard gets a suffix array over words, and every
-suffix of every benchmark item is binary-searched in it: the range it lands on lists all verbatim
-occurrences, and the neighbours of that range bound its longest match. No document is shuffled, and
-one pass over the documents serves a block of items; a larger benchmark takes one pass for each block.
+Documents are read in shards of bounded size. Each shard gets the suffix array of all its words, and
+every suffix of the benchmark's items is binary-searched in it. Where it lands tells two things:
+
+ * the neighbours there bound its longest verbatim match, and of what stands between two landings in a
+   row the nearer one is the longest match of that place of a document;
+ * the range that begins with its first words (a window of them) lists all occurrences of that window.
+
+No document is shuffled. A pass over the documents serves a block of items of bounded size; what a pass
+has found is written before the next block is searched. A window that many items share is searched
+once and keeps the list of its items.
 
 Nulls: a null text has no words; a null item id is searched like others but not listed. Empty items
 match nothing. Repeated items with one id count as one. Very long texts are a shard of their own.
@@ -25,7 +31,7 @@ from vacantia.llm import common
 #: Words of a window, and the share of hit words (1 in 20) from which a document is contaminated.
 WINDOW, SHARE = 13, 20
 #: Bytes of text in a shard, and bytes of items searched in one pass over the documents.
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 4 << 20
 
 #: A-Z become lower case; every ASCII byte that is no letter or digit separates words.
 _FOLD = bytes(b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -35,135 +41,207 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-class _Vocabulary(dict):
-    """Numbers of benchmark words from 1; any other word is 0."""
-
-    def __missing__(self, word):
-        return 0
+class Numbers(dict):
+    """Numbers of words from 0 in the order in which they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def numbered(texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, ends): words of the texts as numbers from len(texts) on, each text with an end mark of its own
+    behind it that is less than any word, and where those stand."""
+    flat: list[int] = []
+    ends = []
+    for own in texts:
+        flat.extend(map(numbers.__getitem__, own))
+        ends.append(len(flat))
+        flat.append(-1)
+    tokens = np.array(flat, np.int64) + len(texts)
+    tokens[ends] = np.arange(len(texts))
+    return tokens, np.array(ends, np.int64)
+
+
+def suffix_array(tokens: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes in order. They are sorted by as many words as fit into 62 bits; those that
+    are equal so far are sorted on by the rank of the suffix behind what is known, which doubles it."""
+    n = len(tokens)
+    if n < 2:
+        return np.arange(n)
+    base = int(tokens.max()) + 2
+    known = max(1, int(62 / np.log2(base)))
+    padded = np.append(tokens + 1, np.zeros(known, np.int64))
+    key = np.zeros(n, np.int64)
+    for i in range(known):
+        key = key * base + padded[i : i + n]
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    rank = np.zeros(n + 1, np.int64)
+    rank[n] = -1
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    while True:
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
+            return order
+        at = order[tied]
+        behind = rank[np.minimum(at + known, n)]
+        by = np.lexsort((behind, rank[at]))
+        at, behind = at[by], behind[by]
+        order[tied] = at
+        group = rank[at]
+        new[tied] = np.append(True, (group[1:] != group[:-1]) | (behind[1:] != behind[:-1]))
+        rank[at] = np.maximum.accumulate(np.where(new[tied], tied, 0))
+        known *= 2
+
+
+def _shared(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words a from `at` on and b from `bt` on share, `most` at most."""
+    out = np.zeros(len(at), np.int64)
+    live = np.flatnonzero(most > 0)
+    while len(live):
+        live = live[a[at[live] + out[live]] == b[bt[live] + out[live]]]
+        out[live] += 1
+        live = live[out[live] < most[live]]
+    return out
 
 
 class Items:
-    """The windows of a block of benchmark items as rows of word numbers, padded with 0."""
+    """A block of benchmark items: their suffixes in order, and their distinct windows, each with its items."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
-        self.numbers, self.names = _Vocabulary(), []
-        rows, owners, starts, lengths = [], [], [], []
-        for name, text in items:
-            own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)]
-            n = min(window, len(own))
-            for at in range(len(own) - n + 1 if n else 0):
-                rows.append(own[at : at + n] + [0] * (window - n))
-                owners.append(len(self.names))
-                starts.append(at)
-                lengths.append(n)
-            self.names.append(name)
-        self.window = window
-        self.rows = np.array(rows, np.int64).reshape(-1, window)
-        self.owners, self.starts, self.lengths = np.array(owners, np.int64), np.array(starts, np.int64), np.array(lengths, np.int64)
-        self.least = int(self.lengths.min()) if len(rows) else 0
-
-
-class SuffixArray:
-    """Positions of a shard's word numbers in the order of the suffixes that begin there.
-
-    Only suffixes whose first words open some window are kept: others match no window at all. They are
-    ordered by as many words as a window has, since deeper order changes no range of a window.
-    """
-
-    def __init__(self, tokens: np.ndarray, items: Items):
-        self.tokens, self.items = np.concatenate([tokens, np.zeros(items.window, np.int64)]), items
-        base = len(items.numbers) + 1
-        fit = max(1, int(62 / np.log2(base + 1)))
-        head = min(items.least, fit)
-        opening = np.unique(_pack(items.rows, 0, head, base))
-        begins = _pack_at(self.tokens, np.flatnonzero(tokens), 0, head, base)
-        at = np.flatnonzero(tokens)[np.isin(begins, opening)]
-        parts = [(j, min(fit, items.window - j)) for j in range(0, items.window, fit)]
-        keys = [_pack_at(self.tokens, at, j, n, base) for j, n in parts]
-        order = np.lexsort(keys[::-1]) if len(at) else np.zeros(0, np.int64)
-        self.order = at[order]
-
-    def search(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each window, the range of suffixes that begin with it."""
-        return self._bound(left=True), self._bound(left=False)
-
-    def _bound(self, left: bool) -> np.ndarray:
-        rows, n = self.items.rows, self.items.lengths
-        low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(self.order), np.int64)
-        inside = np.arange(self.items.window)[None, :] < n[:, None]
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            suffix = self.tokens[self.order[np.minimum(mid, len(self.order) - 1)][:, None] + np.arange(self.items.window)]
-            differs = (suffix != rows) & inside
-            first = differs.argmax(1)
-            sign = np.where(differs.any(1), np.sign(np.take_along_axis(suffix - rows, first[:, None], 1)[:, 0]), 0)
-            right = open_ & ((sign < 0) if left else (sign <= 0))
-            low, high = np.where(right, mid + 1, low), np.where(open_ & ~right, mid, high)
+        self.window, self.numbers = window, Numbers()
+        self.names = [name for name, _ in items]
+        self.tokens, ends = numbered([words(text) for _, text in items], self.numbers)
+        self.base = len(items)
+        begins = np.append(0, ends[:-1] + 1) if len(ends) else ends
+        owner = np.repeat(np.arange(len(items)), ends + 1 - begins)
+        # Room: words up to the item's end. Windows are suffixes with room for one, or whole shorter items.
+        order = suffix_array(self.tokens)
+        order = order[self.tokens[order] >= self.base]
+        room = ends[owner[order]] - order
+        before = np.append(0, _shared(self.tokens, order[:-1], self.tokens, order[1:], np.minimum(room[:-1], room[1:])))
+        self.order, self.room, self.owner, self.at = order, room, owner[order], order - begins[owner[order]]
+        size = np.where(room >= window, window, np.where(self.at == 0, room, 0))
+        self.starts, self.sizes, self.of = [], [], []
+        for n in np.unique(size[size > 0]).tolist():
+            # Suffixes in order that share n words are together, and so are equal windows.
+            mine = np.flatnonzero(size == n)
+            least = np.minimum.reduceat(before[: mine[-1] + 1], np.append(0, mine[:-1] + 1))
+            new = np.append(True, least[1:] < n)
+            for own in np.split(mine, np.flatnonzero(new)[1:]):
+                self.starts.append(int(order[own[0]]))
+                self.sizes.append(n)
+                self.of.append(np.unique(self.owner[own]))
+        self.starts, self.sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
+
+
+class Shard:
+    """The suffix array of a shard's words."""
+
+    def __init__(self, texts: list[bytes], items: Items):
+        own = [words(t) for t in texts]
+        self.counts = [len(w) for w in own]
+        numbers = Numbers(items.numbers)
+        self.tokens, ends = numbered(own, numbers)
+        self.items, self.ends = items, ends
+        # End marks of texts and of items both lie below the words, whose numbers differ by this.
+        self.shift = len(texts) - items.base
+        self.order = suffix_array(self.tokens)
+
+    def bound(self, starts: np.ndarray, sizes: np.ndarray, right: bool) -> np.ndarray:
+        """Where, in the order of the suffixes, the items' words [start, start + size) would stand, left or right of
+        the suffixes that begin with them."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.order), np.int64)
+        query = self.items.tokens
+        while len(live := np.flatnonzero(low < high)):
+            mid = (low[live] + high[live]) // 2
+            at, start = self.order[mid], starts[live]
+            same = _shared(self.words, at, query, start, np.minimum(sizes[live], len(self.tokens) - at))
+            whole = same == sizes[live]
+            past = at + same >= len(self.tokens)
+            mine = self.words[np.minimum(at + same, len(self.tokens) - 1)]
+            theirs = query[np.minimum(start + same, len(query) - 1)]
+            after = np.where(whole, right, past | (mine < theirs))
+            low[live], high[live] = np.where(after, mid + 1, low[live]), np.where(after, high[live], mid)
         return low
 
-
-def _pack(rows, j, n, base):
-    out = np.zeros(len(rows), np.int64)
-    for i in range(j, j + n):
-        out = out * base + rows[:, i]
-    return out
-
-
-def _pack_at(tokens, at, j, n, base):
-    out = np.zeros(len(at), np.int64)
-    for i in range(j, j + n):
-        out = out * base + tokens[at + i]
-    return out
-
-
-def occurrences(texts: list[bytes], items: Items) -> tuple:
-    """(words of each text; then of each longest match: text, item, first word in the text, in the item, words)."""
-    counts, flat = [], []
-    get = items.numbers.__getitem__
-    for text in texts:
-        own = words(text)
-        counts.append(len(own))
-        flat.extend(map(get, own))
-        flat.append(0)
-    tokens = np.array(flat, np.int64)
-    none = np.zeros(0, np.int64)
-    if not len(items.rows):
-        return counts, none, none, none, none, none
-    array = SuffixArray(tokens, items)
-    if not len(array.order):
-        return counts, none, none, none, none, none
-    low, high = array.search()
-    sizes = high - low
-    window = np.repeat(np.arange(len(sizes)), sizes)
-    at = array.order[np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-    begins = np.cumsum([0, *[n + 1 for n in counts]])
-    text = np.searchsorted(begins, at, "right") - 1
-    return counts, *_longest(text, items.owners[window], at - begins[text], items.starts[window], items.lengths[window])
-
-
-def _longest(text, item, at, item_at, n):
-    """Chains of occurrences that go on word by word in both text and item: the longest verbatim matches."""
-    order = np.lexsort((at, at - item_at, item, text))
-    text, item, at, item_at, n = (x[order] for x in (text, item, at, item_at, n))
-    same = (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (at[1:] == at[:-1] + 1) & (item_at[1:] == item_at[:-1] + 1)
-    first = np.flatnonzero(np.concatenate([[True], ~same])) if len(at) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(at)) - 1
-    return text[first], item[first], at[first], item_at[first], at[last] + n[last] - at[first]
-
-
-_MATCH = "array<struct<item:string,item_at:bigint,at:bigint,n:bigint>>"
-_ARROW = pa.schema([("__hit_words", pa.int64()), ("__hit_matches", pa.list_(pa.struct([("item", pa.string()), ("item_at", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])))])
+    @property
+    def words(self) -> np.ndarray:
+        """Tokens in the items' numbers; end marks are less than any of theirs."""
+        if not hasattr(self, "_words"):
+            self._words = np.where(self.tokens >= len(self.ends), self.tokens - self.shift, -1)
+        return self._words
+
+    def occurrences(self) -> tuple[np.ndarray, ...]:
+        """(place, window) of all occurrences of windows."""
+        items = self.items
+        low, high = self.bound(items.starts, items.sizes, False), self.bound(items.starts, items.sizes, True)
+        n = high - low
+        window = np.repeat(np.arange(len(n)), n)
+        return self.order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], window
+
+    def longest(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, suffix) of the longest match of each place: the nearer of the two items' suffixes, by
+        their number in the items' order, that land around it."""
+        items = self.items
+        landed = self.bound(items.order, items.room, False)
+        rank = np.zeros(len(self.tokens), np.int64)
+        rank[self.order] = np.arange(len(self.order))
+        following = np.searchsorted(landed, rank[places], "right")
+        best, who = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        for suffix in (following - 1, following):
+            there = np.flatnonzero((suffix >= 0) & (suffix < len(landed)))
+            s = suffix[there]
+            n = _shared(self.words, places[there], items.tokens, items.order[s], np.minimum(items.room[s], len(self.tokens) - places[there]))
+            better = n > best[there]
+            best[there[better]], who[there[better]] = n[better], s[better]
+        return best, who
+
+
+_MATCH = T.StructType([T.StructField("item", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("item_at", "at", "n"))])
+_KINDS = T.StructType([T.StructField("__hit_words", T.LongType()), T.StructField("__hit_matches", T.ArrayType(_MATCH)), T.StructField("__hit_items", T.ArrayType(T.StringType()))])
+_ARROW = pa.schema([("__hit_words", pa.int64()), ("__hit_matches", pa.list_(pa.struct([("item", pa.string()), ("item_at", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))), ("__hit_items", pa.list_(pa.string()))])
+
+
+def matches(texts: list[bytes], items: Items) -> pa.Table:
+    """Of each text its words, its longest matches (item, where in it, where in the text, words) and the
+    items of which windows occur. A match that goes on from the word before is part of that one."""
+    shard = Shard(texts, items)
+    place, window = shard.occurrences()
+    text = np.searchsorted(shard.ends, place)
+    begins = np.append(0, shard.ends[:-1] + 1) if len(texts) else shard.ends
+    # Items: those of a text's distinct windows.
+    pair = np.unique(text * max(1, len(items.starts)) + window)
+    names = [[] for _ in texts]
+    for t, w in zip((pair // max(1, len(items.starts))).tolist(), (pair % max(1, len(items.starts))).tolist(), strict=True):
+        names[t].append(items.of[w])
+    listed = [sorted({items.names[i] for i in np.unique(np.concatenate(own)).tolist()} - {None}) if own else [] for own in names]
+    # Matches: whole short items as they are; the longest ones of places where a window begins.
+    full = items.sizes[window] == items.window
+    at = np.unique(place[full])
+    length, suffix = shard.longest(at)
+    short = np.flatnonzero(~full)
+    lead = items.starts[window[short]]
+    of_start = np.zeros(len(items.tokens), np.int64)
+    of_start[items.order] = np.arange(len(items.order))
+    goes_on = np.append(False, (at[1:] == at[:-1] + 1) & (length[1:] == length[:-1] - 1)) if len(at) else np.zeros(0, bool)
+    at, length, suffix = (np.append(x[~goes_on], y) for x, y in ((at, place[short]), (length, items.sizes[window[short]]), (suffix, of_start[lead])))
+    text = np.searchsorted(shard.ends, at)
+    by = np.lexsort((at, text))
+    found = pa.StructArray.from_arrays([pa.array([items.names[i] for i in items.owner[suffix[by]].tolist()], pa.string()), pa.array(items.at[suffix[by]]), pa.array((at - begins[text])[by] if len(at) else at), pa.array(length[by])], fields=list(_ARROW.field(1).type.value_type))
+    offsets = np.searchsorted(text[by], np.arange(len(texts) + 1)).astype(np.int32)
+    return pa.table([pa.array(shard.counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), found).cast(_ARROW.field(1).type), pa.array(listed, pa.list_(pa.string()))], schema=_ARROW)
 
 
 def _searcher(items: Items, column: int, keep: list[str], continued: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in common.shards(batches, column, SHARD_BYTES):
-            counts, *found = occurrences(common.utf8(shard.column(column)), items)
-            matches = shard.column("__hit_matches").to_pylist() if continued else [[] for _ in counts]
-            for text, item, at, item_at, n in zip(*(x.tolist() for x in found), strict=True):
-                matches[text].append({"item": items.names[item], "item_at": item_at, "at": at, "n": n})
-            hits = pa.table([counts, matches], schema=_ARROW)
-            yield from pa.table([*(shard.column(c) for c in keep), *hits.columns], names=[*keep, *_ARROW.names]).to_batches()
+            hits = matches(common.utf8(shard.column(column)), items)
+            columns = hits.columns
+            if continued:
+                columns = [columns[0], *(pa.array([a + b for a, b in zip(shard.column(name).to_pylist(), hits.column(name).to_pylist(), strict=True)], _ARROW.field(name).type) for name in _ARROW.names[1:])]
+            yield from pa.table([*(shard.column(c) for c in keep), *columns], names=[*keep, *_ARROW.names]).to_batches()
 
     return search
 
@@ -182,8 +260,9 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text="text", keep: list[str] | None = None, item_id="item_id", item_text="text", window: int = WINDOW) -> DataFrame:
-    """docs (their columns in `keep`) with __hit_words (number of words) and __hit_matches: the longest
-    verbatim matches of a window or more, with the item, where they are in it and in the text, and words."""
+    """docs (their columns in `keep`) with __hit_words (number of words), __hit_matches: the longest verbatim
+    matches of a window or more, with an item, where they are in it and in the text, and words; and
+    __hit_items: all items with windows that occur."""
     common.bounded_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     every = blocks(benchmark, item_id, item_text)
@@ -191,8 +270,10 @@ def find(docs: DataFrame, benchmark: DataFrame, text="text", keep: list[str] | N
     while block is not None:
         following = next(every, None)
         names = docs.columns if following is not None else keep
-        schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("__hit_words", T.LongType()), T.StructField("__hit_matches", T._parse_datatype_string(_MATCH))])
+        schema = T.StructType([docs.schema[c] for c in names] + _KINDS.fields)
         out = out.mapInArrow(_searcher(Items(block, window), docs.columns.index(text), names, not first), schema)
+        if following is not None:
+            out = common.cut(out, "benchmark-pass")
         block, first = following, False
     return out
 
@@ -211,7 +292,7 @@ def _contaminated(n_hit, n_words):
 
 def verdicts(found: DataFrame) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated from what find() adds."""
-    items = F.array_sort(F.array_distinct(F.filter(F.transform("__hit_matches", lambda m: m["item"]), lambda i: i.isNotNull())))
+    items = F.array_sort(F.array_distinct("__hit_items"))
     return found.withColumns({
         "n_words": F.col("__hit_words"),
         "n_hit": _n_hit(),
