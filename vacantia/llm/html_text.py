@@ -2,12 +2,15 @@
 
 A page is read as the sequence of its leaf blocks: runs of text between block-level tags, scripts,
 styles, comments and the head left out. Each block has a vector of its tag path (hashed tags, classes
-and ids of its ancestors), one of its words (hashed) and a few counts. A bidirectional LSTM in numpy
+and ids of its ancestors), one of its words (the mean of a fixed random vector for each word's hash) and
+a few counts. A bidirectional LSTM in numpy
 reads the whole sequence in both directions and labels every block as main text or not.
 
 The network is trained on PAGES pages that rules make here, in many layouts, with menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments of known place; nothing is learned from
-the table. Pages are read whole, blocks are neither dropped nor shortened but by their label.
+the table. Pages are read whole, blocks are neither dropped nor shortened but by their label. A head
+ends with the first tag that may not stand in one, and an element that shows no text (svg, canvas ...)
+counts as such only if it is closed further on, so broken pages keep their text.
 
 Nulls: a null or empty page has an empty text; a page without blocks too. Rows are independent of each
 other: repeated rows repeat their result, an empty table gives an empty one, other columns pass by.
@@ -16,7 +19,9 @@ other: repeated rows repeat their result, an empty table gives an empty one, oth
 from __future__ import annotations
 
 import functools
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,38 +37,54 @@ from vacantia.llm import common
 PATH, WORDS, COUNTS, STATE = 48, 12, 8, 20
 #: Pages that teach, passes over them, and pages that are labelled together.
 PAGES, EPOCHS, RATE, SEED, TOGETHER = 1400, 9, 0.01, 23, 64
-SHARD_BYTES = 8 << 20
+#: Bytes of pages at once; blocks that are labelled together (a longer page alone) and steps that are prepared.
+SHARD_BYTES, BLOCKS, STEPS = 2 << 20, 1 << 14, 1 << 12
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 _SILENT = frozenset("script style noscript template head title svg math object iframe canvas audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the first kind ends an open element of the second kinds.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
+#: What may stand in a head, and what shows no text even where it isn't closed.
+_IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
+_OPEN_SILENT = frozenset("script style head title".split())
+#: Shapes of a drawing: they hold neither text nor structure.
+_SHAPES = frozenset("path circle ellipse rect line polygon polyline g use defs symbol".split())
+_CLOSERS = re.compile(r"</([a-z]+)", re.I)
 _BOUNDS = frozenset("table ul ol dl select body html article section div main aside nav header footer form".split())
 
 
 class Blocks(HTMLParser):
-    """The leaf blocks of a page: (tag path, text, characters in links)."""
+    """The leaf blocks of a page: (vector of the tag path, its length, text, characters in links)."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.found: list[tuple[tuple[str, ...], str, int]] = []
+        #: Open elements with the sum of their own and their ancestors' vectors, and how many those are.
+        self.stack: list[tuple[str, np.ndarray, int]] = []
+        self.open: Counter = Counter()
+        self.ends = Counter(t.lower() for t in _CLOSERS.findall(html))
+        self.found: list[tuple[np.ndarray, int, str, int]] = []
         self.text: list[str] = []
         self.linked = self.links = self.silent = 0
+        self.feed(html)
+        self.close()
+        self.flush()
 
     def flush(self) -> None:
         if self.text:
             words = " ".join("".join(self.text).split())
             if words:
-                self.found.append((tuple(t for _, own in self.stack for t in own), words, self.linked))
+                _, path, n = self.stack[-1] if self.stack else ("", _NOWHERE, 0)
+                self.found.append((path, n, words, self.linked))
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag not in _INLINE:
             self.flush()
+            if self.open["head"] and tag not in _IN_HEAD:
+                self._pop(next(at for at, e in enumerate(self.stack) if e[0] == "head"))
             closes = _CLOSES.get(tag, {"p"})
-            for at in range(len(self.stack) - 1, -1, -1):
+            for at in range(len(self.stack) - 1, -1, -1) if any(self.open[c] for c in closes) else ():
                 if self.stack[at][0] in closes:
                     self._pop(at)
                     break
@@ -73,11 +94,15 @@ class Blocks(HTMLParser):
             self.text.append(" ")
         if tag in _VOID:
             return
-        own = (tag,)
+        own = [tag]
         for name, value in attrs:
             if value and name in ("class", "id", "role"):
-                own += tuple(f"{name[0]}.{v}" for v in value.lower().replace("-", " ").replace("_", " ").split())
-        self.stack.append((tag, own))
+                own += [f"{name[0]}.{v}" for v in value.lower().replace("-", " ").replace("_", " ").split()]
+        if tag in _SHAPES or (tag in _SILENT and tag not in _OPEN_SILENT and not self.ends[tag]):
+            return
+        _, path, n = self.stack[-1] if self.stack else ("", _NOWHERE, 0)
+        self.stack.append((tag, path + _own_vector(tuple(own)), n + len(own)))
+        self.open[tag] += 1
         self.links += tag == "a"
         self.silent += tag in _SILENT
 
@@ -87,14 +112,18 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def _pop(self, at: int) -> None:
-        for tag, _ in self.stack[at:]:
+        for tag, _, _ in self.stack[at:]:
+            self.open[tag] -= 1
             self.links -= tag == "a"
             self.silent -= tag in _SILENT
         del self.stack[at:]
 
     def handle_endtag(self, tag):
+        self.ends[tag] -= 1
         if tag not in _INLINE:
             self.flush()
+        if not self.open[tag]:
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
                 self._pop(at)
@@ -109,12 +138,8 @@ class Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    return parser.found
+def blocks(html: str) -> list[tuple[np.ndarray, int, str, int]]:
+    return Blocks(html).found
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -123,27 +148,25 @@ def _hashed(token: str, size: int) -> np.ndarray:
     return np.random.default_rng(zlib.crc32(token.encode("utf-8", "surrogatepass"))).choice(np.array([-1.0, 1.0], np.float32), size) / np.float32(np.sqrt(size) / 2)
 
 
-@functools.lru_cache(maxsize=1 << 14)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH, np.float32)
-    for token in path:
-        out += _hashed(token, PATH)
-    return out
+@functools.lru_cache(maxsize=1 << 12)
+def _own_vector(own: tuple[str, ...]) -> np.ndarray:
+    return sum((_hashed(token, PATH) for token in own), np.zeros(PATH, np.float32))
 
 
-_WORD_TABLE = np.random.default_rng(7).normal(0, 1, (512, WORDS)).astype(np.float32)
+_NOWHERE = np.zeros(PATH, np.float32)
+_WORD_TABLE = np.random.default_rng(7).normal(0, 1, (1 << 13, WORDS)).astype(np.float32)
 
 
-def features(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def features(found: list[tuple[np.ndarray, int, str, int]]) -> np.ndarray:
     out = np.zeros((len(found), PATH + WORDS + COUNTS), np.float32)
-    for i, (path, text, linked) in enumerate(found):
+    for i, (path, depth, text, linked) in enumerate(found):
         words = text.split(" ")
-        out[i, :PATH] = _path_vector(path)
-        ids = np.fromiter((len(w) * 31 + ord(w[0]) * 7 + ord(w[-1]) for w in words), np.int64, len(words)) & 511
+        out[i, :PATH] = path
+        ids = np.fromiter((zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % len(_WORD_TABLE)
         out[i, PATH : PATH + WORDS] = _WORD_TABLE[ids].mean(0)
         n = len(text)
         ends = text.count(". ") + text.count("! ") + text.count("? ") + (text[-1] in ".!?…")
-        out[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, linked / n, min(ends, 4) / 4, i / len(found), 1 / (1 + i), text[0].isupper(), len(path) / 8)
+        out[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, linked / n, min(ends, 4) / 4, i / len(found), 1 / (1 + i), text[0].isupper(), min(depth, 64) / 8)
     return out
 
 
@@ -181,6 +204,27 @@ class Labeller:
         hs = np.concatenate([runs["f"][0], runs["b"][0]], axis=2)
         return (hs @ self.p["o"] + self.p["ob"])[:, :, 0], hs, runs
 
+    def labels(self, x, mask) -> np.ndarray:
+        """Logits without what learning needs: STEPS steps are prepared at a time, and only the state is kept."""
+        steps, n = x.shape[:2]
+        out = np.full((steps, n), self.p["ob"][0], np.float32)
+        for at, d in enumerate("fb"):
+            h = c = np.zeros((n, STATE), np.float32)
+            begins = range(0, steps, STEPS)
+            for begin in begins if d == "f" else reversed(begins):
+                part = slice(begin, begin + STEPS)
+                z, m = x[part] @ self.p[f"x{d}"] + self.p[f"b{d}"], mask[part][:, :, None]
+                hs = np.zeros((len(z), n, STATE), np.float32)
+                for t in range(len(z)) if d == "f" else range(len(z) - 1, -1, -1):
+                    a = z[t] + h @ self.p[f"h{d}"]
+                    s = 1 / (1 + np.exp(-np.clip(a[:, : 3 * STATE], -30, 30)))
+                    new = s[:, STATE : 2 * STATE] * c + s[:, :STATE] * np.tanh(a[:, 3 * STATE :])
+                    c = m[t] * new + (1 - m[t]) * c
+                    h = m[t] * (s[:, 2 * STATE :] * np.tanh(new)) + (1 - m[t]) * h
+                    hs[t] = h
+                out[part] += (hs @ self.p["o"][at * STATE : (at + 1) * STATE])[:, :, 0]
+        return out
+
     def gradient(self, x, mask, labels):
         logit, hs, runs = self.logits(x, mask)
         d = (((1 / (1 + np.exp(-np.clip(logit, -30, 30)))) - labels) * mask / mask.sum())[:, :, None]
@@ -394,11 +438,15 @@ def main_texts(pages: list[str], net: Labeller) -> list[str]:
     found = [blocks(p) for p in pages]
     out = ["" for _ in pages]
     order = sorted((i for i, f in enumerate(found) if f), key=lambda i: len(found[i]))
-    for begin in range(0, len(order), TOGETHER):
-        part = order[begin : begin + TOGETHER]
-        logit = net.logits(*_batch([features(found[i]) for i in part]))[0]
+    parts: list[list[int]] = []
+    for i in order:  # pages of about one length; padded, a part holds no more than BLOCKS blocks or one page
+        if not parts or len(parts[-1]) == TOGETHER or len(found[i]) * (len(parts[-1]) + 1) > BLOCKS:
+            parts.append([])
+        parts[-1].append(i)
+    for part in parts:
+        logit = net.labels(*_batch([features(found[i]) for i in part]))
         for j, i in enumerate(part):
-            out[i] = "\n\n".join(text for (_, text, _), score in zip(found[i], logit[: len(found[i]), j].tolist(), strict=True) if score > 0)
+            out[i] = "\n\n".join(text for (_, _, text, _), score in zip(found[i], logit[: len(found[i]), j].tolist(), strict=True) if score > 0)
     return out
 
 

@@ -28,10 +28,13 @@ from vacantia.llm import common
 
 #: Documents that teach a language, about; n-grams of a profile and of a document.
 PER_LANGUAGE, PROFILE = 1000, 300
-SHARD_BYTES = 8 << 20
+#: Bytes of text at once, and characters of a text whose n-grams are counted at once.
+SHARD_BYTES, PIECE = 2 << 20, 1 << 18
 UNKNOWN = "und"
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters are what str.isalpha takes for them; \w also has numbers that \d lacks (½ ² ① Ⅷ).
+_NUMBERS = "".join(c for c in map(chr, range(0xA0, 0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 _BITS = 21
 
 
@@ -40,11 +43,24 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = _NO_LETTERS.sub(" ", text.lower()).strip()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    words = f" {words} "
+    found = [_grams(words[at : at + PIECE + 2], at + PIECE + 2 >= len(words)) for at in range(0, len(words) - 1, PIECE)]
+    return found[0] if len(found) == 1 else summed(found)
+
+
+def _grams(piece: str, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that begin in a piece; its last two characters belong to the next one, if there is one."""
+    c = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    own = len(c) if last else len(c) - 2
     two = (c[:-1] << _BITS) | c[1:]
     three = (two[:-1] << _BITS) | c[2:]
     inner = c[1:-1] != 32  # no n-gram goes on behind a word's end
-    return np.unique(np.concatenate([c[c != 32], two, three[inner]]), return_counts=True)
+    return np.unique(np.concatenate([c[:own][c[:own] != 32], two[:own], three[inner]]), return_counts=True)
+
+
+def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    ids, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    return ids, np.bincount(at, np.concatenate([f[1] for f in found]), len(ids)).astype(np.int64)
 
 
 def top(ids: np.ndarray, counts: np.ndarray, n: int = PROFILE) -> np.ndarray:
@@ -62,8 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(shard.column(0).to_pylist(), shard.column(1).to_pylist(), strict=True):
             by.setdefault(lang, []).append(grams(text or ""))
         for lang, found in by.items():
-            ids, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([f[1] for f in found]), len(ids)).astype(np.int64)
+            ids, counts = summed(found)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(ids), pa.string()), "gram": ids, "n": counts})
 
 
