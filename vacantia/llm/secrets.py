@@ -1,10 +1,11 @@
-"""Secret scan: fixed patterns, and a character convolutional network over every further candidate.
-
-A candidate is any long unbroken run of key-like characters that no pattern has matched; a run that the
-patterns match in part is split around their spans, and the long parts between a run's path separators
-and equals signs are candidates besides the run. The network reads a candidate in overlapping windows,
-each with a stretch of context on either side, and gives a probability; the windows above a threshold,
-joined where they meet, are added to the patterns' spans, which always stay. It is trained on
+"""Secret scan: fixed patterns, and a character convolutional network over every candidate.
+
+Candidates are what the patterns match, what they match but drop as too short, and any other unbroken
+run of key-like characters with letters and digits; a run that the patterns match in part is split
+around their spans, and the long parts between a run's path separators and equals signs are candidates
+besides the run. The network reads a candidate in overlapping windows, each with a stretch of context on
+either side, and gives a probability; the windows above a threshold, joined where they meet, are added to
+the patterns' spans, which always stay and carry their own probability. It is trained on
 labelled findings that are made from rules here: secrets of many shapes in the contexts that carry
 them, against words, numbers, paths, addresses and hyphenated prose in the same contexts. Probabilities
 are calibrated by a temperature on findings kept aside, and the threshold is the highest one that
@@ -34,8 +35,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 PATTERNS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 
-#: A further candidate: a long run of key characters with a digit in it.
-LEAST = 20
+#: A further candidate: a run of key characters with letters and digits in it.
+LEAST = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 PART = re.compile(rf"[^/=]{{{LEAST},}}")
 
@@ -43,8 +44,8 @@ PART = re.compile(rf"[^/=]{{{LEAST},}}")
 WIDTH, SIDE, STRIDE = 48, 24, 16
 CHANNELS, FILTERS, KERNEL, HIDDEN = 12, 24, 5, 24
 FINDINGS, EPOCHS, SEED = 4000, 6, 17
-RECALL = 0.97
-SHARD_BYTES = 8 << 20
+RECALL = 0.99
+SHARD_BYTES = 2 << 20
 
 _CLASSES = np.zeros(128, np.int64)
 for _i, _group in enumerate(("abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "01234", "56789", "+/", "_-", "=", ":", "\"'`", " ", "\n\t\r", ".,;!?", "()[]{}<>", "#$%&*@^~|\\"), 1):
@@ -56,12 +57,20 @@ N_CLASSES, _OTHER, _OUTSIDE = 19, 17, 18
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the fixed patterns' matches, in order."""
-    out = []
+    return [(a, kind, b) for a, kind, b, _ in matched(text)[0]]
+
+
+def matched(text: str) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """The fixed patterns' matches in order, (start, kind's number, end, start of what counts), and where
+    values of assignments and access ids stand that are too short to be matches."""
+    out, short = [], []
     for kind, (_, pattern, group, least) in enumerate(PATTERNS):
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
-                out.append((m.start(), kind, m.end()))
-    return sorted(out)
+                out.append((m.start(), kind, m.end(), m.start(group)))
+            elif pattern is not HEX:
+                short.append(m.span(group))
+    return sorted(out), short
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -163,7 +172,8 @@ class Network:
 
 def findings(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Labelled windows of n findings: key material of several alphabets, alone or within a longer run,
-    and what merely looks long. A window that holds less than LEAST of a key is not used."""
+    assigned as the patterns have it, and what merely looks like it. A window that holds less than LEAST
+    of a key, or a part of a shorter one, is not used."""
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     draw = lambda alphabet, k: "".join(rng.choice(list(alphabet), k))
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "ment", "tion", "eau", "que", "ch", "ung", "keit", "ver", "los", "ción", "ar", "pa", "vi", "le", "sch"]
@@ -171,7 +181,7 @@ def findings(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     prose = lambda k: " ".join(word() for _ in range(k))
 
     def secret() -> str:
-        k = int(rng.integers(20, 72))
+        k = int(rng.integers(14, 72))
         kind = rng.integers(6)
         if kind == 0:
             return draw(lower + upper + digits, k)
@@ -189,39 +199,55 @@ def findings(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         kind = rng.integers(8)
         number = lambda k: draw(digits, k)
         if kind == 0:
-            return "-".join(word() for _ in range(rng.integers(3, 8))) + "-" + number(int(rng.integers(1, 5)))
+            return "-".join(word() for _ in range(rng.integers(2, 8))) + "-" + number(int(rng.integers(1, 5)))
         if kind == 1:
             return "/".join(word() for _ in range(rng.integers(3, 8))) + "/" + number(int(rng.integers(1, 6)))
         if kind == 2:
-            return "_".join(word() for _ in range(rng.integers(3, 8))) + number(int(rng.integers(1, 5)))
+            return "_".join(word() for _ in range(rng.integers(2, 8))) + number(int(rng.integers(1, 5)))
         if kind == 3:
-            return "".join(word() for _ in range(rng.integers(4, 9))) + number(int(rng.integers(1, 5)))
+            return "".join(word() for _ in range(rng.integers(2, 9))) + number(int(rng.integers(1, 5)))
         if kind == 4:
-            return "".join(word().title() for _ in range(rng.integers(4, 9))) + number(int(rng.integers(1, 4)))
+            return "".join(word().title() for _ in range(rng.integers(2, 9))) + number(int(rng.integers(1, 4)))
         if kind == 5:
-            return f"{number(4)}-{number(2)}-{number(2)}T{number(6)}Z-{word()}{word()}"
+            return f"{number(4)}-{number(2)}-{number(2)}T{number(6)}Z" + (f"-{word()}{word()}" if rng.random() < 0.5 else "")
         if kind == 6:
             return str(rng.choice(["=", "-", "_"])) * int(rng.integers(16, 40)) + number(2) + word() * 2
         return number(int(rng.integers(16, 30))) + word()
 
+    def assigned() -> tuple[str, str, str]:
+        """Before, value and after of an assignment, or a bare hexadecimal or access id."""
+        kind = rng.integers(4) if label else 3
+        if kind == 0:
+            return "", draw("0123456789abcdef", int(rng.integers(16, 65))), ""
+        if kind == 1:
+            return "", "AKIA" + draw(upper + digits, int(rng.integers(8, 22))), ""
+        name = str(rng.choice(["password", "Passwd", "secret", "token", "TOKEN", "api_key", "apikey"])) + str(rng.choice([": ", "=", " = ", ":="]))
+        mark = str(rng.choice(["", "", '"', "'"]))
+        value = draw(lower + upper + digits + "_-.", int(rng.integers(7, 16))) if kind == 2 else draw(str(rng.choice(["0123456789abcdef", lower + upper + digits])), int(rng.integers(12, 48))) if label else str(rng.choice(["-", "_", "."])).join(word() for _ in range(rng.integers(1, 5)))
+        return name + mark, value, mark
+
     codes, labels = [], []
     for _ in range(n):
         label = int(rng.random() < 0.4)
-        body = secret() if label else harmless()
+        lead_in = tail = ""
+        if of_pattern := rng.random() < 0.25:
+            lead_in, body, tail = assigned()
+        else:
+            body = secret() if label else harmless()
         lead = rng.integers(4)
         before = "" if lead == 0 else str(rng.choice(["key: ", "auth=", "Bearer ", "credential = '", "\"private\": \"", "id=", "see ", "file ", "url /"])) if lead == 1 else prose(3) + " "
         after = str(rng.choice(["", "\n", " ", "'", '",', ". ", ", "])) + (prose(3) if rng.random() < 0.7 else "")
-        lead_in = tail = ""
-        if label and rng.random() < 0.4:  # within a longer run
+        if label and not of_pattern and rng.random() < 0.4:  # within a longer run
             mark = str(rng.choice(["/", "/", "_", "-", "="]))
             run = lambda: mark.join(word() for _ in range(rng.integers(1, 7)))  # noqa: B023, E731
             lead_in, tail = run() + mark, mark + run()
         text = before + lead_in + body + tail + after
         begin, end = (at := len(before) + len(lead_in)), at + len(body)
-        for a, b in candidates(text, []):
+        base, short = matched(text)
+        for a, b in [*((own, e) for _, _, e, own in base), *short, *candidates(text, [m[:3] for m in base])]:
             for x, y in windows(a, b):
                 held = min(y, end) - max(x, begin) if label else 0
-                if held <= 0 or held >= LEAST:
+                if held <= 0 or held >= min(LEAST, end - begin):
                     codes.append(encode(text, x, y))
                     labels.append(int(held > 0))
     return np.array(codes), np.array(labels, float)
@@ -261,14 +287,20 @@ def _joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _scan(batches: Iterator[pa.RecordBatch], net: Network, keep: list[str], column: int) -> Iterator[pa.RecordBatch]:
     for shard in common.shards(batches, column, SHARD_BYTES):
         texts = [t or "" for t in shard.column(column).to_pylist()]
-        base = [base_spans(t) for t in texts]
-        places = [(i, x, y) for i, t in enumerate(texts) for a, b in candidates(t, base[i]) for x, y in windows(a, b)]
+        found = [matched(t) for t in texts]
+        base = [[m[:3] for m in f] for f, _ in found]
+        # Windows of the patterns' own matches, by their number, and of the further candidates (-1).
+        places = [(i, k, x, y) for i, (f, _) in enumerate(found) for k, (_, _, b, own) in enumerate(f) for x, y in windows(own, b)]
+        places += [(i, -1, x, y) for i, t in enumerate(texts) for a, b in (*found[i][1], *candidates(t, base[i])) for x, y in windows(a, b)]
         above: list[list] = [[] for _ in texts]
+        sure = [[0.0] * len(f) for f in base]
         for begin in range(0, len(places), 4096):
             part = places[begin : begin + 4096]
-            chance = net.probability(np.array([encode(texts[i], a, b) for i, a, b in part]))
-            for (i, a, b), p in zip(part, chance.tolist(), strict=True):
-                if p >= net.threshold:
+            chance = net.probability(np.array([encode(texts[i], a, b) for i, _, a, b in part]))
+            for (i, k, a, b), p in zip(part, chance.tolist(), strict=True):
+                if k >= 0:
+                    sure[i][k] = max(sure[i][k], p)
+                elif p >= net.threshold:
                     above[i].append((a, b))
         added = [[(a, len(PATTERNS), b) for a, b in _joined(x)] for x in above]
         names = [p[0] for p in PATTERNS] + ["learned"]
@@ -277,15 +309,17 @@ def _scan(batches: Iterator[pa.RecordBatch], net: Network, keep: list[str], colu
         out = {n: shard.column(n) for n in keep} | {f"n_{names[k]}": pa.array(count(k), pa.int64()) for k in range(3)}
         out["base_sha256"] = [hashlib.sha256(told(s).encode()).hexdigest() for s in base]
         out["spans"] = [told(sorted(s + x)) for s, x in zip(base, added, strict=True)]
+        out["base_scores"] = [",".join(f"{p:.3f}" for p in s) for s in sure]
         yield from pa.table(out).to_batches()
 
 
 def scan(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end, comma-joined) of each row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined) and base_scores (the
+    network's probabilities of the patterns' spans, likewise) of each row."""
     common.bounded_batches(docs.sparkSession)
     net = trained()
     rows = docs.select(F.col(doc_id), F.col(text))
-    schema = f"{rows.schema[0].simpleString().split(':')[0]} {rows.schema[0].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+    schema = f"{rows.schema[0].simpleString().split(':')[0]} {rows.schema[0].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, base_scores string"
     return rows.mapInArrow(lambda batches: _scan(batches, net, [doc_id], 1), schema)
 
 
