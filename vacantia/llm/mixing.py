@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vacantia.llm import common
+
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 #: Demand at t = 0 relative to its mean, for each of the weights; at t = 1 it is 2 minus that.
@@ -68,24 +70,34 @@ def when_reached(share: Column, opening: Column) -> Column:
     return F.when(opening == 1, share).otherwise((F.sqrt(opening * opening + 4 * bend * share) - opening) / (2 * bend))
 
 
-def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, opening=OPENING, repeats: int = REPEATS, n_rows: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, opening=OPENING, repeats: int = REPEATS, n_rows: int | None = None, size: Column | None = None) -> DataFrame:
     """docs with what the mix takes of each row: __mix_size, __mix_total (of its source), __mix_target,
     __mix_start (first word in its source's stream), __mix_open and __mix_taken.
 
     A source's documents stand in the order of a hash of their ids. Their running word count is made
     in two steps so that a hot source is not one task: sums of hash ranges, then counts within a range.
+    Sizes are counted in the text where no column of them is given; where one is, equal rows are one until
+    their words are dealt out, so that neither is an id that very many rows share.
     """
     n_rows = docs.count() if n_rows is None else n_rows
     digits = max(1, math.ceil(math.log(max(n_rows / BUCKET_ROWS, 1), 16)))
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    sized = docs.withColumns({"__mix_key": F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source))), "__mix_size": n_words(text), "__mix_order": key, "__mix_range": F.substring(key, 1, digits)})
-    ranges = sized.groupBy("__mix_key", "__mix_range").agg(F.sum("__mix_size").alias("__mix_words"))
+    sized = docs.withColumns({"__mix_key": F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source))), "__mix_size": n_words(text) if size is None else size, "__mix_order": key, "__mix_range": F.substring(key, 1, digits)})
+    if size is None:
+        sized = sized.withColumn("__mix_copies", F.lit(1))
+    else:
+        sized = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("__mix_copies"))
+    words = F.col("__mix_size") * F.col("__mix_copies")
+    ranges = sized.groupBy("__mix_key", "__mix_range").agg(F.sum(words).alias("__mix_words"))
     earlier = W.partitionBy("__mix_key").orderBy("__mix_range").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.withColumn("__mix_before", F.coalesce(F.sum("__mix_words").over(earlier), F.lit(0)))
     targets = source_targets(ranges.groupBy("__mix_key").agg(F.sum("__mix_words").alias("__mix_total")), weights, opening, repeats)
     plan = ranges.select("__mix_key", "__mix_range", "__mix_before").join(targets, "__mix_key")
     inside = W.partitionBy("__mix_key", "__mix_range").orderBy("__mix_order", F.col(doc_id), "__mix_size").rowsBetween(W.unboundedPreceding, -1)
-    out = sized.join(plan, ["__mix_key", "__mix_range"]).withColumn("__mix_start", F.col("__mix_before") + F.coalesce(F.sum("__mix_size").over(inside), F.lit(0)))
+    out = sized.join(plan, ["__mix_key", "__mix_range"]).withColumn("__mix_start", F.col("__mix_before") + F.coalesce(F.sum(words).over(inside), F.lit(0)))
+    if size is not None:
+        out = out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_copies") - 1)))
+        out = out.withColumn("__mix_start", F.col("__mix_start") + F.col("__mix_copy") * F.col("__mix_size")).drop("__mix_copy")
     passes = [_words(i) for i in range(repeats)]
     return out.withColumn("__mix_taken", sum(passes[1:], passes[0]))
 
@@ -118,9 +130,10 @@ def mixed_corpus(docs: DataFrame, repeats: int = REPEATS, **columns) -> DataFram
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    """Words taken of every document, by the contract of op8, in order of training time."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = mix(docs)
+    """Words taken of every document, by the contract of op8, in order of training time. Words are counted in
+    one pass over the texts; their counts are what the mix is made of."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", n_words("text").alias("text"), "source")
+    out = mix(common.cut(docs, "document-sizes"), size=F.col("text"))
     return out.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_total").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_taken").alias("taken"), F.round(position(), 6).alias("first_position")).orderBy("first_position", "doc_id")
 
 
