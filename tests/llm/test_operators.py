@@ -240,6 +240,10 @@ def test_mixing(spark, docs):
     again = mixing.mix(docs.repartition(3), n_rows=docs.count()).collect()
     pick = lambda rs: sorted((str(r.doc_id), r["__mix_taken"]) for r in rs)
     assert pick(again) == pick(got)
+    sizes_only = docs.select("doc_id", "source", mixing.n_words("text").alias("n")).repartition(4)
+    sized = mixing.mix(sizes_only.select("doc_id", "source", F.col("n").alias("text")), size=F.col("text")).collect()
+    told = lambda rs: sorted((str(r.doc_id), r["__mix_size"], r["__mix_start"], r["__mix_taken"]) for r in rs)
+    assert told(sized) == told(got)
     corpus = mixing.mixed_corpus(docs)
     assert corpus.columns == docs.columns
     assert sum(len((r.text or "").split()) for r in corpus.collect()) == sum(taken.values())
