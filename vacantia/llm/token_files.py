@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,9 +35,13 @@ from vacantia.llm import common
 
 #: Tokens of a sequence, sequences of a record batch, id behind each document.
 SEQUENCE, BATCH, END = 2048, 64, 2
-#: Bytes of text that are tokenised at once, and words whose ids a task remembers (some 230 bytes each;
-#: none longer than LONG), twice at most and forgotten when it ends.
-SHARD_BYTES, REMEMBERED, LONG = 2 << 20, 150_000, 64
+#: Bytes of text that are tokenised at once, and words whose ids a worker remembers (some 230 bytes each;
+#: none longer than LONG), twice at most.
+SHARD_BYTES, REMEMBERED, LONG = 2 << 20, 200_000, 64
+
+#: ASCII signs that end words, and words of small Latin letters.
+_SIGNS = string.punctuation
+_LATIN = re.compile("[a-zß-öø-ÿ]+")
 
 MANIFEST = "shard string, n_tokens bigint, n_docs bigint, low bigint"
 
@@ -52,18 +58,46 @@ class _Letters(dict):
         return self[point]
 
 
+class _Tails(dict):
+    """Ids of the signs at a word's end, or None where they don't stand for themselves behind a letter."""
+
+    def __init__(self, whole):
+        super().__init__()
+        self.whole = whole
+
+    def __missing__(self, signs: str) -> bytes | None:
+        own = self.whole(signs) if self.whole(f"a{signs}") == self.whole("a") + self.whole(signs) else None
+        if len(self) < 10_000:
+            self[signs] = own
+        return own
+
+
+class _Words(dict):
+    """Ids of words; what is missing comes from the words of a while ago or from the encoder."""
+
+    def __init__(self, coder: Encoder):
+        super().__init__({"": b""})
+        self.coder = coder
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.coder.older.get(word)
+        if ids is None:
+            ids = self.coder._word(word)
+        if len(word) <= LONG:
+            self[word] = ids
+        return ids
+
+
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a worker."""
+    """One encoder for all tasks of a worker, with the words it remembers."""
     return Encoder(path)
 
 
 class Encoder:
     """Ids of whole texts. A tokenizer that neither keeps nor joins over white space encodes the words
     between spaces and line ends one by one, so each distinct word is encoded once and remembered.
-
-    New words are encoded together, with a mark between them that no text of the shard contains; its
-    ids show where each word ends. ASCII texts are put in lower case first, as the tokenizer does.
+    ASCII texts are put in lower case first, as the tokenizer does.
     Texts that hold an added token's content, in whatever case, go to the tokenizer whole, as do all
     texts of a tokenizer that keeps or joins over white space.
     """
@@ -76,7 +110,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.forget()
+        #: Words of late, and the REMEMBERED ones before them.
+        self.known: dict[str, bytes] = _Words(self)
+        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         mark, both = self._ids(self.MARK), self._ids(f"a {self.MARK} A")
         # One id that stands alone, and letters whose case doesn't count.
@@ -86,38 +123,29 @@ class Encoder:
         self.letters = _Letters(self.tokenizer)
         trial = ["a", "thandedble", "éelletréoi", "übergößen"]
         self.plain = self.joins and all(self._plain(w) == array(self.code, self._ids(w)).tobytes() for w in trial)
-        self.tails = {c: np.array(self._ids(c), self.dtype).tobytes() for c in ".," if self._ids(f"a{c}") == self._ids(f"a {c}")}
+        self.tails = _Tails(self._whole)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _plain(self, word: str) -> bytes:
         """Ids of a word of small Latin letters, which the model sees as one piece."""
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes()
 
-    def forget(self) -> None:
-        """Words of this task, and of its last REMEMBERED ones before."""
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if self.plain:
-            self.known.update((w, self._plain(w)) for w in words if w.isalpha() and max(w) <= "\xff")
-            words = [w for w in words if w not in self.known]
-        ids = np.array(self._ids(f" {self.MARK} ".join([*words, ""])), self.dtype)
-        ends = (np.flatnonzero(ids == self.mark) * self.dtype.itemsize).tolist()
-        data, start = ids.tobytes(), 0
-        for word, end in zip(words, ends, strict=True):
-            self.known[word] = data[start:end]
-            start = end + self.dtype.itemsize
-
-    def _core(self, word: str) -> tuple[str, bytes]:
-        """What a word's ids follow from: without case, and without a full stop or comma that ends it
-        (which stands alone behind a letter or digit)."""
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, which follow from it without case, and without the signs that end it, where they
+        stand for themselves behind a letter or digit."""
         tail = b""
-        if word[-1:] in self.tails and word[-2:-1].isalnum():
-            tail, word = self.tails[word[-1]], word[:-1]
-        return (word.lower() if word.isascii() or max(word) <= "\xff" else word), tail
+        bare = word.rstrip(_SIGNS)
+        if len(bare) < len(word) and (c := bare[-1:]).isalnum() and c <= "\xff" and (own := self.tails[word[len(bare) :]]) is not None:
+            tail = own
+        else:
+            bare = word
+        if bare.isascii() or max(bare) <= "\xff":
+            bare = bare.lower()
+        if bare != word:
+            return self.known[bare] + tail
+        return self._plain(word) if self.plain and _LATIN.fullmatch(word) else self._whole(word)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._ids(text), self.dtype).tobytes()
@@ -125,31 +153,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.joins:
             return [self._whole(t) for t in texts]
-        split: list[list[str]] = []
-        whole = {}
-        for i, text in enumerate(texts):
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = _Words(self), self.known
+        out = []
+        for text in texts:
             low = text.lower()
             if any(a in low for a in self.added):
-                whole[i] = self._whole(text)
-                split.append([])
+                out.append(self._whole(text))
             else:
-                split.append((low if text.isascii() else text).replace("\n", " ").split(" "))
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known = self.known
-        known.setdefault("", b"")
-        new = {w for ws in split for w in ws if w not in known}
-        again = new & self.older.keys()
-        known.update((w, self.older[w]) for w in again)
-        cores = {w: self._core(w) for w in new - again}
-        learn = [w for w in {c for c, _ in cores.values()} if w not in known]
-        for begin in range(0, len(learn), 2000):
-            self._learn([w for w in learn[begin : begin + 2000] if self.MARK not in w])
-        known.update((w, self._whole(w)) for w in learn if self.MARK in w)
-        known.update((w, known[c] + tail) for w, (c, tail) in cores.items())
-        out = [whole[i] if i in whole else b"".join(map(known.__getitem__, ws)) for i, ws in enumerate(split)]
-        for w in [w for w in (*new, *learn) if len(w) > LONG]:
-            known.pop(w, None)
+                out.append(b"".join(map(self.known.__getitem__, (low if text.isascii() else text).replace("\n", " ").split(" "))))
         return out
 
 
@@ -228,7 +240,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id="doc_id", text="t
             texts = [t or "" for t in shard.column(1).to_pylist()]
             for i, data in zip(ids, ids_of.encode(texts), strict=True):
                 writer.add(i, data + tail)
-        ids_of.forget()
         if writer is not None:
             total, n = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [name], "n_tokens": [total], "n_docs": [n], "low": pa.array([low], pa.int64())})
