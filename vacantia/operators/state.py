@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacantia.functions.columns import ago, count_where
+from vacantia.functions.geo import policy
+from vacantia.functions.salary import text_salary
 from vacantia.operators.audit import repost_counts
 
 #: Columns of a known job that an upsert keeps, where they are set.
@@ -34,10 +36,21 @@ def lifecycle(jobs: DataFrame, as_of: str) -> DataFrame:
 
 def marked_reposts(jobs: DataFrame, as_of: str, days_threshold: int = 30) -> DataFrame:
     """Jobs of the last days with their repost flag and count brought up to date."""
+    return _with_reposts(jobs, as_of, days_threshold).drop("__n")
+
+
+def changed_reposts(jobs: DataFrame, as_of: str, days_threshold: int = 30) -> DataFrame:
+    """Only the jobs whose flag or count changes: what an update would write."""
+    new, old = _with_reposts(jobs, as_of, days_threshold), jobs.select(F.col("job_id").alias("__id"), F.col("is_repost").alias("__flag"), F.col("repost_count").cast("long").alias("__count"))
+    both = new.filter(F.col("__n").isNotNull()).drop("__n").join(old, F.col("job_id") == F.col("__id"))
+    return both.filter(~(F.col("is_repost").eqNullSafe(F.col("__flag")) & F.col("repost_count").eqNullSafe(F.col("__count")))).drop("__id", "__flag", "__count")
+
+
+def _with_reposts(jobs: DataFrame, as_of: str, days_threshold: int) -> DataFrame:
     counts = repost_counts(jobs, as_of, days_threshold).select(F.col("job_id").alias("__id"), F.col("repost_count").alias("__n"))
     out = jobs.join(counts, F.col("job_id") == F.col("__id"), "left")
     known = F.col("__n").isNotNull()
-    return out.withColumns({"is_repost": F.when(known, F.col("__n") > 0).otherwise(F.col("is_repost")), "repost_count": F.when(known, F.col("__n")).otherwise(F.col("repost_count")).cast("long")}).drop("__id", "__n")
+    return out.withColumns({"is_repost": F.when(known, F.col("__n") > 0).otherwise(F.col("is_repost")), "repost_count": F.when(known, F.col("__n")).otherwise(F.col("repost_count")).cast("long")}).drop("__id")
 
 
 def availability(code: Column) -> Column:
@@ -58,9 +71,21 @@ def observed(jobs: DataFrame, observations: DataFrame) -> DataFrame:
     }).drop("__id", "__a", "verified_at", "failure")
 
 
-def merged_jobs(old: DataFrame, incoming: DataFrame, kept: tuple[str, ...] = KEPT) -> DataFrame:
+def one_of_each_job(incoming: DataFrame, kept: tuple[str, ...] = KEPT, order: Column | None = None) -> DataFrame:
+    """A batch as if its rows had arrived one by one in `order` (as they are read): of each job KEPT columns
+    are the first that are set, first_seen_at is the earliest, and all else is the last row's."""
+    at, rest = "__order", [c for c in incoming.columns if c not in (*kept, "job_id", "first_seen_at")]
+    rows = incoming.withColumn(at, F.monotonically_increasing_id() if order is None else order)
+    set_first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in kept if c in incoming.columns]
+    earliest = [F.min("first_seen_at").alias("first_seen_at")] if "first_seen_at" in incoming.columns else []
+    last = F.max_by(F.struct(F.lit(1).alias("__one"), *rest), at).alias("__last")
+    return rows.groupBy("job_id").agg(*set_first, *earliest, last).select(*(F.col(f"__last.{c}").alias(c) if c in rest else c for c in incoming.columns))
+
+
+def merged_jobs(old: DataFrame, incoming: DataFrame, kept: tuple[str, ...] = KEPT, order: Column | None = None) -> DataFrame:
     """Upsert by job_id: KEPT columns stay once set, the earliest first_seen_at wins, what incoming has
-    otherwise replaces, and columns it lacks stay."""
+    otherwise replaces, and columns it lacks stay. Rows of one job in a batch become one first."""
+    incoming = one_of_each_job(incoming, kept, order)
     new = incoming.select(*(F.col(c).alias(f"__{c}") for c in incoming.columns))
     both = old.join(new, F.col("job_id") == F.col("__job_id"), "full_outer")
     arrived = F.col("__job_id").isNotNull()
@@ -87,10 +112,14 @@ def snapshots(old: DataFrame, incoming: DataFrame, watched=("job_fingerprint", "
     return old.join(new, F.col("job_id") == F.col("__id")).filter(~same).select(*old.columns)
 
 
-def merged_sources(old: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Upsert of (source, source_job_id): latest job, earliest first sight, one more sighting."""
+def merged_sources(old: DataFrame, incoming: DataFrame, order: Column | None = None) -> DataFrame:
+    """Upsert of (source, source_job_id): latest job, earliest first sight, one more sighting for each row of
+    the batch, whose rows count in `order` (as they are read)."""
     keys = ["source", "source_job_id"]
-    new = incoming.select(*keys, *(F.col(c).alias(f"__{c}") for c in incoming.columns if c not in keys))
+    rows = incoming.withColumn("__order", F.monotonically_increasing_id() if order is None else order)
+    last = F.max_by(F.struct("job_id", "last_seen_at"), "__order").alias("last")
+    rows = rows.groupBy(*keys).agg(last, F.min("first_seen_at").alias("__first_seen_at"), F.count(F.lit(1)).alias("__n"))
+    new = rows.select(*keys, "__first_seen_at", "__n", F.col("last.job_id").alias("__job_id"), F.col("last.last_seen_at").alias("__last_seen_at"))
     out = old.join(new, keys, "full_outer")
     arrived, known = F.col("__job_id").isNotNull(), F.col("job_id").isNotNull()
     return out.select(
@@ -98,19 +127,26 @@ def merged_sources(old: DataFrame, incoming: DataFrame) -> DataFrame:
         F.coalesce("__job_id", "job_id").alias("job_id"),
         F.least("first_seen_at", "__first_seen_at").alias("first_seen_at"),
         F.coalesce("__last_seen_at", "last_seen_at").alias("last_seen_at"),
-        F.when(known & arrived, F.col("seen_count") + 1).when(known, F.col("seen_count")).otherwise(1).cast("int").alias("seen_count"),
+        (F.when(known, F.col("seen_count")).otherwise(0) + F.when(arrived, F.col("__n")).otherwise(0)).cast("int").alias("seen_count"),
     )
 
 
 def canonical_ids(incoming: DataFrame, jobs: DataFrame, job_sources: DataFrame) -> DataFrame:
     """The id each incoming row gets: of the job with its fingerprint, else of the job its source and
-    source id are mapped to, else its own; within the batch the first row of a fingerprint decides.
+    source id are mapped to, else of a job that carries them itself (where jobs has source_job_id), else
+    its own; within the batch the first row of a fingerprint decides. A NULL fingerprint is none.
     incoming: job_id, job_fingerprint, source, source_job_id, position."""
     by_print = jobs.groupBy("job_fingerprint").agg(F.min("job_id").alias("__by_print"))
     by_source = job_sources.groupBy("source", "source_job_id").agg(F.min("job_id").alias("__by_source"))
     found = incoming.join(by_print, "job_fingerprint", "left").join(by_source, ["source", "source_job_id"], "left")
-    found = found.withColumn("__id", F.coalesce("__by_print", "__by_source", "job_id"))
-    first = F.first("__id").over(W.partitionBy("job_fingerprint").orderBy("position"))
+    if "source_job_id" in jobs.columns:
+        found = found.join(jobs.groupBy("source", "source_job_id").agg(F.min("job_id").alias("__by_job")), ["source", "source_job_id"], "left")
+    else:
+        found = found.withColumn("__by_job", F.lit(None).cast("string"))
+    found = found.withColumn("__id", F.coalesce("__by_print", "__by_source", "__by_job", "job_id"))
+    # Rows without a fingerprint are groups of one, and no hot key.
+    alone = F.when(F.col("job_fingerprint").isNull(), F.col("position"))
+    first = F.first("__id").over(W.partitionBy("job_fingerprint", alone).orderBy("position"))
     return found.select("position", "job_id", "job_fingerprint", first.alias("canonical_id"))
 
 
@@ -151,6 +187,12 @@ def ranked_fingerprints(jobs: DataFrame, as_of: str) -> DataFrame:
     return jobs.withColumn("__n", rank).withColumn("job_fingerprint", F.when(F.col("__n") > 1, own).otherwise(F.col("job_fingerprint"))).drop("__n")
 
 
+def changed_fingerprints(jobs: DataFrame, as_of: str) -> DataFrame:
+    """Only the jobs that lose their fingerprint to another: what an update would write."""
+    new = ranked_fingerprints(jobs.withColumn("__old", F.col("job_fingerprint")), as_of)
+    return new.filter(F.col("job_fingerprint") != F.col("__old")).drop("__old")
+
+
 def first_of_each(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
     """Rows that come first for their key."""
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
@@ -173,6 +215,31 @@ def merged_collisions(jobs: DataFrame, job_sources: DataFrame) -> tuple[DataFram
     return kept, moved.withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n", "__own", "__to")
 
 
+def resolved(jobs: DataFrame, updates: DataFrame, columns=("compliance_status", "compliance_score")) -> DataFrame:
+    """Jobs after a bulk update of some columns by job_id (one row a job)."""
+    new = updates.select(F.col("job_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in columns])
+    out = jobs.join(new, F.col("job_id") == F.col("__id"), "left")
+    given = F.col("__id").isNotNull()
+    return out.withColumns({c: F.when(given, F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}).drop("__id", *[f"__{c}" for c in columns])
+
+
+def filled_compliance(jobs: DataFrame, policy_version: str) -> DataFrame:
+    """Jobs without a resolution, or with one of another version, resolved anew; the others as they are."""
+    stale = F.col("compliance_status").isNull() | F.col("compliance_score").isNull() | ~F.col("policy_version").eqNullSafe(F.lit(policy_version))
+    columns = ("remote_class", "geo_class", "compliance_status", "compliance_score")
+    new = policy(jobs.filter(stale).select("job_id", "title", "description", "remote_scope")).withColumn("policy_version", F.lit(policy_version))
+    return resolved(jobs, new, (*columns, "policy_version"))
+
+
+def filled_salary(jobs: DataFrame) -> DataFrame:
+    """Salaries out of title and description where a job has neither bound; found ones only."""
+    found = F.when(F.col("salary_min").isNull() & F.col("salary_max").isNull(), text_salary(F.col("title"), F.col("description")))
+    out = jobs.withColumn("__found", found)
+    known = F.col("__found.salary_min").isNotNull()
+    columns = [c for c in ("salary_min", "salary_max", "salary_currency", "salary_period") if c in jobs.columns]
+    return out.withColumns({c: F.when(known, F.col(f"__found.{c}")).otherwise(F.col(c)) for c in columns}).drop("__found")
+
+
 def filled_department(jobs: DataFrame, found: DataFrame) -> DataFrame:
     """Departments from (job_id, department) where a job has none, cut to 255 characters."""
     new = found.select(F.col("job_id").alias("__id"), F.substring("department", 1, 255).alias("__d"))

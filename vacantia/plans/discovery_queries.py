@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from vacantia.functions.salary import text_salary
@@ -57,15 +55,15 @@ query("st02_daily_window", "SELECT CAST(ts AS DATE) AS day, event_type AS kind,
 
 def stream(t):
     """Sources of jobs arrive in three files; the stream's last state is what one merge would give."""
-    base = (t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
-    folder = f"{base}/tick-{t.spark.sparkContext.applicationId}-{tempfile.mktemp(dir='')}"
+    folder = tick.shared_folder(t.spark, "tick")
     rows = t.job_sources
     for k in range(3):
-        rows.filter(F.col("seen_count") == k + 2).coalesce(1).write.parquet(f"{folder}/landed/part{k}")
-    start = rows.filter("seen_count = 1")
-    n = tick.merge_stream(t.spark, f"{folder}/landed/*", rows.schema, f"{folder}/state", f"{folder}/checkpoint", state.merged_sources, start)
+        rows.filter((F.col("seen_count") > 1) & (F.col("seen_count") % 3 == k)).write.parquet(f"{folder}/landed/part{k}")
+    merge = lambda before, batch: state.merged_sources(before, batch, F.col("last_seen_at"))
+    start = merge(rows.limit(0), rows.filter("seen_count = 1"))
+    n = tick.merge_stream(t.spark, f"{folder}/landed/*", rows.schema, f"{folder}/state", f"{folder}/checkpoint", merge, start)
     return t.spark.read.parquet(f"{folder}/state/version={n}")
 
 
-query("st01_incremental_tick", "SELECT source, source_job_id, job_id, first_seen_at, last_seen_at, CAST(1 AS INTEGER) AS seen_count FROM job_sources_v WHERE seen_count <= 4")(stream)
+query("st01_incremental_tick", "SELECT source, source_job_id, min(job_id) AS job_id, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at, CAST(count(*) AS INTEGER) AS seen_count FROM job_sources_v GROUP BY source, source_job_id")(stream)
 query("s17_company_pages", "SELECT 'Acme' AS name, 'https://acme.example.com' AS url")(lambda t: d.companies_of_pages(t.spark.createDataFrame([("---\ntitle: \"Acme\"\nwebsite: https://acme.example.com\n---\nText",), ("title: only",), ("",)], "value string")))

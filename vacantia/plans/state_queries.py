@@ -50,11 +50,16 @@ FROM o FULL JOIN n ON o.job_id = n.job_id""", "jobs_v")(lambda t: s.merged_jobs(
 query("d02_snapshots", f"WITH o AS ({OLD}), n AS ({NEW}) SELECT o.* FROM o JOIN n ON o.job_id = n.job_id WHERE o.title IS DISTINCT FROM n.title OR o.job_fingerprint IS DISTINCT FROM n.job_fingerprint", "jobs_v")(lambda t: s.snapshots(*old_new(t)))
 SRC = "source, source_job_id, job_id, first_seen_at, last_seen_at, seen_count"
 query("d03_source_merge", f"""
-WITH o AS (SELECT * FROM job_sources_v WHERE seen_count <= 3), n AS (SELECT * REPLACE ('x' || job_id AS job_id, last_seen_at + INTERVAL '9' DAY AS last_seen_at) FROM job_sources_v WHERE seen_count >= 3)
+WITH o AS (SELECT source, source_job_id, min(job_id) AS job_id, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at, max(seen_count) AS seen_count FROM job_sources_v WHERE seen_count <= 3 GROUP BY ALL),
+n AS (SELECT source, source_job_id, min('x' || job_id) AS job_id, min(first_seen_at) AS first_seen_at, max(last_seen_at) + INTERVAL '9' DAY AS last_seen_at, count(*) AS m FROM job_sources_v WHERE seen_count >= 3 GROUP BY ALL)
 SELECT coalesce(o.source, n.source) AS source, coalesce(o.source_job_id, n.source_job_id) AS source_job_id, coalesce(n.job_id, o.job_id) AS job_id, least(o.first_seen_at, n.first_seen_at) AS first_seen_at,
-  coalesce(n.last_seen_at, o.last_seen_at) AS last_seen_at, CAST(CASE WHEN o.job_id IS NULL THEN 1 WHEN n.job_id IS NULL THEN o.seen_count ELSE o.seen_count + 1 END AS INTEGER) AS seen_count
+  coalesce(n.last_seen_at, o.last_seen_at) AS last_seen_at, CAST(coalesce(o.seen_count, 0) + coalesce(n.m, 0) AS INTEGER) AS seen_count
 FROM o FULL JOIN n ON o.source = n.source AND o.source_job_id = n.source_job_id""", "job_sources_v")(
-    lambda t: s.merged_sources(t.job_sources.filter("seen_count <= 3"), t.job_sources.filter("seen_count >= 3").withColumns({"job_id": F.concat(F.lit("x"), "job_id"), "last_seen_at": F.col("last_seen_at") + F.expr("INTERVAL 9 DAYS")}))
+    lambda t: s.merged_sources(
+        t.job_sources.filter("seen_count <= 3").groupBy("source", "source_job_id").agg(F.min("job_id").alias("job_id"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.max("seen_count").alias("seen_count")),
+        t.job_sources.filter("seen_count >= 3").withColumns({"job_id": F.concat(F.lit("x"), "job_id"), "last_seen_at": F.col("last_seen_at") + F.expr("INTERVAL 9 DAYS")}),
+        F.col("last_seen_at"),
+    )
 )
 query("j16_canonical_resolution", """
 WITH stored AS (SELECT * FROM jobs_v WHERE k % 2 = 0), mapped AS (SELECT source, source_job_id, min(job_id) AS s FROM job_sources_v WHERE seen_count = 1 GROUP BY ALL),

@@ -6,6 +6,8 @@ version anew: replays change nothing. Rows are never dropped for being late.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir; a local session that names none has a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def merge_stream(spark: SparkSession, folder: str, schema: StructType, state: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame], start: DataFrame, files: int = 1) -> int:
     """Merge a folder's Parquet files into `start`, `files` at a time; the number of the last version.
 
