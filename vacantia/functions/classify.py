@@ -27,22 +27,21 @@ OPTIONAL = ("remote work options", "flexible remote", "possibility to work remot
 EVERYWHERE = ("yes", "true", "1", "anywhere", "worldwide")
 BENEFIT = r"\bwork from home\s+(?:budget|stipend|allowance|reimbursement|equipment|setup|kit)\b|\bwork from anywhere\s+(?:in the world|globally|worldwide)?\s*(?:\(|for\s+)?up to\b"
 
-# Phrases that keep a job out of reach, by place.
-HARD_US = (
+# Phrases and patterns that keep a job out of reach.
+HARD = (
     "us only", "united states only", "must be located in the us", "must be based in the us", "must reside in the us", "us residents only", "us applicants only",
     "usa-based roles only", "usa based roles only", "must be authorized to work in the us", "us work authorization required", "eligible to work in the us only",
     "americas only", "north america only", "must be located in north america", "must be based in north america", "must reside in north america",
-    "south america only", "latam only", "us or canada only", "not eligible outside the us", "candidates outside the us will not be considered", "us payroll only",
+    "south america only", "latam only", "canada only", "us or canada only", "not eligible outside the us", "candidates outside the us will not be considered", "us payroll only",
     "must be eligible to work in the united states", "eligible to work in the united states", "us citizenship required", "us citizen required", "us citizens only",
     "us permanent resident required", "green card required", "must have us work authorization",
-)
-HARD_CANADA = ("canada only", "canadian residents only", "must reside in canada", "must be located in canada", "must be based in canada", "eligible to work in canada only", "canada work authorization required")
-HARD_APAC = ("apac only", "asia pacific only", "must reside in apac", "must be located in apac", "must be based in apac", "within apac only", "remotely in the apac region")
-HARD_OTHER = (
+    "canadian residents only", "must reside in canada", "must be located in canada", "must be based in canada", "eligible to work in canada only", "canada work authorization required",
+    "apac only", "asia pacific only", "must reside in apac", "must be located in apac", "must be based in apac",
+    "must reside in asia.?pacific", "must be located in asia.?pacific", "must be based in asia.?pacific", "within apac only",
+    "based (?:remotely )?in the apac region", "located (?:remotely )?in the apac region", "remotely in the apac region", "based (?:remotely )?in the asia.?pacific region",
     "australia only", "australian residents only", "must reside in australia", "must be located in australia", "must be based in australia",
     "india only", "indian residents only", "must reside in india", "must be located in india", "must be based in india",
 )
-HARD_PATTERNS = (r"must (?:reside|be located|be based) in asia.?pacific", r"(?:based|located) (?:remotely )?in the apac region", r"based (?:remotely )?in the asia.?pacific region")
 
 #: Geography classes that count as reachable; remote classes; their points. Fixed values.
 ELIGIBLE = ("eu_member_state", "eu_explicit", "eu_region", "uk")
@@ -50,8 +49,7 @@ MATRIX = {"remote_only": (100, "approved"), "remote_region_locked": (90, "approv
 
 
 def hard_geo(text: Column) -> Column:
-    phrases = "|".join([*map(quote, HARD_US + HARD_CANADA + HARD_APAC + HARD_OTHER), *HARD_PATTERNS])
-    return F.lower(text_or_empty(text)).rlike(rf"\b(?:{phrases})\b")
+    return F.lower(text_or_empty(text)).rlike(rf"\b(?:{'|'.join(HARD)})\b")
 
 
 def remote_model(title: Column, description: Column, scope: Column) -> Column:

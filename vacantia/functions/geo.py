@@ -7,14 +7,20 @@ first that fits gives the reason.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vacantia.functions import classify
 from vacantia.functions.classify import hard_geo, remote_model, resolution
-from vacantia.functions.text import quote, strip, text_or_empty
+from vacantia.functions.text import collapse, quote, strip, text_or_empty, unescaped
 
 # Fixed values.
-MEMBERS = "austria,belgium,bulgaria,croatia,cyprus,czechia,czech republic,denmark,estonia,finland,france,germany,greece,hungary,ireland,italy,latvia,lithuania,luxembourg,malta,netherlands,poland,portugal,romania,slovakia,slovenia,spain,sweden".split(",")
+MEMBERS = [
+    "austria", "belgium", "bulgaria", "croatia", "cyprus", "czechia", "czech republic", "denmark", "estonia", "finland", "france", "germany", "greece", "hungary", "ireland",
+    "italy", "latvia", "lithuania", "luxembourg", "malta", "netherlands", "poland", "portugal", "romania", "slovakia", "slovenia", "spain", "sweden",
+]
 EEA = ["norway", "iceland", "liechtenstein"]
 UK = ["united kingdom", "uk only", "uk-based", "uk based", "britain", "london", "england", "scotland", "wales", "northern ireland"]
 EU_REGIONS = ["emea", "western europe", "nordics", "benelux", "dach", "uk&i", "uk & ireland", "uk and ireland"]
@@ -24,7 +30,9 @@ GLOBAL_WORDS = ["north america", "americas", "asia pacific", "apac"]
 UK_PHRASES = ["uk only", "uk-based", "uk based", "remote in the uk", "remote uk", "remotely in the uk"]
 TIMEZONES = ["cet", "cest", "utc+1", "utc +1", "utc+2", "utc +2"]
 OTHER_TOKENS = ["us", "usa", "canada"]
-STATES = "al ak az ar ca co ct dc de fl ga ia id il ks ky la ma md mi mn mo ms mt nc nd ne nh nj nm nv ny oh ok pa ri sc sd tn tx ut va vt wa wi wv wy".split()
+STATES = [
+    "al", "ak", "az", "ar", "ca", "co", "ct", "dc", "de", "fl", "ga", "ia", "id", "il", "ks", "ky", "la", "ma", "md", "mi", "mn", "mo", "ms", "mt", "nc", "nd", "ne", "nh", "nj", "nm", "nv", "ny", "oh", "ok", "pa", "ri", "sc", "sd", "tn", "tx", "ut", "va", "vt", "wa", "wi", "wv", "wy",
+]
 US_PHRASES = [
     "united states only", "usa only", "u.s. only", "us only", "remote us", "remote in the us", "remote within the us", "remote within united states", "us-based only", "us based only",
     "u.s.-based only", "must live in the us", "must be in the us", "must reside in the us", "must be based in the us", "must be us-based", "us residents only",
@@ -110,11 +118,12 @@ def places(text: Column) -> Column:
 
 
 def localization(description: Column) -> Column:
-    """The text of a description's localization section, in lower case; empty without one."""
+    """The text of a description's localization section, in lower case; empty without one. Below a heading,
+    empty lines before the first text don't count."""
     html = F.regexp_extract(description, r"(?is)<h[1-6][^>]*>\s*locali[sz]ation\s*:?\s*</h[1-6]>\s*(.*?)(?=<h[1-6][^>]*>|$(?!\n))", 1)
     inline = F.regexp_extract(description, r"(?im)^[ \t]*(?:#{1,6}[ \t]*)?locali[sz]ation[ \t]*:[ \t]*(\S.*)$", 1)
-    below = F.regexp_extract(description, r"(?im)^[ \t]*(?:#{1,6}[ \t]*)?locali[sz]ation[ \t]*:?[ \t]*\n((?:(?![ \t]*#{1,6}[ \t]+\S)(?![ \t]*[A-Za-z][A-Za-z0-9 /&()+-]{1,60}[ \t]*:[ \t]*$)[ \t]*\S.*\n?)+)", 1)
-    return F.lower(F.when(html != "", F.regexp_replace(html, "<[^>]+>", " ")).when(inline != "", inline).otherwise(below))
+    below = F.regexp_extract(description, r"(?im)^[ \t]*(?:#{1,6}[ \t]*)?locali[sz]ation[ \t]*:?[ \t]*\n(?:[ \t]*\n)*((?:(?![ \t]*#{1,6}[ \t]+\S)(?![ \t]*[A-Za-z][A-Za-z0-9 /&()+-]{1,60}[ \t]*:[ \t]*$)[ \t]*\S.*\n?)+)", 1)
+    return F.lower(F.when(html != "", collapse(unescaped(F.regexp_replace(html, "<[^>]+>", " ")))).when(inline != "", collapse(inline)).otherwise(collapse(below)))
 
 
 def geography(title: Column, description: Column, scope: Column) -> Column:
@@ -186,6 +195,17 @@ def policy(jobs, title="title", description="description", scope="remote_scope")
     return out.withColumns(columns).drop("__hard", "__remote", "__geo", "__verdict")
 
 
+def scoring_step(trace: Column) -> Column:
+    """The `scoring` step of a decision trace (array of structs with a step), NULL without one."""
+    return F.get(F.filter(trace, lambda s: s["step"] == "scoring"), 0)
+
+
+def policy_version() -> str:
+    """`v4.` and a digest of the rule tables, so that a changed table is another version."""
+    tables = [MEMBERS, EEA, UK, EU_REGIONS, EU_WORDS, OTHER_REGIONS, GLOBAL_WORDS, UK_PHRASES, TIMEZONES, OTHER_TOKENS, STATES, US_PHRASES, ALIASES, OTHER_PLACES, classify.OFFICE, classify.HYBRID, classify.REMOTE, classify.REGION_LOCKED, classify.OPTIONAL, classify.HARD, classify.MATRIX]
+    return "v4." + hashlib.md5(repr(tables).encode()).hexdigest()[:7]
+
+
 # Phrases of the older scope, by place, after those of the United States.
 CANADA_PHRASES = ["canada only", "canadian residents only", "remote canada", "remote in canada", "canada-based", "canada based", "must live in canada", "must be based in canada", "must reside in canada", "within canada", "canada"]
 APAC_PHRASES = ["apac only", "within apac", "asia pacific", "apac"]

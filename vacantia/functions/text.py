@@ -36,6 +36,22 @@ def normalise(column: Column) -> Column:
     return strip(F.regexp_replace(F.lower(text_or_empty(column)), SPACE, " "))
 
 
+def normalise_late(column: Column) -> Column:
+    """The older order: lower case and stripped first, then collapsed."""
+    return F.regexp_replace(strip(F.lower(text_or_empty(column))), SPACE, " ")
+
+
+def stored_fingerprint(company_id: Column, company: Column, title: Column, scope: Column, description: Column) -> Column:
+    """The fingerprint as the database backfilled it: nothing stripped, the text normalised before it is cut."""
+    plain = lambda c: F.lower(F.regexp_replace(text_or_empty(c), r"\s+", " "))
+    return F.md5(F.concat_ws("|", text_or_empty(company_id), plain(company), plain(title), plain(scope), F.left(plain(description), F.lit(500))).cast("binary"))
+
+
+def without_tags(column: Column) -> Column:
+    """Markup out of a JSON text, at any depth."""
+    return F.regexp_replace(column, "<[^>]+>", "")
+
+
 def collapse(column: Column) -> Column:
     return strip(F.regexp_replace(column, SPACE, " "))
 

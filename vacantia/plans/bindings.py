@@ -1,7 +1,7 @@
 """The canonical job-market tables, bound to the star-schema test tables.
 
 Each view is one SQL text that Spark and DuckDB both run, so a query over views has an oracle on the
-same tables. On a cluster the same operators run over the real tables (see vacantia.schemas).
+same tables. On a cluster the same operators run over the real tables.
 """
 
 from __future__ import annotations

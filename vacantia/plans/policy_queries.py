@@ -13,6 +13,8 @@ cases("c04_geo", "title description scope", [
     ("Engineer", "", "Remote - US: Select locations", "non_eu", "explicit_country"), ("Engineer", "", "DE", "non_eu", "explicit_country"), ("Engineer", "", "EMEA", "eu_region", "emea"),
     ("Engineer", "", "APAC", "non_eu", "apac"), ("Engineer", "", "EMEA; United States", "non_eu", "united states"), ("Engineer", "", "Oslo", "eu_member_state", "explicit_country"),
     ("Engineer, Poland", "", "", "eu_member_state", "explicit_country"), ("Sr IT Project", "", "", "unknown", None),
+    ("Engineer", "Localization:\n\nPoland", "", "eu_member_state", "poland"), ("Engineer", "## Localization\n\nPoland and more", "", "eu_member_state", "poland"), ("Engineer", "Localization\n \n\n  Norway\n\nSpain", "", "eu_region", "norway"),
+    ("Engineer", "<h2>Localization</h2><p>Czech&nbsp;Republic</p>", "", "eu_member_state", "czech republic"), ("Engineer", "Localization:\n\n## Next\nPoland", "", "unknown", None),
     ("Engineer", "Localization: Poland or Germany", "", "eu_member_state", "germany"), ("Engineer", "<h2>Localization</h2> Norway <h2>x</h2>", "", "eu_region", "norway"),
     ("Engineer", "We hire across Europe", "", "eu_region", "desc_europe"), ("Engineer", "offices in North America, Europe and Asia Pacific", "", "unknown", None),
     ("Engineer", "covering EMEA", "", "eu_region", "desc_emea"), ("Engineer", "covering EMEA and APAC", "", "unknown", None), ("Engineer", "must be UK based", "", "uk", "desc_uk_based"),

@@ -198,9 +198,13 @@ def normalise(raw: DataFrame, provider: str, received_at: str) -> DataFrame:
     return kept.withColumn("first_seen_at", F.coalesce("first_seen_at", now(received_at).cast("timestamp")))
 
 
-def updated_since(postings: DataFrame, since: str | None, column: str = "source_updated_at") -> DataFrame:
-    """Postings changed at or after a moment; those without a time always pass."""
-    return postings if since is None else postings.filter(F.col(column).isNull() | (F.col(column) >= now(since)))
+def updated_since(postings: DataFrame, since: str | None, *keys: str) -> DataFrame:
+    """Raw postings changed at or after a moment by the first of the columns `keys` that can be read as a
+    time; those without a readable time always pass."""
+    if since is None:
+        return postings
+    at = F.coalesce(*[x.moment(F.col(k).cast("string")) for k in keys])
+    return postings.filter(at.isNull() | (at >= F.to_utc_timestamp(now(since).cast("timestamp"), "UTC")))
 
 
 def with_details(summaries: DataFrame, details: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from vacantia.functions.text import strip, text_or_empty
 # Where providers keep a board's slug, host labels that are no board, words that name none.
 BY_HOST = ("personio", "recruitee", "traffit", "breezy")
 BY_PATH = ("lever", "greenhouse", "ashby", "workable", "smartrecruiters")
-NOISE = "www mail smtp api app dev staging test beta cdn static media assets dashboard admin portal jobs careers help support docs status".split()
+NOISE = ("www", "mail", "smtp", "api", "app", "dev", "staging", "test", "beta", "cdn", "static", "media", "assets", "dashboard", "admin", "portal", "jobs", "careers", "help", "support", "docs", "status")
 NO_BOARD = ("test", "demo", "example", "sample", "sandbox", "staging", "career", "careers")
 NO_CANDIDATE = ("test", "demo", "example", "sample", "sandbox", "staging")
 PAGE_PATTERNS = {
@@ -33,7 +33,7 @@ HARVEST_PATTERNS = {
     "teamtailor": r"https?://([a-z0-9-]+)\.teamtailor\.com/(?:[a-z]{2}(?:-[A-Z]{2})?/)?jobs(?:/|\b|\?|$)",
 }
 NOISE_HOSTS = ("www", "jobs", "careers", "career", "app", "api", "admin", "static", "cdn")
-SUFFIXES = "hq inc labs jobs app careers gmbh de ltd uk sas fr spzoo pl".split()
+SUFFIXES = ("hq", "inc", "labs", "jobs", "app", "careers", "gmbh", "de", "ltd", "uk", "sas", "fr", "spzoo", "pl")
 #: Guesses for a name, lines read of a list, points that a harvested slug needs.
 GUESSES, LIST_LINES, NEEDED = 30, 5000, 2
 
