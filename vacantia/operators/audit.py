@@ -33,8 +33,11 @@ def company_stats(jobs: DataFrame, companies: DataFrame, min_total_jobs: int = 1
 
 
 def _jobs_by_source(jobs: DataFrame, job_sources: DataFrame, *also: str) -> DataFrame:
-    """A row for each job and source it was seen in: the join fans out, so duplicates go first."""
-    return jobs.select("job_id", "compliance_status", "first_seen_at", *also).join(job_sources.select("job_id", "source").distinct(), "job_id")
+    """A row for each job and source it was seen in. Only sources of the given jobs are looked at, and
+    the join fans out, so their repetitions go before it."""
+    wanted = jobs.select("job_id", "compliance_status", "first_seen_at", *also)
+    pairs = job_sources.select("job_id", "source").join(wanted.select("job_id"), "job_id", "left_semi").distinct()
+    return wanted.join(pairs, "job_id")
 
 
 def source_stats(jobs: DataFrame, job_sources: DataFrame, as_of: str, days: int = 7) -> DataFrame:
@@ -103,9 +106,11 @@ def repost_candidates(jobs: DataFrame, as_of: str, days_threshold: int = 30) ->
     """Pairs of jobs alike in fingerprint, company and title, the later one opened soon after the
     earlier one was last seen. The equal keys drive the join; the time window is its residual."""
     recent = jobs.filter(F.col("first_seen_at") > ago(as_of, days_threshold + 15)).select("job_id", "first_seen_at", *_SAME)
+    # An earlier one that qualifies was last seen no longer before the window than the gap may be.
+    earlier = _earlier(jobs).filter(F.col("previous_last_seen_at") > ago(as_of, 2 * days_threshold + 15))
     gap = F.col("first_seen_at") - F.col("previous_last_seen_at")
     near = (F.col("job_id") != F.col("prev_id")) & (F.col("first_seen_at") > F.col("previous_last_seen_at")) & (gap < F.expr(f"INTERVAL {days_threshold} DAYS"))
-    pairs = recent.join(_earlier(jobs), _SAME).filter(near)
+    pairs = recent.join(earlier, _SAME).filter(near)
     return pairs.select("job_id", "company_name", "title", "first_seen_at", "previous_last_seen_at", seconds(F.col("first_seen_at"), F.col("previous_last_seen_at")).alias("gap_s")).orderBy(F.desc("first_seen_at"))
 
 
@@ -130,6 +135,21 @@ def ats_health(company_ats: DataFrame, companies: DataFrame, as_of: str, days_th
     return failing_integrations(company_ats, companies, as_of, days_threshold).withColumn("days_since_sync", F.greatest(F.lit(0), days).cast("int"))
 
 
+def without_empty(rows: DataFrame, column: str = "approved") -> DataFrame:
+    """An audit table as it is shown: rows that approve nothing are hidden."""
+    return rows.filter(F.col(column) > 0)
+
+
+def leftover_rows(rows: DataFrame, key: str, text: str, top: int = 5, most: int = 50) -> DataFrame:
+    """The rows with most tags left in their text, `most` of them: (key, tag_count, top_tags), the tags
+    with their counts, equal ones in the order of their first appearance."""
+    tags = rows.filter(F.col(text).like("%<%>%")).select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit("<[^>]+>"), F.lit(0))).alias("at", "tag"))
+    counted = tags.groupBy(key, "tag").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "at", "tag"))), 1, top)
+    told = F.array_join(F.transform(ranked, lambda r: F.concat(r["tag"], F.lit(": "), (-r["n"]).cast("string"))), ", ")
+    return counted.groupBy(key).agg(F.sum("n").alias("tag_count"), told.alias("top_tags")).orderBy(F.desc("tag_count"), key).limit(most)
+
+
 def trend_pivot(trend: DataFrame, sources: list[str]) -> DataFrame:
     """Weeks by sources, approved share in each cell, from the rows of source_trend."""
     return trend.groupBy("week").pivot("source", sources).agg(F.max("approved_ratio_pct")).orderBy("week")

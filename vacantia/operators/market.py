@@ -94,8 +94,11 @@ def normalised_regions(segments: DataFrame) -> DataFrame:
 
 
 def keep_first(table: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """Insert or do nothing: rows whose key the table has are not taken."""
-    return table.unionByName(new.dropDuplicates(list(keys)).join(table.select(*keys).distinct(), list(keys), "left_anti"))
+    """Insert or do nothing: rows whose key the table has are not taken, and of several new rows with one
+    key the least, column by column."""
+    least = new.groupBy(*keys).agg(F.min(F.struct(F.lit(1).alias("__one"), *[c for c in new.columns if c not in keys])).alias("__row"))
+    one = least.select(*(c if c in keys else F.col(f"__row.{c}").alias(c) for c in new.columns))
+    return table.unionByName(one.join(table.select(*keys).distinct(), list(keys), "left_anti"))
 
 
 def replace_by_key(table: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -155,6 +158,19 @@ def interpolated(series: DataFrame, order: str, value: str, *keys: str) -> DataF
     return out.withColumn(value, filled).drop("__i", "__at", *ends)
 
 
+def filled_with_zero(series: DataFrame, value: str) -> DataFrame:
+    """The other policy for gaps: they count as 0."""
+    return series.withColumn(value, F.coalesce(F.col(value), F.lit(0).cast(series.schema[value].dataType)))
+
+
+def axis_labels(series: DataFrame, day: str = "date", most: int = 6) -> DataFrame:
+    """(place, label): evenly spaced days of a series, `most` at most, first and last among them."""
+    place, n = F.row_number().over(W.orderBy(day)) - 1, F.count(F.lit(1)).over(W.partitionBy())  # a chart's days
+    rows = series.select(day).distinct().select(day, place.alias("place"), n.alias("n"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (F.col("n") - 1) / (most - 1)).cast("int"))
+    return rows.filter((F.col("n") <= most) | F.array_contains(spread, F.col("place"))).select("place", F.date_format(day, "MMM dd").alias("label"))
+
+
 def scaled(series: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """Values on [low, high]; a flat series lies in the middle."""
     least, most = F.min(value).over(W.partitionBy()), F.max(value).over(W.partitionBy())

@@ -15,6 +15,12 @@ from vacantia.functions.columns import contains_text, every, trigram_distance
 MAX_LIMIT, MAX_PAID_LIMIT, MAX_OFFSET = 500, 100, 1_000_000
 
 
+def bounded_days(days: int, least: int = 7, most: int = 180) -> int:
+    if not least <= days <= most:
+        raise ValueError(f"days must be between {least} and {most}")
+    return days
+
+
 def bounded(limit: int, offset: int, most: int = MAX_LIMIT) -> tuple[int, int]:
     if not 1 <= limit <= most:
         raise ValueError(f"limit must be between 1 and {most}")
@@ -70,6 +76,11 @@ def page(found: DataFrame, limit: int, offset: int = 0, q: str | None = None) ->
     return found.orderBy(*order).offset(offset).limit(limit)
 
 
+def with_total(found: DataFrame, page: DataFrame) -> DataFrame:
+    """A page's rows with the number of all rows found."""
+    return page.crossJoin(found.agg(F.count(F.lit(1)).alias("total")))  # one row
+
+
 def audit_page(found: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """A page by last sighting; jobs never seen again count as seen at the epoch."""
     limit, offset = bounded(limit, offset)

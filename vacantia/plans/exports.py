@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.operators import search
-from vacantia.operators.market import latest_snapshot, normalised_regions
+from vacantia.operators import audit, search
+from vacantia.operators.market import latest_snapshot, normalised_regions, system_metrics
 
 FEED_LIMIT, FEED_SCORE = 200, 80
 _FEED = {"id": "job_id", "title": "title", "company": "company_name", "remote_scope": "remote_scope", "source": "source", "first_seen_at": "first_seen_at", "status": "status", "last_seen_at": "last_seen_at", "job_family": "job_family", "salary_min_eur": "salary_min_eur", "salary_max_eur": "salary_max_eur"}
@@ -49,6 +49,35 @@ def segments_json(segments: DataFrame) -> DataFrame:
     return table.select(F.to_json(F.struct("segments")).alias("document"))
 
 
+def audit_parts(jobs: DataFrame, job_sources: DataFrame, companies: DataFrame, company_ats: DataFrame, reports: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """The six tables of the audit snapshot. Each has a row for a source, a company, a board or a week."""
+    return {
+        "metrics": system_metrics(jobs, companies, company_ats, as_of),
+        "ats_health": audit.failing_integrations(company_ats, companies, as_of, 3),
+        "source_trend": audit.source_trend(jobs, job_sources, as_of, 30),
+        "rejection_reasons": audit.rejection_reasons(jobs, job_sources, reports, as_of, 30),
+        "company_stats": audit.company_stats(jobs, companies, 5),
+        "source_7d": audit.source_stats(jobs, job_sources, as_of),
+    }
+
+
+def part_sizes(parts: dict[str, DataFrame]) -> DataFrame:
+    sizes = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
+    out = sizes[0]
+    for size in sizes[1:]:
+        out = out.union(size)
+    return out
+
+
+def audit_json(parts: dict[str, DataFrame], as_of: str) -> DataFrame:
+    """audit_snapshot.json as one row."""
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
+        out = one if out is None else out.crossJoin(one)  # rows of one
+    return out.select(F.to_json(F.struct(F.lit(as_of).alias("generated_at"), *parts)).alias("document"))
+
+
 def stats_json(stats: DataFrame, counts: DataFrame) -> DataFrame:
     """market-stats.json as one row: a month's days in order, and the active counts."""
     days = stats.agg(F.sort_array(F.collect_list(F.struct("date", *[c for c in stats.columns if c != "date"]))).alias("stats"))
