@@ -354,3 +354,42 @@ def test_texts_of_members_are_found_by_row(spark, monkeypatch):
     assert got.count() == len(rows) and {r.component_id for r in got.collect()} == {None}
     runs = 2  # the edges are read once, each of 4 members with its 3 copies
     assert seen.value <= 12 * runs
+
+
+def test_shared_windows_and_longest_matches():
+    shared = " ".join(f"w{i}" for i in range(13))
+    items = decontaminate.Items([(str(i), f"{shared} x{i} y{i}".encode()) for i in range(3000)])
+    found = decontaminate.matches([f"q{i} {shared} x{i} r".encode() for i in range(40)] + [b""], items).to_pylist()
+    assert all(len(r["__hit_items"]) == 3000 for r in found[:40]) and found[40]["__hit_items"] == []
+    # One longest match each, with the item that goes on furthest; not one for each item.
+    assert [[(m["item"], m["item_at"], m["at"], m["n"]) for m in r["__hit_matches"]] for r in found[:3]] == [[(str(i), 0, 1, 14)] for i in range(3)]
+
+
+def test_long_and_broken_pages():
+    net = html_text.trained()
+    rows = "".join(f"<p>Sentence number {i} stands in here.</p>" for i in range(20_000))
+    texts = html_text.main_texts([f"<html><body><article>{rows}</article>", "<article><p>Short one, a sentence.</p></article>"] * 3, net)
+    assert all(t.count("\n\n") == 19_999 for t in texts[::2]) and texts[1] == "Short one, a sentence."
+    body = "<article><h1>Head line</h1><p>Text here, a sentence of words.</p></article>"
+    whole = "Head line\n\nText here, a sentence of words."
+    for page in (f"<html><head><title>T</title>{body}", f"<body><svg><path d=''>{body}", f"<body><canvas>no</canvas>{body}", f"<body><noscript>{body}"):
+        assert html_text.main_texts([page], net) == [whole], page
+    assert html_text.main_texts(["".join(f"<x{i}>" for i in range(4000))], net) == [""]
+    x = html_text._batch([html_text.features(html_text.blocks(body))])
+    assert np.allclose(net.logits(*x)[0], net.labels(*x), atol=1e-4)
+
+
+def test_grams_in_pieces(monkeypatch):
+    text = "the quick brown fox ünd " * 200 + "oneverylongword" * 50
+    whole = language.grams(text)
+    monkeypatch.setattr(language, "PIECE", 64)
+    assert all((a == b).all() for a, b in zip(whole, language.grams(text)))
+    assert not len(language.grams("½ ² ① Ⅷ 12 _ --")[0])
+
+
+def test_words_in_pieces(monkeypatch):
+    texts = [b"", b"One two  three\nfour", b"x" * 10_000 + b" y", b"a b c " * 300]
+    whole = jaccard.word_hashes(texts)
+    monkeypatch.setattr(jaccard, "_PIECE", 100)
+    again = jaccard.word_hashes(texts)
+    assert (whole[0] == again[0]).all() and (whole[1] == again[1]).all() and whole[1].tolist() == [0, 4, 2, 900]
