@@ -1,10 +1,23 @@
-"""A tick: named steps in order, each one's failure kept to itself, and a report of what they did."""
+"""Ticks: named steps in order, each one's failure kept to itself, and a report of what they did.
+
+The steps of the ingestion tick and of discovery are wired here over versioned tables: a step reads the
+last version of what it needs and writes the next one of what it changes.
+"""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vacantia.functions import text
+from vacantia.operators import boards as tables
+from vacantia.operators import market, state
+from vacantia.plans import exports, ingest
+from vacantia.sources import boards, discovery
 
 
 @dataclass
@@ -15,11 +28,15 @@ class Outcome:
     result: object = None
 
 
-def run_steps(steps: list[tuple[str, Callable[[], object]]]) -> list[Outcome]:
-    """Run each step; a step that raises is reported with its error, and the next one runs."""
-    out = []
+def run_steps(steps: list[tuple[str, Callable[[], object]]], budget: float | None = None) -> list[Outcome]:
+    """Run each step; a step that raises is reported with its error, and the next one runs. Steps that the
+    budget of seconds leaves no time for are reported as not started."""
+    out, start = [], time.perf_counter()
     for name, step in steps:
         began = time.perf_counter()
+        if budget is not None and began - start >= budget:
+            out.append(Outcome(name, False, 0.0, "not started: out of time"))
+            continue
         try:
             ok, result = True, step()
         except Exception as error:  # a step's failure must not stop the tick
@@ -34,3 +51,101 @@ def report(outcomes: list[Outcome]) -> str:
     lines = [f"{'step':<{width}}  state   seconds  result"]
     lines += [f"{o.step:<{width}}  {'ok' if o.ok else 'failed':<6}  {o.seconds:7.2f}  {'' if o.result is None else o.result}" for o in outcomes]
     return "\n".join([*lines, f"{sum(o.ok for o in outcomes)} ok, {sum(not o.ok for o in outcomes)} failed"])
+
+
+@dataclass
+class Versions:
+    """Tables in a shared folder, each in numbered versions; a failed step leaves the last one in force."""
+
+    spark: SparkSession
+    folder: str
+    last: dict[str, int] = field(default_factory=dict)
+
+    def put(self, name: str, rows: DataFrame) -> str:
+        number = self.last.get(name, -1) + 1
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/version={number}")
+        self.last[name] = number
+        return f"{name} {number}"
+
+    def get(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}/version={self.last[name]}")
+
+
+def tick_steps(v: Versions, as_of: str, day: str, incoming: DataFrame, sightings: DataFrame, probes: DataFrame) -> list[tuple[str, Callable[[], object]]]:
+    """The seven steps of a tick over jobs, job_sources, companies, company_ats, compliance_reports,
+    daily_stats and segments. incoming: processed postings; sightings: rows of job_sources; probes: what
+    state.observed takes."""
+    jobs, sources = lambda: v.get("jobs"), lambda: v.get("job_sources")
+
+    def ingestion() -> str:
+        v.put("job_sources", state.merged_sources(sources(), sightings))
+        return v.put("jobs", state.merged_jobs(jobs(), incoming))
+
+    def market_metrics() -> str:
+        v.put("daily_stats", market.keep_first(v.get("daily_stats"), market.daily_stats(jobs(), sources(), day), "date"))
+        new = market.country_segments(jobs(), day).unionByName(market.column_segments(jobs(), day))
+        return v.put("segments", market.replace_by_key(v.get("segments"), new, "date", "segment_type", "segment_value"))
+
+    def maintenance() -> str:
+        v.put("jobs", state.marked_reposts(jobs(), as_of))
+        return v.put("companies", state.company_figures(v.get("companies").drop("approved_jobs_count", "rejected_jobs_count"), jobs()))
+
+    return [
+        ("ingestion", ingestion),
+        ("lifecycle", lambda: v.put("jobs", state.lifecycle(jobs(), as_of))),
+        ("availability", lambda: v.put("jobs", state.observed(jobs(), probes))),
+        ("market_metrics", market_metrics),
+        ("maintenance", maintenance),
+        ("frontend_export", lambda: v.put("feed", exports.feed_json(jobs()))),
+        ("audit_export", lambda: v.put("audit_snapshot", exports.audit_json(exports.audit_parts(jobs(), sources(), v.get("companies"), v.get("company_ats"), v.get("compliance_reports"), as_of), as_of))),
+    ]
+
+
+def discovery_steps(v: Versions, names: DataFrame, pages: DataFrame, addresses: DataFrame, certificates: DataFrame, lines: DataFrame, harvested: DataFrame, verdicts: DataFrame) -> list[tuple[str, Callable[[], object]]]:
+    """The eight steps of discovery over companies and discovered_slugs (provider, slug, discovery_source, status).
+
+    names (name); pages (redirect, page); addresses (url, provider); certificates (name_value, provider); lines
+    (value); harvested (text, evidence); verdicts (provider, slug, passed, has_token) of probed boards.
+    """
+
+    def found(rows: DataFrame, source: str) -> str:
+        new = rows.filter(F.col("slug").isNotNull()).select("provider", "slug", F.lit(source).alias("discovery_source"), F.lit("pending").alias("status"))
+        return v.put("discovered_slugs", market.keep_first(v.get("discovered_slugs"), new, "provider", "slug"))
+
+    def sources() -> str:
+        return v.put("companies", v.get("companies").unionByName(tables.placeholders(names, v.get("companies")), allowMissingColumns=True))
+
+    def reverse() -> str:
+        listed = discovery.listed_slugs(lines, v.get("discovered_slugs").select("slug"))
+        return found(listed.withColumn("provider", F.explode(F.array(*map(F.lit, discovery.BY_PATH)))), "ats_reverse")
+
+    def guessing() -> str:
+        guesses = v.get("companies").select(F.explode(discovery.guesses(F.col("legal_name"))).alias("slug"))
+        return found(guesses.join(verdicts.filter("passed"), "slug").select("provider", "slug"), "ats_guessing")
+
+    def promote() -> str:
+        told = verdicts.select(F.col("provider").alias("__p"), F.col("slug").alias("__s"), discovery.promotion(F.col("provider"), F.col("passed"), F.col("has_token")).alias("__status"))
+        rows = v.get("discovered_slugs").join(told, (F.col("provider") == F.col("__p")) & (F.col("slug") == F.col("__s")), "left")
+        status = F.when(F.col("status") == "pending", F.coalesce("__status", "status")).otherwise(F.col("status"))
+        return v.put("discovered_slugs", rows.withColumn("status", status).drop("__p", "__s", "__status"))
+
+    return [
+        ("sources", sources),
+        ("careers", lambda: found(pages.select(F.inline(F.array(discovery.board_of_page(F.col("redirect"), F.col("page")))).alias("provider", "slug")), "careers")),
+        ("ats_reverse", reverse),
+        ("ats_guessing", guessing),
+        ("dorking", lambda: found(addresses.select("provider", discovery.slug_of_address(F.col("url"), F.col("provider")).alias("slug")), "dorking")),
+        ("dorking_crt", lambda: found(discovery.certificate_slugs(certificates).withColumn("provider", F.lit("recruitee")), "dorking_crt")),
+        ("slug_harvest", lambda: found(discovery.harvest(harvested), "slug_harvest")),
+        ("promote_discovered", promote),
+    ]
+
+
+def preview(raw: DataFrame, provider: str, received_at: str, policy_version: str, job_id: str | None = None) -> DataFrame:
+    """One posting on its whole way: (raw, processed), the payload without markup and what became of it."""
+    one = boards.normalise(raw, provider, received_at)
+    one = one.filter(F.col("source_job_id") == job_id) if job_id else one
+    done = ingest.process(one.limit(1).withColumn("company_id", F.lit(None).cast("string")), policy_version)
+    shown = raw.filter(F.col("payload").contains(job_id)) if job_id else raw
+    payload = shown.select(F.substring(text.without_tags(F.col("payload")), 1, 3000).alias("raw")).limit(1)
+    return payload.crossJoin(done.select(F.to_json(F.struct(*[c for c in done.columns if c != "description"])).alias("processed")))  # rows of one
