@@ -32,15 +32,31 @@ PER_LANGUAGE, PROFILE = 1000, 300
 SHARD_BYTES, PIECE = 2 << 20, 1 << 18
 UNKNOWN = "und"
 
-#: Letters are what str.isalpha takes for them; \w also has numbers that \d lacks (½ ² ① Ⅷ).
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters are what str.isalpha takes for them; \w also has numbers that \d lacks (½ ² ① Ⅷ). They are rare, so
+#: texts are looked through for them by a table, and only those with some go through the larger pattern.
 _NUMBERS = "".join(c for c in map(chr, range(0xA0, 0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_MORE_NUMBERS = re.compile(rf"[{_NUMBERS} ]+")
+_IS_NUMBER = np.zeros(0x110000, bool)
+_IS_NUMBER[[ord(c) for c in _NUMBERS]] = True
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def letters(text: str) -> str:
+    """The words of a text, as runs of letters in lower case with a blank between."""
+    words = _NO_LETTERS.sub(" ", text.lower()).strip()
+    if not words.isascii() and _IS_NUMBER[_points(words)].any():
+        words = _MORE_NUMBERS.sub(" ", words).strip()
+    return words
 _BITS = 21
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a text, as numbers, and their counts."""
-    words = _NO_LETTERS.sub(" ", text.lower()).strip()
+    words = letters(text)
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = f" {words} "
@@ -50,7 +66,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _grams(piece: str, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams that begin in a piece; its last two characters belong to the next one, if there is one."""
-    c = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    c = _points(piece).astype(np.int64)
     own = len(c) if last else len(c) - 2
     two = (c[:-1] << _BITS) | c[1:]
     three = (two[:-1] << _BITS) | c[2:]
