@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.functions import text
+from vacantia.functions.salary import text_salary
 from vacantia.operators import market, search, state
 from vacantia.sources import boards
 
@@ -53,6 +54,39 @@ def test_bounds():
         search.bounded(0, 0)
     with pytest.raises(ValueError):
         search.bounded(10, -1)
+    for days in (6, 181):
+        with pytest.raises(ValueError):
+            search.bounded_days(days)
+    assert search.bounded_days(30) == 30
+
+
+def test_rows_of_one_job_in_a_batch(spark):
+    """As if they had come one by one: the first set source, the earliest sight, and all else from the last."""
+    rows = [("1", None, "a", moment(5), 0), ("1", "s", "b", moment(3), 1), ("1", "t", None, moment(9), 2), ("2", None, "c", moment(1), 3)]
+    batch = spark.createDataFrame(rows, "job_id string, source string, title string, first_seen_at timestamp_ntz, n int")
+    got = sorted(tuple(r) for r in state.one_of_each_job(batch, order=F.col("n")).drop("n").collect())
+    assert got == [("1", "s", None, moment(3)), ("2", None, "c", moment(1))]
+    old = batch.limit(0).drop("n")
+    assert state.merged_jobs(old, batch.drop("n")).count() == 2
+    seen = spark.createDataFrame([("s", "x", "1", moment(5), moment(6), 0), ("s", "x", "2", moment(4), moment(8), 1)], "source string, source_job_id string, job_id string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, n int")
+    none = spark.createDataFrame([], "source string, source_job_id string, job_id string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, seen_count int")
+    row = state.merged_sources(none, seen, F.col("n")).first()
+    assert (row.job_id, row.first_seen_at, row.last_seen_at, row.seen_count) == ("2", moment(4), moment(8), 2)
+
+
+def test_jobs_without_a_fingerprint_stay_apart(spark):
+    comes = spark.createDataFrame([(1, "a", None, "s", "1"), (2, "b", None, "s", "2"), (3, "c", "f", "s", "3"), (4, "d", "f", "s", "4"), (5, "e", None, "s", "9")], "position int, job_id string, job_fingerprint string, source string, source_job_id string")
+    jobs = spark.createDataFrame([("known", None, "s", "9")], "job_id string, job_fingerprint string, source string, source_job_id string")
+    sources = spark.createDataFrame([], "source string, source_job_id string, job_id string")
+    got = {r.job_id: r.canonical_id for r in state.canonical_ids(comes, jobs, sources).collect()}
+    assert got == {"a": "a", "b": "b", "c": "c", "d": "c", "e": "known"}
+
+
+def test_salaries_in_long_texts(spark):
+    text = "pay " * 30_000 + "Salary: €80k–€100k per year" + " no pay" * 30_000
+    got = spark.createDataFrame([(text,), ("x" * 50_000,), ("9" * 50_000,), (None,)], "t string").select(text_salary(F.lit(None), F.col("t")).alias("s")).collect()
+    assert (got[0].s.salary_min, got[0].s.salary_max, got[0].s.salary_currency) == (80000, 100000, "EUR")
+    assert [r.s.salary_min for r in got[1:]] == [None] * 3
 
 
 def test_entities_decode_once(spark):
@@ -78,4 +112,5 @@ def test_tick_isolates_failures():
 
     done = tick.run_steps([("a", lambda: 3), ("b", lambda: 1 / 0), ("c", lambda: None)])
     assert [o.ok for o in done] == [True, False, True]
+    assert [o.ok for o in tick.run_steps([("a", lambda: 1)], budget=0.0)] == [False]
     assert "ZeroDivisionError" in tick.report(done) and tick.report(done).endswith("2 ok, 1 failed")
