@@ -50,6 +50,8 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_distance(a: Column, b: Column) -> Column:
-    """1 - shared / all distinct trigrams of two texts (0 same, 1 nothing in common)."""
-    x, y = trigrams(a), trigrams(b)
-    return 1 - F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0))
+    """1 - shared / all distinct trigrams of two texts (0 same, 1 nothing in common). An array of one
+    holds both texts' trigrams, so that they are made once."""
+    both = F.array(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y")))
+    distance = lambda p: 1 - F.size(F.array_intersect(p["x"], p["y"])) / F.nullif(F.size(F.array_union(p["x"], p["y"])), F.lit(0))
+    return F.get(F.transform(both, distance), 0)
