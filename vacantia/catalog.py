@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vacantia.plans import audit_queries, discovery_queries, ingest_queries, market_queries, policy_queries, search_queries, source_queries, state_queries, table_queries, text_queries, tick_queries  # noqa: F401
+from vacantia.plans import audit_queries, discovery_queries, ingest_queries, market_queries, policy_queries, rule_queries, search_queries, source_queries, state_queries, table_queries, text_queries, tick_queries  # noqa: F401
 from vacantia.plans.registry import ORACLES, QUERIES
 
 
