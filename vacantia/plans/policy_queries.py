@@ -1,4 +1,4 @@
-"""Geography and the whole compliance policy over known cases."""
+"""Geography and the whole compliance policy over known cases, and over whole tables."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import geo
 from vacantia.plans.registry import query
+from vacantia.plans.rule_queries import chosen
+from vacantia.plans.table_queries import rows
 from vacantia.plans.text_queries import cases
 
 cases("c04_geo", "title description scope", [
@@ -35,3 +37,24 @@ cases("c05_geo_text", "title description", [
     ("Engineer", "EU only", "eu_explicit", "eu"), ("Engineer", "based in Spain", "eu_member_state", "spain"), ("Engineer", "Norway", "eu_region", "norway"), ("Engineer", "across Europe", "eu_region", "europe"),
     ("Engineer", "London", "uk", "london"), ("Engineer, UK", "", "uk", "uk"), ("Engineer", "", "unknown", None), (None, None, "unknown", None),
 ], lambda a, b: [F.inline(F.array(geo.geography_of_text(a, b)))], "geo_class matched_keyword")
+
+# Postings by their keys: a scope decides before a description does, a hard restriction before both.
+BY_SCOPE = (("Berlin", "eu_member_state", "explicit_country"), ("EMEA", "eu_region", "emea"), ("Brazil", "non_eu", "explicit_country"), ("Oslo", "eu_member_state", "explicit_country"), ("Spain; Brazil", "eu_region", "mixed_region"), ("APAC", "non_eu", "apac"), ("Anywhere", None, None))
+BY_DESCRIPTION = (("We hire across Europe", "eu_region", "desc_europe"), ("must be UK based", "uk", "desc_uk_based"), ("overlap with CET hours", "eu_region", "desc_timezone_cet"), ("Localization: Norway", "eu_region", "norway"), ("US only", None, None), ("covering EMEA and APAC", None, None), ("", None, None))
+BY_TITLE = (("Remote Engineer", "remote_only"), ("Hybrid Engineer", "non_remote"), ("Remote-friendly Engineer", "remote_optional"))
+PLACED = f"SELECT job_id, {chosen([v for v, _ in BY_TITLE])} AS title, {chosen([v for v, *_ in BY_DESCRIPTION])} AS description, {chosen([v for v, *_ in BY_SCOPE])} AS remote_scope FROM jobs_v"
+told = lambda table: ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in table)
+KNOWN = f"""
+p AS ({PLACED}), s(remote_scope, geo, reason) AS (VALUES {told(BY_SCOPE)}), d(description, geo, reason) AS (VALUES {told(BY_DESCRIPTION)}), r(title, remote) AS (VALUES {told(BY_TITLE)}),
+k AS (SELECT p.*, coalesce(s.geo, d.geo, 'unknown') AS geo, coalesce(s.reason, d.reason) AS reason, coalesce(r.remote, 'unknown') AS remote, coalesce(p.description = 'US only', false) AS hard
+  FROM p LEFT JOIN s ON s.remote_scope = p.remote_scope LEFT JOIN d ON d.description = p.description LEFT JOIN r ON r.title = p.title)"""
+query("c04_geo_rows", f"WITH {KNOWN} SELECT job_id, geo AS geo_class, reason AS geo_reason FROM k", "jobs_v")(
+    lambda t: rows(t, PLACED).select("job_id", geo.geography(F.col("title"), F.col("description"), F.col("remote_scope")).alias("g")).select("job_id", "g.*")
+)
+query("c07_policy_rows", f"""
+WITH {KNOWN}
+SELECT job_id, CASE WHEN hard THEN 'unknown' ELSE remote END AS remote_class, CASE WHEN hard THEN 'non_eu' ELSE geo END AS geo_class,
+  CASE WHEN hard OR remote = 'non_remote' OR geo = 'non_eu' THEN 0 WHEN geo = 'unknown' THEN 20 WHEN remote = 'remote_only' THEN 100 WHEN remote = 'remote_optional' THEN 60 ELSE 55 END AS compliance_score,
+  CASE WHEN hard OR remote = 'non_remote' OR geo IN ('non_eu', 'unknown') THEN 'rejected' WHEN remote = 'remote_only' THEN 'approved' ELSE 'review' END AS compliance_status FROM k""", "jobs_v")(
+    lambda t: geo.policy(rows(t, PLACED)).select("job_id", *OUT)
+)
