@@ -59,8 +59,10 @@ def held_out(doc_id="doc_id"):
 def shards(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.Table]:
     """Whole rows in tables that hold about `limit` bytes of the given string or binary column.
 
-    A single longer row makes a table of its own. Nothing is dropped, cut or reordered.
+    A single longer row makes a table of its own. Nothing is dropped, cut or reordered. What Arrow keeps
+    of freed tables goes back to the system behind each one, as workers live on from stage to stage.
     """
+    pool = pa.default_memory_pool()
     waiting: list[pa.RecordBatch] = []
     total = 0
     for batch in batches:
@@ -72,11 +74,13 @@ def shards(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterat
                     waiting.append(batch.slice(begin, at - begin))
                 yield pa.Table.from_batches(waiting)
                 waiting, total, begin = [], 0, at
+                pool.release_unused()
             total += n + 1
         if len(lengths) > begin:
             waiting.append(batch.slice(begin))
     if waiting:
         yield pa.Table.from_batches(waiting)
+    pool.release_unused()
 
 
 def utf8(column: pa.ChunkedArray) -> list[bytes]:
