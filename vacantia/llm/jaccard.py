@@ -45,6 +45,8 @@ COUNT_BITS, MOST_BITS, SLOT_BYTES = 20, 24, 1024
 #: Text of a shard, and work and shingles of a task.
 SHARD_BYTES = 1 << 20
 TASK_WORK, TASK_SHINGLES = 2_000_000_000, 2_000_000
+#: Places of holders that are counted at once.
+_HOLDERS = 500_000
 
 _CHUNK = 1 << 14
 #: Letters that are hashed at once, and of a word that is hashed by itself.
@@ -211,7 +213,7 @@ def _forest(sets: list[np.ndarray], copies: np.ndarray, first: int, percent: int
     so many sets are one block and the others another; if that is not none, only pairs of both count."""
     sizes = np.array([len(s) for s in sets])
     _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    token, owner = token.astype(np.int32), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     shared = df[token] > 1
     token, owner = token[shared], owner[shared]
     held = owner[np.argsort(token, kind="stable")]
@@ -223,8 +225,8 @@ def _forest(sets: list[np.ndarray], copies: np.ndarray, first: int, percent: int
         mine = token[own[y] : own[y + 1]]
         cost = np.cumsum(df[mine])
         both = np.zeros(len(sets), np.int64)
-        for lo in range(0, int(cost[-1]) if len(cost) else 0, 4_000_000):
-            part = mine[(cost > lo) & (cost <= lo + 4_000_000)]
+        for lo in range(0, int(cost[-1]) if len(cost) else 0, _HOLDERS):
+            part = mine[(cost > lo) & (cost <= lo + _HOLDERS)]
             n = df[part]
             both += np.bincount(held[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(sets))
         rest = slice(first or y + 1, None)
