@@ -393,3 +393,30 @@ def test_words_in_pieces(monkeypatch):
     monkeypatch.setattr(jaccard, "_PIECE", 100)
     again = jaccard.word_hashes(texts)
     assert (whole[0] == again[0]).all() and (whole[1] == again[1]).all() and whole[1].tolist() == [0, 4, 2, 900]
+
+
+@pytest.mark.parametrize("first", [0, 25])
+@pytest.mark.parametrize("holders", [7, 500_000])
+def test_links_from_pieces_of_holders(first, holders, monkeypatch):
+    monkeypatch.setattr(jaccard, "_HOLDERS", holders)
+    rng = np.random.default_rng(5)
+    kinds = [np.unique(rng.integers(0, 1 << 40, 40).astype(np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.append(kinds[i % 4][rng.integers(0, 8) :], rng.integers(0, 1 << 40, rng.integers(0, 4)).astype(np.uint64))) for i in range(60)]
+    copies = rng.integers(1, 4, 60)
+    edges, links = jaccard._forest(sets, copies, first, 80)
+    held, expected, pairs = [set(s.tolist()) for s in sets], np.zeros(60, int), []
+    for a in range(60):
+        for b in range(a + 1, 60):
+            if (not first or a < first <= b) and 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b]):
+                expected[a] += copies[b]
+                expected[b] += copies[a]
+                pairs.append((a, b))
+    assert links.tolist() == expected.tolist()
+
+    def parts(found):
+        root = list(range(60))
+        for a, b in found:
+            root = [root[a] if r == root[b] else r for r in root]
+        return [root.index(r) for r in root]
+
+    assert parts(edges) == parts(pairs) and {tuple(sorted(e)) for e in edges} <= set(pairs)
