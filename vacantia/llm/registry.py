@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vacantia.llm import decontaminate, html_text, jaccard, language, mixing, quality, secrets, suffix_dedup, token_files, topk
+from vacantia.llm import decontaminate, fim, html_text, jaccard, language, mixing, quality, secrets, suffix_dedup, token_files, topk, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_mix_sources": mixing.op8,
         "op9_secrets": secrets.op9,
         "op10_jaccard_join": jaccard.op10,
+        "op12_whitening": whitening.op12,
+        "op13_fill_in_middle": fim.op13,
     }
 
 
@@ -25,4 +27,5 @@ def oracle_sql() -> dict:
         "op1_decontaminate": decontaminate.ORACLE,
         "op4_topk_search": topk.ORACLE,
         "op8_mix_sources": mixing.ORACLE,
+        "op13_fill_in_middle": fim.ORACLE,
     }
