@@ -308,7 +308,12 @@ def _linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     clusters = graph.components(_candidates(found, percent))
 
     placed = members.join(clusters, F.col("grp") == F.col("node"), "left").select("member", "first", "n", "copies", F.coalesce("label", "grp").alias("root"))
-    placed = common.cut(placed, "placed")
+    return found, verified(rows, common.cut(placed, "placed"), words, percent)
+
+
+def verified(rows: DataFrame, placed: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of each member in placed (member, first, n, copies, root: its candidates' cluster) what _linked gives, by its
+    whole set: links are decided between all members of a cluster, whose texts are found in rows (row, text)."""
     sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).filter(F.col("m") > 1)
     work = F.col("m").cast("double") * F.col("s")
     blocks = F.greatest(F.ceil(2 * F.sqrt(work / TASK_WORK)), F.ceil(2 * F.col("s") / TASK_SHINGLES))
@@ -321,7 +326,7 @@ def _linked(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     others = edges.filter("b is null").groupBy(F.col("a").alias("__of")).agg(F.sum("n").alias("__others"))
     named = placed.join(linked, F.col("member") == F.col("node"), "left").join(others, F.col("member") == F.col("__of"), "left")
     links = F.col("copies") - 1 + F.coalesce("__others", F.lit(0))
-    return found, named.select("member", F.coalesce("label", "member").alias("label"), "first", links.alias("links"))
+    return named.select("member", F.coalesce("label", "member").alias("label"), "first", links.alias("links"))
 
 
 def link(docs: DataFrame, doc_id="doc_id", text="text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

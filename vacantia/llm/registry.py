@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vacantia.llm import decontaminate, fim, html_text, jaccard, language, mixing, quality, secrets, suffix_dedup, token_files, topk, whitening
+from vacantia.llm import decontaminate, fim, html_text, jaccard, language, minhash, mixing, quality, secrets, suffix_dedup, token_files, topk, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mix_sources": mixing.op8,
         "op9_secrets": secrets.op9,
         "op10_jaccard_join": jaccard.op10,
+        "op11_fingerprints": minhash.op11,
         "op12_whitening": whitening.op12,
         "op13_fill_in_middle": fim.op13,
     }
