@@ -32,16 +32,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Write df below the shared folder and read it again: lost executors don't undo it, and the
-    shuffle files that led to it are not needed any more."""
+    shuffle files that led to it are not needed any more. Settings hold while it is written."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    settings = {_CLEAN: "true", **(settings or {})}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -48,6 +48,9 @@ TASK_WORK, TASK_SHINGLES = 2_000_000_000, 2_000_000
 #: Places of holders that are counted at once.
 _HOLDERS = 500_000
 
+#: Spark makes a Bloom filter of a join's smaller side if that is of this size at most; else all rows are shuffled.
+_FILTERED = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in (("enabled", "true"), ("applicationSideScanSizeThreshold", "0"), ("creationSideThreshold", "256m"), ("numBits", str(1 << 24)), ("expectedNumItems", "2000000"))}
+
 _CHUNK = 1 << 14
 #: Letters that are hashed at once, and of a word that is hashed by itself.
 _PIECE, _LONG = 1 << 20, 4096
@@ -318,10 +321,12 @@ def verified(rows: DataFrame, placed: DataFrame, words: int, percent: int) -> Da
     work = F.col("m").cast("double") * F.col("s")
     blocks = F.greatest(F.ceil(2 * F.sqrt(work / TASK_WORK)), F.ceil(2 * F.col("s") / TASK_SHINGLES))
     sizes = sizes.select("root", F.when((work <= TASK_WORK) & (F.col("s") <= TASK_SHINGLES), 1).otherwise(F.greatest(F.lit(2), blocks)).cast("int").alias("blocks"))
-    open_ = placed.join(sizes, "root").select(F.col("first.row").alias("__row"), "member", "copies", "root", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
+    open_ = common.cut(placed.join(sizes, "root").select(F.col("first.row").alias("__row"), "member", "copies", "root", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")), "open-members")
+    # Few rows are in clusters, so Spark filters the texts by these keys before it shuffles them.
+    open_ = open_.filter(F.col("blocks") >= 1)
     texts = rows.join(open_, F.col("row") == F.col("__row")).select("text", "member", "copies", "root", "blocks", "block")
     sets = texts.mapInArrow(_expand(words), "root bigint, i int, j int, side int, member binary, copies bigint, set binary")
-    edges = common.cut(sets.groupBy("root", "i", "j").applyInArrow(_verify(percent), "a binary, b binary, n bigint"), "links")
+    edges = common.cut(sets.groupBy("root", "i", "j").applyInArrow(_verify(percent), "a binary, b binary, n bigint"), "links", _FILTERED)
     linked = graph.components(edges.filter("b is not null").select("a", "b"))
     others = edges.filter("b is null").groupBy(F.col("a").alias("__of")).agg(F.sum("n").alias("__others"))
     named = placed.join(linked, F.col("member") == F.col("node"), "left").join(others, F.col("member") == F.col("__of"), "left")
