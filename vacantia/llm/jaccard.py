@@ -104,9 +104,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
     """Each text's distinct shingles in ascending order of their hashes."""
     hashes, counts = word_hashes(texts)
-    whole = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
+    n_whole = max(0, len(hashes) - words + 1)
+    whole = np.zeros(n_whole, np.uint64)
     for i in range(words):
-        whole = _mix(whole + hashes[i : len(hashes) - words + 1 + i])
+        whole = _mix(whole + hashes[i : i + n_whole])
     out, at = [], 0
     for n in counts.tolist():
         if n >= words:
