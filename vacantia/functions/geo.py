@@ -191,10 +191,31 @@ def policy(jobs, title="title", description="description", scope="remote_scope")
         "compliance_score": pick("__verdict.compliance_score", 0),
         "compliance_status": pick("__verdict.compliance_status", "rejected"),
         "policy_reason": F.when(F.col("__hard"), "geo_restriction_hard"),
+        "decision_trace": decision_trace(F.col("__hard"), F.col("__remote"), F.col("__geo"), F.col("__verdict")),
     }
     return out.withColumns(columns).drop("__hard", "__remote", "__geo", "__verdict")
 
 
+#: A step of a decision: what it asked, what came out, and for the scoring what speaks against the posting.
+TRACE = "array<struct<step:string,result:string,reason:string,score:int,penalties:array<string>,bonuses:array<string>,status:string>>"
+
+
+def decision_trace(hard: Column, remote: Column, place: Column, verdict: Column) -> Column:
+    """The steps of a decision in order. A hard restriction ends it at its first step; otherwise the classes,
+    the score with the classes that speak against the posting, and the resolution follow."""
+    fields = {"step": "string", "result": "string", "reason": "string", "score": "int", "penalties": "array<string>", "bonuses": "array<string>", "status": "string"}
+    step = lambda **given: F.struct(*[(given[k] if k in given else F.lit(None)).cast(kind).alias(k) for k, kind in fields.items()])
+    first = step(step=F.lit("hard_geo_check"), result=hard)
+    against = F.array_compact(F.array(F.when(remote["remote_class"] != "remote_only", remote["remote_class"]), F.when(~place["geo_class"].isin("eu_member_state", "eu_explicit"), place["geo_class"])))
+    rest = [
+        step(step=F.lit("remote_classifier"), result=remote["remote_class"], reason=remote["remote_reason"]),
+        step(step=F.lit("geo_classifier"), result=place["geo_class"], reason=place["geo_reason"]),
+        step(step=F.lit("scoring"), score=verdict["compliance_score"], penalties=against, bonuses=F.array().cast("array<string>")),
+        step(step=F.lit("resolver"), status=verdict["compliance_status"]),
+    ]
+    return F.when(hard, F.array(first)).otherwise(F.array(first, *rest))
+
+
 def scoring_step(trace: Column) -> Column:
     """The `scoring` step of a decision trace (array of structs with a step), NULL without one."""
     return F.get(F.filter(trace, lambda s: s["step"] == "scoring"), 0)

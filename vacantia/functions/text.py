@@ -216,9 +216,10 @@ def without_artifacts(column: Column) -> Column:
     return column
 
 
-def clean_description(column: Column) -> Column:
-    """A posting's description as it is stored."""
-    return whitespace(without_artifacts(markdown(column)))
+def clean_description(column: Column, source: Column | None = None) -> Column:
+    """A posting's description as it is stored; where its source is given, without that source's spam."""
+    clean = without_artifacts(markdown(column))
+    return whitespace(clean if source is None else without_spam(clean, source))
 
 
 def leftover_tags(column: Column) -> Column:

@@ -19,6 +19,7 @@ T = f"TIMESTAMP '{AS_OF}'"
 def rows(t, sql: str):
     """A text over the views, which Spark and DuckDB both run."""
     named = {v: getattr(t, n) for v, n in (("jobs_v", "jobs"), ("companies_v", "companies"), ("company_ats_v", "company_ats"), ("job_sources_v", "job_sources")) if v in sql}
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for v in named:
         sql = sql.replace(v, "{" + v + "}")
     return t.spark.sql(sql.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"), **named)

@@ -188,11 +188,11 @@ PROVIDERS: dict[str, tuple[str, Callable[[], dict[str, Column]]]] = {
 
 
 def normalise(raw: DataFrame, provider: str, received_at: str) -> DataFrame:
-    """Canonical postings of a provider's payloads: raw has (slug, payload). Postings without an id or
-    title, or (where the provider has addresses) without one, go; one without a time gets received_at."""
+    """Canonical postings of a provider's payloads, which they keep: raw has (slug, payload). Postings without an
+    id or title, or (where the provider has addresses) without one, go; one without a time gets received_at."""
     schema, projection = PROVIDERS[provider]
-    parsed = raw.select("slug", F.from_json("payload", schema).alias("p"))
-    out = parsed.select(*[c.alias(n) for n, c in projection().items()])
+    parsed = raw.select("slug", "payload", F.from_json("payload", schema).alias("p"))
+    out = parsed.select(*[c.alias(n) for n, c in projection().items()], "payload")
     addressed = F.lit(True) if provider in ("personio", "recruitee") else F.coalesce(F.col("source_url"), F.lit("")) != ""
     kept = out.filter(F.col("source_job_id").isNotNull() & (F.col("title") != "") & addressed)
     return kept.withColumn("first_seen_at", F.coalesce("first_seen_at", now(received_at).cast("timestamp")))
