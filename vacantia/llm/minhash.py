@@ -5,7 +5,7 @@ of SIZE universal hash permutations x -> a * x + b of 64-bit numbers (a odd), th
 shingles; two signatures agree at a place with the probability of the sets' Jaccard similarity. All of it
 is numpy over blocks of shingles.
 
-* The fingerprint is one byte of each of the first PLACES values, in hex. Different values share a byte one
+* The fingerprint is one byte of each of the first PLACES values. Different values share a byte one
   time in 256, which the likeness of two fingerprints takes off again.
 * Near duplicates: rows of a signature are hashed to BANDS bands. Documents with one set are one member;
   members with a band in common are tied to the least of them, so a hot band gives as many ties as members;
@@ -93,12 +93,12 @@ def edited(text: str, following: str) -> str:
 
 
 _ROWS = (
-    "part int, kind int, row bigint, doc_id bigint, text string, n_chars bigint, edited_sha256 string, fingerprint string, "
-    "edited_fingerprint string, near_edited double, near_next double, n bigint, member binary, bands array<bigint>"
+    "part int, kind int, row bigint, doc_id bigint, text string, n_chars bigint, edited_sha256 binary, fingerprint binary, "
+    "edited_fingerprint binary, near_edited double, near_next double, n bigint, member binary, bands array<bigint>"
 )
 _ARROW = pa.schema([
-    ("part", pa.int32()), ("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n", pa.int64()), ("member", pa.binary()), ("bands", pa.list_(pa.int64())),
+    ("part", pa.int32()), ("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()),
+    ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n", pa.int64()), ("member", pa.binary()), ("bands", pa.list_(pa.int64())),
 ])
 #: Kinds of rows: whole ones, a partition's first and last document.
 _WHOLE, _FIRST, _LAST = range(3)
@@ -115,8 +115,8 @@ def _compared(rows: list[tuple[int, int, str]], words: int) -> list[dict]:
     for k, found in enumerate(jaccard.shingles([t.encode() for t in after], words)):
         changed = fingerprint(signature(found, PLACES))
         out.append({
-            "kind": _WHOLE, "row": rows[k][0], "doc_id": rows[k][1], "n_chars": len(texts[k]), "edited_sha256": hashlib.sha256(after[k].encode()).hexdigest(), "fingerprint": prints[k].hex(),
-            "edited_fingerprint": changed.hex(), "near_edited": likeness(prints[k], changed), "near_next": likeness(prints[k], prints[k + 1]), "n": len(sets[k]),
+            "kind": _WHOLE, "row": rows[k][0], "doc_id": rows[k][1], "n_chars": len(texts[k]), "edited_sha256": hashlib.sha256(after[k].encode()).digest(), "fingerprint": prints[k],
+            "edited_fingerprint": changed, "near_edited": likeness(prints[k], changed), "near_next": likeness(prints[k], prints[k + 1]), "n": len(sets[k]),
             "member": xxhash.xxh3_128_digest(sets[k].tobytes()) if len(sets[k]) else None, "bands": bands(values[k]) if len(sets[k]) else [],
         })
     return out
@@ -198,4 +198,5 @@ def op11(spark, sf_dir: str) -> DataFrame:
     near = near_duplicates(found, rows).withColumnRenamed("member", "__member")
     out = found.join(near, F.col("member") == F.col("__member"), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", component.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next", component.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
