@@ -80,15 +80,21 @@ def _has(text: Column, phrases) -> Column:
     return text.rlike(_alone(phrases))
 
 
-def _first(text: Column, phrases) -> Column:
-    """The first phrase in the list's order that stands alone in the text, or NULL."""
-    pattern = lambda p: F.concat(F.lit(r"(?<![a-z0-9])\Q"), p, F.lit(r"\E(?![a-z0-9])"))
-    return F.get(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.regexp_count(text, pattern(p)) > 0), 0)
+def _first(text: Column, phrases, *more: Column) -> Column:
+    """The first phrase in the list's order that stands alone in the text (or in one of more), or NULL.
+
+    One pass of one constant pattern over a text: where a word may begin, it looks ahead for the phrases in
+    the list's order, so that of those that begin there it names the first, and hides none that begins later.
+    """
+    pattern = F.lit(r"(?<![a-z0-9])(?=(" + "|".join(map(quote, phrases)) + r")(?![a-z0-9]))")
+    found = [F.regexp_extract_all(t, pattern, 1) for t in (text, *more)]
+    found = F.concat(*found) if more else found[0]
+    listed = F.array(*map(F.lit, phrases))
+    return F.when(text.rlike(_alone(phrases)) if not more else F.lit(True), F.get(listed, (F.array_min(F.transform(found, lambda p: F.array_position(listed, p))) - 1).cast("int")))
 
 
 def _first_part(texts: list[Column], phrases) -> Column:
-    held = lambda p: texts[0].contains(p) | texts[1].contains(p)
-    return F.get(F.filter(F.array(*map(F.lit, phrases)), held), 0)
+    return F.coalesce(*[F.when(texts[0].contains(p) | texts[1].contains(p), F.lit(p)) for p in phrases])
 
 
 def _token(column: Column) -> Column:
@@ -126,52 +132,61 @@ def localization(description: Column) -> Column:
     return F.lower(F.when(html != "", collapse(unescaped(F.regexp_replace(html, "<[^>]+>", " ")))).when(inline != "", collapse(inline)).otherwise(collapse(below)))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def geography(title: Column, description: Column, scope: Column) -> Column:
-    """struct(geo_class, geo_reason)."""
-    t, d, s = (F.lower(text_or_empty(c)) for c in (title, description, scope))
+    """struct(geo_class, geo_reason). What scope and title say comes first; the description is only read where
+    they say nothing, list by list, and each list only where none before it has a phrase."""
     verdict = lambda kind, reason: F.struct(F.lit(kind).alias("geo_class"), (reason if isinstance(reason, Column) else F.lit(reason)).cast("string").alias("geo_reason"))
-    in_scope, in_title = places(s), places(t)
-    both = f"{_alone(OTHER_PLACES)}"
-    phrase = s.rlike(both) | t.rlike(both)
-    region = _first_part([s, t], EU_REGIONS)
-    mixed = (in_scope["eu"] & in_scope["other"]) | (in_title["eu"] & in_title["other"])
-    eu_place = in_scope["eu"] | in_title["eu"]
-    eu = eu_place | region.isNotNull()
-    away = _first_part([s, t], OTHER_REGIONS)
-    explicit = (in_scope["other"] & ~in_scope["eu"]) | (in_title["other"] & ~in_title["eu"])
-    other = mixed | explicit | away.isNotNull() | phrase
-    place = F.get(F.filter(F.array(*map(F.lit, OTHER_PLACES)), lambda p: (F.regexp_count(s, F.concat(F.lit(r"(?<![a-z0-9])\Q"), p, F.lit(r"\E(?![a-z0-9])"))) > 0) | (F.regexp_count(t, F.concat(F.lit(r"(?<![a-z0-9])\Q"), p, F.lit(r"\E(?![a-z0-9])"))) > 0)), 0)
-
-    # The description: localization section, then regions unless it lists the whole world.
-    section = localization(text_or_empty(description))
-    named = _first(section, MEMBERS)
-    eea = _first(section, EEA)
+    t, d, s = (F.lower(text_or_empty(c)) for c in (title, description, scope))
+    texts = F.struct(t.alias("t"), d.alias("d"), s.alias("s"), text_or_empty(description).alias("description"))
+
+    def by_place(x: Column) -> Column:
+        both = F.struct(places(x["s"]).alias("scope"), places(x["t"]).alias("title"), _first_part([x["s"], x["t"]], EU_REGIONS).alias("region"), _first_part([x["s"], x["t"]], OTHER_REGIONS).alias("away"), (_has(x["s"], OTHER_PLACES) | _has(x["t"], OTHER_PLACES)).alias("phrase"))
+        return F.coalesce(_let(both, lambda p: decided(x, p)), by_description(x))
+
+    def decided(x: Column, p: Column) -> Column:
+        scoped, titled, region, away, phrase = p["scope"], p["title"], p["region"], p["away"], p["phrase"]
+        eu_place = scoped["eu"] | titled["eu"]
+        eu = eu_place | region.isNotNull()
+        explicit = (scoped["other"] & ~scoped["eu"]) | (titled["other"] & ~titled["eu"])
+        other = (scoped["eu"] & scoped["other"]) | (titled["eu"] & titled["other"]) | explicit | away.isNotNull() | phrase
+        place = _first(x["s"], OTHER_PLACES, x["t"])
+        return (
+            F.when(eu & other & phrase & (scoped["members"] < 1), verdict("non_eu", F.coalesce(place, away)))
+            .when(eu & other, verdict("eu_region", "mixed_region"))
+            .when(eu_place, verdict("eu_member_state", "explicit_country"))
+            .when(eu, verdict("eu_region", region))
+            .when(other, verdict("non_eu", F.when(explicit, F.lit("explicit_country")).otherwise(F.coalesce(away, place))))
+        )
+
     long = [a for a in ALIASES if len(a) > 2]
-    alias = _first(section, long)
-    country = F.try_element_at(F.create_map(*[F.lit(x) for a in long for x in (a, ALIASES[a])]), alias)
-    uk_section = _first(section, UK)
-    words, regions = _first(d, EU_WORDS), _first(d, EU_REGIONS)
-    under = lambda c: F.replace(F.replace(c, F.lit(" & "), F.lit("_")), F.lit(" "), F.lit("_"))
-    uk, zone = _first(d, UK_PHRASES), _first(d, TIMEZONES)
-    uk_named = _first(F.concat_ws(" ", t, s), UK)
-    return (
-        F.when(eu & other & phrase & (in_scope["members"] < 1), verdict("non_eu", F.coalesce(place, away)))
-        .when(eu & other, verdict("eu_region", "mixed_region"))
-        .when(eu_place, verdict("eu_member_state", "explicit_country"))
-        .when(eu, verdict("eu_region", region))
-        .when(other, verdict("non_eu", F.when(explicit, F.lit("explicit_country")).otherwise(F.coalesce(away, place))))
-        .when(named.isNotNull(), verdict("eu_member_state", named))
-        .when(eea.isNotNull(), verdict("eu_region", eea))
-        .when(country.isin(*MEMBERS), verdict("eu_member_state", country))
-        .when(country.isNotNull(), verdict("eu_region", country))
-        .when(uk_section.isNotNull(), verdict("uk", uk_section))
-        .when(words.isNotNull() & ~_has(d, GLOBAL_WORDS), verdict("eu_region", F.concat(F.lit("desc_"), F.replace(words, F.lit(" "), F.lit("_")))))
-        .when(regions.isNotNull() & ~_has(d, OTHER_REGIONS), verdict("eu_region", F.concat(F.lit("desc_"), under(regions))))
-        .when(uk.isNotNull(), verdict("uk", F.concat(F.lit("desc_"), F.replace(uk, F.lit(" "), F.lit("_")))))
-        .when(zone.isNotNull(), verdict("eu_region", F.concat(F.lit("desc_timezone_"), F.replace(zone, F.lit(" "), F.lit("")))))
-        .when(uk_named.isNotNull(), verdict("uk", uk_named))
-        .otherwise(verdict("unknown", None))
-    )
+    countries = F.create_map(*[F.lit(x) for a in long for x in (a, ALIASES[a])])
+    found = lambda text, phrases, kind, make=lambda w: w, unless=None: _let(_first(text, phrases), lambda w: F.when(w.isNotNull() if unless is None else w.isNotNull() & ~unless, verdict(kind, make(w))))
+    described = lambda w: F.concat(F.lit("desc_"), F.replace(w, F.lit(" "), F.lit("_")))
+    under = lambda w: F.concat(F.lit("desc_"), F.replace(F.replace(w, F.lit(" & "), F.lit("_")), F.lit(" "), F.lit("_")))
+
+    def by_section(section: Column) -> Column:
+        country = lambda a: F.try_element_at(countries, a)
+        by_alias = _let(country(_first(section, long)), lambda c: F.when(c.isin(*MEMBERS), verdict("eu_member_state", c)).when(c.isNotNull(), verdict("eu_region", c)))
+        return F.when(section != "", F.coalesce(found(section, MEMBERS, "eu_member_state"), found(section, EEA, "eu_region"), by_alias, found(section, UK, "uk")))
+
+    def by_description(x: Column) -> Column:
+        d = x["d"]
+        return F.coalesce(
+            F.when(d.rlike("locali[sz]ation"), _let(localization(x["description"]), by_section)),
+            found(d, EU_WORDS, "eu_region", described, _has(d, GLOBAL_WORDS)),
+            found(d, EU_REGIONS, "eu_region", under, _has(d, OTHER_REGIONS)),
+            found(d, UK_PHRASES, "uk", described),
+            found(d, TIMEZONES, "eu_region", lambda w: F.concat(F.lit("desc_timezone_"), F.replace(w, F.lit(" "), F.lit("")))),
+            found(F.concat_ws(" ", x["t"], x["s"]), UK, "uk"),
+            verdict("unknown", None),
+        )
+
+    return _let(texts, by_place)
 
 
 def policy(jobs, title="title", description="description", scope="remote_scope"):

@@ -13,7 +13,7 @@ from vacantia.plans.registry import query
 from vacantia.plans.text_queries import cases
 from vacantia.operators.market import active_counts
 from vacantia.sources import discovery as d
-from vacantia.streaming import tick
+from vacantia.streaming import keyed_state, tick
 
 cases("c10_salary", "title description", [
     (None, "Salary: €80k–€100k per year", 80000, 100000, "EUR", "year"), (None, "Compensation range: $120k-$150k", 120000, 150000, "USD", "year"),
@@ -53,16 +53,50 @@ query("k13_segments_json")(lambda t: exports.segments_json(segments(t)))
 query("st02_daily_window", "SELECT CAST(ts AS DATE) AS day, event_type AS kind, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1, 2", rounded=("mean",))(lambda t: tick.daily_windows(t.read("events").withColumn("ts", F.col("ts").cast("timestamp"))))
 
 
+SOURCE_KEYS = ["source", "source_job_id"]
+
+
 def stream(t):
-    """Sources of jobs arrive in three files; the stream's last state is what one merge would give."""
+    """Sources of jobs arrive in three files, and the stream is stopped and started again between them: its state,
+    of which each batch rewrites only the buckets it touches, is what one merge would give."""
     folder = tick.shared_folder(t.spark, "tick")
     rows = t.job_sources
-    for k in range(3):
-        rows.filter((F.col("seen_count") > 1) & (F.col("seen_count") % 3 == k)).write.parquet(f"{folder}/landed/part{k}")
     merge = lambda before, batch: state.merged_sources(before, batch, F.col("last_seen_at"))
     start = merge(rows.limit(0), rows.filter("seen_count = 1"))
-    n = tick.merge_stream(t.spark, f"{folder}/landed/*", rows.schema, f"{folder}/state", f"{folder}/checkpoint", merge, start)
-    return t.spark.read.parquet(f"{folder}/state/version={n}")
+    for k in range(3):
+        # Each run makes its state anew from the folder, as a restarted driver would.
+        table = keyed_state.KeyedState(t.spark, f"{folder}/state", start.schema, SOURCE_KEYS, n_buckets=16)
+        table.merge(start, lambda old, new: new.select(*old.columns))
+        rows.filter((F.col("seen_count") > 1) & (F.col("seen_count") % 3 == k)).write.parquet(f"{folder}/landed/part{k}")
+        keyed_state.ingest_stream(t.spark, f"{folder}/landed/*", rows.schema, table, merge, f"{folder}/checkpoint")
+    return table.read()
+
+
+def stream_with_cursors(t):
+    """Boards hand over everything again with each of three files, and one of them fails in the second file: with a cursor
+    per board only what changed since then counts as a new sighting, and a failure leaves the board's cursor where it was."""
+    folder = tick.shared_folder(t.spark, "cursors")
+    rows = t.job_sources.withColumn("error", F.lit(None).cast("string"))
+    year = F.year("last_seen_at")
+    merge = lambda before, batch: state.merged_sources(before, batch.drop("error"), F.struct("last_seen_at", "job_id"))
+    start = state.merged_sources(t.job_sources.limit(0), t.job_sources.limit(0))
+    table = keyed_state.KeyedState(t.spark, f"{folder}/state", start.schema, SOURCE_KEYS, n_buckets=16)
+    cursors = keyed_state.KeyedState(t.spark, f"{folder}/boards", t.spark.createDataFrame([], keyed_state.CURSORS).schema, ["board"], n_buckets=4)
+    for k, last in enumerate((1994, 1996, 2100)):
+        landed = rows.filter(year <= last)
+        if k == 1:
+            landed = landed.filter("source <> 'src3'").union(rows.limit(1).withColumns({"source": F.lit("src3"), "error": F.lit("fetch_failed")}))
+        landed.coalesce(1).write.parquet(f"{folder}/landed/part{k}")
+        keyed_state.ingest_stream(t.spark, f"{folder}/landed/*", rows.schema, table, merge, f"{folder}/checkpoint", cursors, error="error")
+    return table.read().join(cursors.read(), F.col("source") == F.col("board")).drop("board")
+
+
+LATEST = "(SELECT source, max(CASE WHEN extract(year FROM last_seen_at) <= 1994 THEN last_seen_at END) AS a, max(CASE WHEN extract(year FROM last_seen_at) <= 1996 THEN last_seen_at END) AS b, max(last_seen_at) AS c FROM job_sources_v GROUP BY source)"
+query("st01_board_cursors", f"""
+WITH s AS (SELECT j.*, extract(year FROM last_seen_at) AS y, l.a, CASE WHEN j.source = 'src3' THEN l.a ELSE l.b END AS b, l.c FROM job_sources_v j JOIN {LATEST} l ON l.source = j.source),
+n AS (SELECT *, CASE WHEN y <= 1994 THEN 1 ELSE 0 END + CASE WHEN y <= 1996 AND source <> 'src3' AND last_seen_at >= coalesce(a, last_seen_at) THEN 1 ELSE 0 END + CASE WHEN last_seen_at >= coalesce(b, last_seen_at) THEN 1 ELSE 0 END AS m FROM s)
+SELECT source, source_job_id, arg_max(job_id, struct_pack(x := last_seen_at, y := job_id)) AS job_id, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at, CAST(sum(m) AS INTEGER) AS seen_count, max(c) AS since
+FROM n WHERE m > 0 GROUP BY source, source_job_id""", "job_sources_v")(stream_with_cursors)
 
 
 query("st01_incremental_tick", "SELECT source, source_job_id, min(job_id) AS job_id, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at, CAST(count(*) AS INTEGER) AS seen_count FROM job_sources_v GROUP BY source, source_job_id")(stream)

@@ -1,18 +1,12 @@
-"""The ingestion tick as a stream: files that arrive are merged into a state table, batch by batch.
-
-State lives in versioned folders, one per batch, so that a batch that is run again writes the same
-version anew: replays change nothing. Rows are never dropped for being late.
-"""
+"""Windows of a stream of events, and the folder that ticks share. The stream of postings is keyed_state's."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -25,24 +19,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def merge_stream(spark: SparkSession, folder: str, schema: StructType, state: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame], start: DataFrame, files: int = 1) -> int:
-    """Merge a folder's Parquet files into `start`, `files` at a time; the number of the last version.
-
-    Version n + 1 is merge(version n, batch n): read from and written to folders below `state`.
-    """
-    start.write.mode("overwrite").parquet(f"{state}/version=0")
-    last = [0]
-
-    def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{state}/version={number}")
-        merge(before, batch).write.mode("overwrite").parquet(f"{state}/version={number + 1}")
-        last[0] = number + 1
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return last[0]
-
-
 def daily_windows(events: DataFrame, time: str = "ts", kind: str = "event_type", value: str = "value", delay: str | None = None) -> DataFrame:
     """Counts and means per day and kind. A stream names a delay after which a day is final."""
     rows = events.withWatermark(time, delay) if delay else events
