@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from html import unescape
+from html.entities import html5
+from json import dumps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,21 +180,42 @@ BOILERPLATE = (
     "is proud to be an equal opportunity employer|is an equal opportunity employer|is committed to working with the broadest talent pool|We hire for skills and potential",
     "Please review our Candidate Privacy Notice|For information about our privacy practices, please visit",
 )
-#: Character references that are decoded by name; numeric ones are decoded by code. Fixed values.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€", "pound": "£", "laquo": "«", "raquo": "»", "times": "×", "deg": "°", "amp": "&"}
+#: Names that are also read without their semicolon, and the longest there is.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
+
+def _named(column: Column) -> Column:
+    """What a piece that begins with & and a name stands for, with the piece's rest; NULL if it is no reference.
+
+    All names of the standard count. One without its semicolon may also be the beginning of a longer word:
+    the longest name that the piece begins with is taken.
+    """
+    table = F.from_json(F.lit(dumps(html5)), "map<string,string>")  # one literal once the plan is made
+    name = F.regexp_extract(column, r"^&([^\t\n\f <&#;]{1,32};?)", 1)
+    bare = F.regexp_extract(column, rf"^&({'|'.join(_BARE)})", 1)
+    read = lambda n: F.concat(F.try_element_at(table, n), F.substring(column, F.length(n) + 2, F.length(column)))
+    return F.when(name != "", F.coalesce(read(name), F.when(bare != "", read(bare))))
+
+
+def _numbered(column: Column) -> Column:
+    """The same of a piece that begins with & and the number of a character."""
+    number = F.regexp_extract(column, r"^&#([xX][0-9a-fA-F]+|[0-9]+);?", 1)
+    digits = F.regexp_replace(number, r"^[xX]?0*(?=.)", "")
+    code = F.when(F.length(digits) > 8, F.lit(0x7FFFFFFF)).when(number.rlike("^[xX]"), F.conv(digits, 16, 10).try_cast("long")).otherwise(digits.try_cast("long"))
+    # Numbers of the standard that stand for another character, and those that stand for none.
+    other = {n: unescape(f"&#{n};") for n in [0, 13, *range(0x80, 0xA0)]}
+    table = F.create_map(*[x for n, c in other.items() for x in (F.lit(n).cast("long"), F.lit(c))])
+    none = code.between(1, 8) | code.between(0xE, 0x1F) | (code == 0xB) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | (F.lit(0xFFFE) == code.bitwiseAND(0xFFFE))
+    # A code point as text, by way of its UTF-32 bytes.
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    value = F.coalesce(F.try_element_at(table, code), F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(none, "").otherwise(char))
+    return F.when(number != "", F.concat(value, F.regexp_replace(column, r"^&#(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")))
 
 
 def unescaped(column: Column) -> Column:
-    """Character references decoded once: no second reading of what a decoded & makes."""
-    pieces = F.split(column, r"(?=&)")
-    name = lambda p: F.regexp_extract(p, r"^&([A-Za-z]+);", 1)
-    code = lambda p: F.coalesce(F.regexp_extract(p, r"^&#([0-9]{1,7});", 1).try_cast("int"), F.conv(F.nullif(F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]{1,6});", 1), F.lit("")), 16, 10).try_cast("int"))
-    table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-    # A code point as text, by way of its UTF-32 bytes.
-    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    decoded = lambda p: F.coalesce(F.try_element_at(table, name(p)), F.when(code(p).between(1, 0x10FFFF), char(code(p))))
-    one = lambda p: F.when(p.startswith("&") & decoded(p).isNotNull(), F.concat(decoded(p), F.regexp_replace(p, r"^&[^;]*;", ""))).otherwise(p)
-    return F.array_join(F.transform(pieces, one), "")
+    """Character references decoded once, as the standard has them: no second reading of what a decoded & makes."""
+    one = lambda p: F.when(p.startswith("&#"), F.coalesce(_numbered(p), p)).when(p.startswith("&"), F.coalesce(_named(p), p)).otherwise(p)
+    return F.when(column.contains("&"), F.array_join(F.transform(F.split(column, r"(?=&)"), one), "")).otherwise(column)
 
 
 def markdown(column: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vacantia.functions.columns import ago, count_where
+from vacantia.functions.columns import ago, count_where, now
 from vacantia.functions.geo import policy
 from vacantia.functions.salary import text_salary
 from vacantia.operators.audit import repost_counts
@@ -76,9 +76,9 @@ def one_of_each_job(incoming: DataFrame, kept: tuple[str, ...] = KEPT, order: Co
     are the first that are set, first_seen_at is the earliest, and all else is the last row's."""
     at, rest = "__order", [c for c in incoming.columns if c not in (*kept, "job_id", "first_seen_at")]
     rows = incoming.withColumn(at, F.monotonically_increasing_id() if order is None else order)
-    set_first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in kept if c in incoming.columns]
+    set_first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(at))).alias(c) for c in kept if c in incoming.columns]
     earliest = [F.min("first_seen_at").alias("first_seen_at")] if "first_seen_at" in incoming.columns else []
-    last = F.max_by(F.struct(F.lit(1).alias("__one"), *rest), at).alias("__last")
+    last = F.max_by(F.struct(F.lit(1).alias("__one"), *rest), F.struct(at)).alias("__last")
     return rows.groupBy("job_id").agg(*set_first, *earliest, last).select(*(F.col(f"__last.{c}").alias(c) if c in rest else c for c in incoming.columns))
 
 
@@ -102,14 +102,16 @@ def merged_jobs(old: DataFrame, incoming: DataFrame, kept: tuple[str, ...] = KEP
     return both.select(*(rule(c).alias(c) for c in old.columns))
 
 
-def snapshots(old: DataFrame, incoming: DataFrame, watched=("job_fingerprint", "title", "salary_min", "salary_max", "salary_currency")) -> DataFrame:
-    """The rows before the change, of jobs that change in a watched column."""
+def snapshots(old: DataFrame, incoming: DataFrame, watched=("job_fingerprint", "title", "salary_min", "salary_max", "salary_currency"), order: Column | None = None, captured_at: str | None = None) -> DataFrame:
+    """The rows before the change, of jobs that change in a watched column: one each, however many rows of a
+    job arrive, as these become one first. Where a moment is given, it is the snapshots' captured_at."""
     watched = [c for c in watched if c in incoming.columns and c in old.columns]
-    new = incoming.select(F.col("job_id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in watched))
+    new = one_of_each_job(incoming, order=order).select(F.col("job_id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in watched))
     same = F.lit(True)
     for c in watched:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return old.join(new, F.col("job_id") == F.col("__id")).filter(~same).select(*old.columns)
+    out = old.join(new, F.col("job_id") == F.col("__id")).filter(~same).select(*old.columns)
+    return out if captured_at is None else out.withColumn("captured_at", now(captured_at))
 
 
 def merged_sources(old: DataFrame, incoming: DataFrame, order: Column | None = None) -> DataFrame:
@@ -117,11 +119,11 @@ def merged_sources(old: DataFrame, incoming: DataFrame, order: Column | None = N
     the batch, whose rows count in `order` (as they are read)."""
     keys = ["source", "source_job_id"]
     rows = incoming.withColumn("__order", F.monotonically_increasing_id() if order is None else order)
-    last = F.max_by(F.struct("job_id", "last_seen_at"), "__order").alias("last")
+    last = F.max_by(F.struct("job_id", "last_seen_at"), F.struct("__order")).alias("last")  # a struct: rows without an order count, as the first
     rows = rows.groupBy(*keys).agg(last, F.min("first_seen_at").alias("__first_seen_at"), F.count(F.lit(1)).alias("__n"))
     new = rows.select(*keys, "__first_seen_at", "__n", F.col("last.job_id").alias("__job_id"), F.col("last.last_seen_at").alias("__last_seen_at"))
     out = old.join(new, keys, "full_outer")
-    arrived, known = F.col("__job_id").isNotNull(), F.col("job_id").isNotNull()
+    arrived, known = F.col("__n").isNotNull(), F.col("job_id").isNotNull()
     return out.select(
         *keys,
         F.coalesce("__job_id", "job_id").alias("job_id"),
@@ -179,10 +181,16 @@ def signal_scores(companies: DataFrame, jobs: DataFrame) -> DataFrame:
     return companies.join(counted, "company_id", "left").select("company_id", F.floor((tenths + 5) / 10).cast("int").alias("score"))
 
 
+def _alone() -> Column:
+    """A key of its own for each job without a fingerprint."""
+    return F.when(F.col("job_fingerprint").isNull(), F.col("job_id"))
+
+
 def ranked_fingerprints(jobs: DataFrame, as_of: str) -> DataFrame:
-    """The latest seen job of a fingerprint keeps it; the others get one made of it and their id."""
+    """The latest seen job of a fingerprint keeps it; the others get one made of it and their id. A NULL
+    fingerprint is none: such jobs are groups of one, and no hot key."""
     seen = F.coalesce("last_seen_at", "first_seen_at", F.lit(as_of).cast("timestamp_ntz"))
-    rank = F.row_number().over(W.partitionBy("job_fingerprint").orderBy(seen.desc(), "job_id"))
+    rank = F.row_number().over(W.partitionBy("job_fingerprint", _alone()).orderBy(seen.desc(), "job_id"))
     own = F.md5(F.concat("job_fingerprint", F.lit("|"), "job_id"))
     return jobs.withColumn("__n", rank).withColumn("job_fingerprint", F.when(F.col("__n") > 1, own).otherwise(F.col("job_fingerprint"))).drop("__n")
 
@@ -206,8 +214,8 @@ def quota_use(calls: DataFrame, quota: int) -> DataFrame:
 
 def merged_collisions(jobs: DataFrame, job_sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(jobs, job_sources) after jobs of one fingerprint have become one: the first seen stays, the
-    others' sources point to it unless it has the pair already."""
-    first = W.partitionBy("job_fingerprint").orderBy(F.asc_nulls_last("first_seen_at"), "job_id")
+    others' sources point to it unless it has the pair already. A NULL fingerprint is none, and such jobs stay."""
+    first = W.partitionBy("job_fingerprint", _alone()).orderBy(F.asc_nulls_last("first_seen_at"), "job_id")
     target = jobs.select("job_id", F.first("job_id").over(first).alias("__to"))
     kept = jobs.join(target.filter(F.col("job_id") == F.col("__to")).select("job_id"), "job_id", "left_semi")
     moved = job_sources.join(target, "job_id", "left").withColumn("__own", F.coalesce(F.col("__to") == F.col("job_id"), F.lit(True))).withColumn("job_id", F.coalesce("__to", "job_id"))

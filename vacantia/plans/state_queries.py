@@ -48,6 +48,10 @@ SELECT coalesce(o.job_id, n.job_id) AS job_id, coalesce(o.company_id, n.company_
   least(o.first_seen_at, n.first_seen_at) AS first_seen_at, o.verification_failures
 FROM o FULL JOIN n ON o.job_id = n.job_id""", "jobs_v")(lambda t: s.merged_jobs(*old_new(t)))
 query("d02_snapshots", f"WITH o AS ({OLD}), n AS ({NEW}) SELECT o.* FROM o JOIN n ON o.job_id = n.job_id WHERE o.title IS DISTINCT FROM n.title OR o.job_fingerprint IS DISTINCT FROM n.job_fingerprint", "jobs_v")(lambda t: s.snapshots(*old_new(t)))
+query("d02_snapshots_repeated", f"WITH o AS ({OLD}), n AS ({NEW}) SELECT o.job_id, o.title, TIMESTAMP '{AS_OF}' AS captured_at FROM o JOIN n ON o.job_id = n.job_id WHERE o.title IS DISTINCT FROM n.title OR o.job_fingerprint IS DISTINCT FROM n.job_fingerprint", "jobs_v")(
+    # Every job arrives three times; what it was before is kept once.
+    lambda t: (lambda old, new: s.snapshots(old, new.union(new).union(new), captured_at=AS_OF).select("job_id", "title", "captured_at"))(*old_new(t))
+)
 SRC = "source, source_job_id, job_id, first_seen_at, last_seen_at, seen_count"
 query("d03_source_merge", f"""
 WITH o AS (SELECT source, source_job_id, min(job_id) AS job_id, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at, max(seen_count) AS seen_count FROM job_sources_v WHERE seen_count <= 3 GROUP BY ALL),
@@ -124,6 +128,16 @@ SELECT company_id, provider FROM (SELECT c.company_id, p.provider, row_number()
 query("d10_collision_merge", """
 WITH t AS (SELECT job_id, first_value(job_id) OVER (PARTITION BY job_fingerprint ORDER BY first_seen_at NULLS LAST, job_id) AS target FROM jobs_v)
 SELECT DISTINCT s.source, s.source_job_id, coalesce(t.target, s.job_id) AS job_id FROM job_sources_v s LEFT JOIN t ON t.job_id = s.job_id""", "jobs_v", "job_sources_v")(lambda t: s.merged_collisions(t.jobs, t.job_sources)[1].select("source", "source_job_id", "job_id"))
+NULLED = "CASE WHEN k % 4 = 1 THEN NULL ELSE job_fingerprint END"
+query("d10_collision_without_print", f"""
+WITH j AS (SELECT job_id, first_seen_at, {NULLED} AS p FROM jobs_v), t AS (SELECT job_id, CASE WHEN p IS NULL THEN job_id ELSE first_value(job_id) OVER (PARTITION BY p ORDER BY first_seen_at NULLS LAST, job_id) END AS target FROM j)
+SELECT DISTINCT s.source, s.source_job_id, coalesce(t.target, s.job_id) AS job_id, (SELECT count(*) FROM t WHERE job_id = target) AS jobs FROM job_sources_v s LEFT JOIN t ON t.job_id = s.job_id""", "jobs_v", "job_sources_v")(
+    # A quarter of the jobs has no fingerprint: they are no collision, and stay.
+    lambda t: (lambda kept, moved: moved.select("source", "source_job_id", "job_id").crossJoin(kept.agg(F.count(F.lit(1)).alias("jobs"))))(*s.merged_collisions(t.jobs.withColumn("job_fingerprint", F.expr(NULLED)), t.job_sources))
+)
+query("w01_rank_without_print", f"SELECT job_id, CASE WHEN k % 4 <> 1 THEN CASE WHEN row_number() OVER (PARTITION BY {NULLED} ORDER BY last_seen_at DESC, job_id) > 1 THEN md5(concat(job_fingerprint, '|', job_id)) ELSE job_fingerprint END END AS job_fingerprint FROM jobs_v")(
+    lambda t: s.ranked_fingerprints(t.jobs.withColumn("job_fingerprint", F.expr(NULLED)), AS_OF).select("job_id", "job_fingerprint")
+)
 query("d11_duplicates_deleted", "SELECT count(DISTINCT job_fingerprint) AS jobs FROM jobs_v")(lambda t: s.merged_collisions(t.jobs, t.job_sources)[0].agg(F.count(F.lit(1)).alias("jobs")))
 query("d08_department_backfill", "SELECT job_id, CASE WHEN k % 2 = 0 THEN 'own' ELSE 'found' END AS source_department FROM jobs_v")(
     lambda t: s.filled_department(t.jobs.withColumn("source_department", F.when(F.col("k") % 2 == 0, "own")), t.jobs.select("job_id", F.lit("found").alias("department"))).select("job_id", "source_department")

@@ -71,15 +71,36 @@ class Versions:
         return self.spark.read.parquet(f"{self.folder}/{name}/version={self.last[name]}")
 
 
-def tick_steps(v: Versions, as_of: str, day: str, incoming: DataFrame, sightings: DataFrame, probes: DataFrame) -> list[tuple[str, Callable[[], object]]]:
-    """The seven steps of a tick over jobs, job_sources, companies, company_ats, compliance_reports,
-    daily_stats and segments. incoming: processed postings; sightings: rows of job_sources; probes: what
-    state.observed takes."""
+def _kept_by_key(table: DataFrame, new: DataFrame, keys: list[str], last: str) -> DataFrame:
+    """Upsert by key: rows whose key is new's give way, of new's own the one that is last by a column stays;
+    columns that one side lacks are NULL in its rows."""
+    rest = [c for c in new.columns if c not in keys]
+    new = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), last).alias("__row")).select(*keys, "__row.*")
+    return table.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def tick_steps(v: Versions, as_of: str, day: str, incoming: DataFrame, sightings: DataFrame, probes: DataFrame, policy_version: str | None = None, departments: DataFrame | None = None) -> list[tuple[str, Callable[[], object]]]:
+    """The seven steps of a tick over jobs, job_sources, companies, company_ats, compliance_reports, daily_stats
+    and segments. incoming: processed postings; sightings: rows of job_sources; probes: what state.observed takes.
+
+    Ingestion also appends the snapshots of jobs that change (job_snapshots) and, of postings that carry their
+    decision, writes reports by (job_uid, policy_version) and appends salaries to review (salary_cases).
+    Maintenance goes on, after reposts and company figures, to signal scores and to three backfills: resolutions
+    of another policy version than the given one, salaries out of texts, and departments (job_id, department)
+    fetched anew; a backfill whose columns the jobs don't have is left out.
+    """
     jobs, sources = lambda: v.get("jobs"), lambda: v.get("job_sources")
 
+    def appended(name: str, rows: DataFrame) -> str:
+        return v.put(name, v.get(name).unionByName(rows, allowMissingColumns=True) if name in v.last else rows)
+
     def ingestion() -> str:
-        v.put("job_sources", state.merged_sources(sources(), sightings))
-        return v.put("jobs", state.merged_jobs(jobs(), incoming))
+        old = jobs()
+        written = [v.put("job_sources", state.merged_sources(sources(), sightings)), appended("job_snapshots", state.snapshots(old, incoming, captured_at=as_of))]
+        if "decision_trace" in incoming.columns:
+            reports = ingest.compliance_reports(incoming).withColumn("created_at", F.lit(as_of).cast("timestamp_ntz"))
+            written += [v.put("compliance_reports", _kept_by_key(v.get("compliance_reports"), reports, ["job_uid", "policy_version"], "job_id")), appended("salary_cases", ingest.salary_cases(incoming))]
+        return ", ".join([*written, v.put("jobs", state.merged_jobs(old, incoming.select(*[c for c in incoming.columns if c in old.columns])))])
 
     def market_metrics() -> str:
         v.put("daily_stats", market.keep_first(v.get("daily_stats"), market.daily_stats(jobs(), sources(), day), "date"))
@@ -87,8 +108,18 @@ def tick_steps(v: Versions, as_of: str, day: str, incoming: DataFrame, sightings
         return v.put("segments", market.replace_by_key(v.get("segments"), new, "date", "segment_type", "segment_value"))
 
     def maintenance() -> str:
-        v.put("jobs", state.marked_reposts(jobs(), as_of))
-        return v.put("companies", state.company_figures(v.get("companies").drop("approved_jobs_count", "rejected_jobs_count"), jobs()))
+        written = [v.put("jobs", state.marked_reposts(jobs(), as_of))]
+        figures = state.company_figures(v.get("companies").drop("approved_jobs_count", "rejected_jobs_count"), jobs())
+        scores = state.signal_scores(figures, jobs()).select(F.col("company_id").alias("__id"), F.col("score").alias("__score"))
+        written.append(v.put("companies", figures.join(scores, F.col("company_id") == F.col("__id"), "left").withColumn("signal_score", F.col("__score")).drop("__id", "__score")))
+        filled, has = jobs(), {*jobs().columns}
+        if policy_version is not None and {"description", "remote_scope", "policy_version"} <= has:
+            filled = state.filled_compliance(filled, policy_version)
+        if {"description", "salary_min", "salary_max"} <= has:
+            filled = state.filled_salary(filled)
+        if departments is not None and "source_department" in has:
+            filled = state.filled_department(filled, departments)
+        return ", ".join([*written, v.put("jobs", filled)])
 
     return [
         ("ingestion", ingestion),
