@@ -21,8 +21,9 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -55,21 +56,53 @@ _BOUNDS = frozenset("table ul ol dl select body html article section div main as
 
 
 class Blocks(HTMLParser):
-    """The leaf blocks of a page: (vector of the tag path, its length, text, characters in links)."""
+    """The leaf blocks of a page: (vector of the tag path, its length, text, characters in links).
+
+    Linear in the page, however broken: what follows the last > holds no tag and is text; an end that was
+    looked for once in vain (of a comment, of a marked section) is not looked for again; and where open
+    elements of a name are is kept, so that none is searched for.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         #: Open elements with the sum of their own and their ancestors' vectors, and how many those are.
         self.stack: list[tuple[str, np.ndarray, int]] = []
-        self.open: Counter = Counter()
+        #: Places of the open elements by name, of those that bound others, and of those that are not inline.
+        self.open: dict[str, list[int]] = defaultdict(list)
+        self.bounds: list[int] = []
+        self.outer: list[int] = []
         self.ends = Counter(t.lower() for t in _CLOSERS.findall(html))
         self.found: list[tuple[np.ndarray, int, str, int]] = []
         self.text: list[str] = []
         self.linked = self.links = self.silent = 0
-        self.feed(html)
+        self.in_vain: set[str] = set()
+        end = html.rfind(">") + 1
+        self.rawdata = html[:end]
         self.close()
+        if end < len(html):
+            self.handle_data(unescape(html[end:]))
         self.flush()
 
+    def parse_comment(self, i, report=1):
+        if "comment" in self.in_vain:
+            return -1
+        end = super().parse_comment(i, report)
+        if end < 0:
+            self.in_vain.add("comment")
+        return end
+
+    def parse_marked_section(self, i, report=1):
+        kind = "condition" if self.rawdata[i + 3 : i + 8].lower().startswith(("if", "else", "endif")) else "section"
+        if kind in self.in_vain:
+            return -1
+        try:
+            end = super().parse_marked_section(i, report)
+        except AssertionError:  # no section that there is
+            return self.parse_bogus_comment(i)
+        if end < 0:
+            self.in_vain.add(kind)
+        return end
+
     def flush(self) -> None:
         if self.text:
             words = " ".join("".join(self.text).split())
@@ -82,14 +115,10 @@ class Blocks(HTMLParser):
         if tag not in _INLINE:
             self.flush()
             if self.open["head"] and tag not in _IN_HEAD:
-                self._pop(next(at for at, e in enumerate(self.stack) if e[0] == "head"))
-            closes = _CLOSES.get(tag, {"p"})
-            for at in range(len(self.stack) - 1, -1, -1) if any(self.open[c] for c in closes) else ():
-                if self.stack[at][0] in closes:
-                    self._pop(at)
-                    break
-                if self.stack[at][0] in _BOUNDS:
-                    break
+                self._pop(self.open["head"][0])
+            at = max((self.open[c][-1] for c in _CLOSES.get(tag, {"p"}) if self.open[c]), default=-1)
+            if at >= 0 and (not self.bounds or at >= self.bounds[-1]):
+                self._pop(at)
         elif tag in ("br", "wbr", "img"):
             self.text.append(" ")
         if tag in _VOID:
@@ -98,11 +127,15 @@ class Blocks(HTMLParser):
         for name, value in attrs:
             if value and name in ("class", "id", "role"):
                 own += [f"{name[0]}.{v}" for v in value.lower().replace("-", " ").replace("_", " ").split()]
-        if tag in _SHAPES or (tag in _SILENT and tag not in _OPEN_SILENT and not self.ends[tag]):
+        if tag in _SHAPES or (tag in _SILENT and tag not in _OPEN_SILENT and self.ends[tag] <= 0):
             return
         _, path, n = self.stack[-1] if self.stack else ("", _NOWHERE, 0)
+        self.open[tag].append(len(self.stack))
+        if tag in _BOUNDS:
+            self.bounds.append(len(self.stack))
+        if tag not in _INLINE:
+            self.outer.append(len(self.stack))
         self.stack.append((tag, path + _own_vector(tuple(own)), n + len(own)))
-        self.open[tag] += 1
         self.links += tag == "a"
         self.silent += tag in _SILENT
 
@@ -113,9 +146,12 @@ class Blocks(HTMLParser):
 
     def _pop(self, at: int) -> None:
         for tag, _, _ in self.stack[at:]:
-            self.open[tag] -= 1
+            self.open[tag].pop()
             self.links -= tag == "a"
             self.silent -= tag in _SILENT
+        for places in (self.bounds, self.outer):
+            while places and places[-1] >= at:
+                places.pop()
         del self.stack[at:]
 
     def handle_endtag(self, tag):
@@ -124,12 +160,9 @@ class Blocks(HTMLParser):
             self.flush()
         if not self.open[tag]:
             return
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self._pop(at)
-                return
-            if tag in _INLINE and self.stack[at][0] not in _INLINE:
-                return
+        at = self.open[tag][-1]
+        if tag not in _INLINE or not self.outer or self.outer[-1] <= at:
+            self._pop(at)
 
     def handle_data(self, data):
         if not self.silent:
