@@ -117,11 +117,17 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="quality", size: int = SAMPLE) -> DataFrame:
-    """(label, text) of the sample, written to the shared folder since it is read three times."""
+    """(label, text, place, mark) of the sample, written to the shared folder since it is read three times: of the
+    first labelled ids by hash the rows, equal ones once, and of those the first by hash of id and of text."""
     known = labels.filter(F.col(label).isin(0, 1) & ~common.held_out(doc_id)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(size)  # at most SAMPLE rows, so they can be broadcast
     rows = docs.join(F.broadcast(known), F.col(doc_id) == F.col("__id")).select("label", F.coalesce(text, F.lit("")).alias("text"), F.xxhash64("__id").alias("place"))
-    return common.cut(rows, "quality-sample")
+    once = rows.groupBy("label", "place", F.xxhash64("text").alias("mark")).agg(F.first("text").alias("text"))
+    once = common.cut(once.select("label", "text", "place", "mark"), "quality-sample")
+    # An id may have very many texts; their keys say where the sample ends.
+    key = F.struct("place", "mark", "label")
+    last = once.select(key.alias("key")).orderBy("key").limit(size).agg(F.max("key").alias("key")).first()["key"]
+    return once if last is None else once.filter(key <= F.struct(*[F.lit(v).cast(once.schema[c].dataType).alias(c) for c, v in last.asDict().items()]))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, **columns) -> Model:
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(model.names)
-        for shard in common.shards(batches, 2, SHARD_BYTES):
-            x = model.pool(shard.column(2).to_pylist(), numbers)
-            yield from pa.table([shard.column(0), shard.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["label", "place", "x"]).to_batches()
+        for shard in common.shards(batches, 3, SHARD_BYTES):
+            x = model.pool(shard.column(3).to_pylist(), numbers)
+            yield from pa.table([*(shard.column(k) for k in range(3)), pa.array(list(x), pa.list_(pa.float32()))], names=["label", "place", "mark", "x"]).to_batches()
 
-    rows = sorted(sample.select("label", "place", "text").mapInArrow(pooled, "label int, place bigint, x array<float>").collect(), key=lambda r: (r.place, r.label))
+    rows = sorted(sample.select("label", "place", "mark", "text").mapInArrow(pooled, "label int, place bigint, mark bigint, x array<float>").collect(), key=lambda r: (r.place, r.mark, r.label))
     train(model, np.array([r.x for r in rows]).reshape(-1, DIMENSIONS), np.array([r.label for r in rows], float))
     return model
 
