@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacantia.llm import common, suffix_array
@@ -259,7 +260,9 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text", length: int =
     losing = busy.select("sha", "owner").distinct()
     need = losing.join(ask.drop("owner"), "sha", "left").withColumn("ask", F.coalesce("ask", F.expr("cast(array() as array<struct<anchor:bigint,part:bigint,shard:bigint,hot:boolean,start:int,n:int>>)")))
     hashed = rows.withColumn("__sha", F.sha2(F.col("text").cast("binary"), 256))
-    held = hashed.join(need.withColumnRenamed("owner", "__owner"), (F.col("__sha") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("__owner"))).select("sha", "text", "ask")
+    held = hashed.join(need.withColumnRenamed("owner", "__owner"), (F.col("__sha") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("__owner"))).select("sha", "__owner", "text", "ask")
+    # An owner's row may stand in the table many times; one of them is enough. Rows are dealt by these keys already.
+    held = held.withColumn("__n", F.row_number().over(W.partitionBy("sha", "__owner").orderBy("sha"))).filter("__n = 1").select("sha", "text", "ask")
     held = common.cut(held, "held")
     pieces = held.filter(F.size("ask") > 0).select("text", "ask").mapInArrow(_cutter(length), "anchor bigint, part bigint, shard bigint, hot boolean, bytes binary")
     found = common.cut(pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(_arrays(length), _FOUND), "found")
