@@ -3,7 +3,7 @@
 Candidates are what the patterns match, what they match but drop as too short, and any other unbroken
 run of key-like characters with letters and digits; a run that the patterns match in part is split
 around their spans, and the long parts between a run's path separators and equals signs are candidates
-besides the run. The network reads a candidate in overlapping windows, each with a stretch of context on
+besides the run, unless it is longer than a path (BLOB). The network reads a candidate in overlapping windows, each with a stretch of context on
 either side, and gives a probability; the windows above a threshold, joined where they meet, are added to
 the patterns' spans, which always stay and carry their own probability. It is trained on
 labelled findings that are made from rules here: secrets of many shapes in the contexts that carry
@@ -21,6 +21,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,10 @@ PATTERNS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0
 LEAST = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 PART = re.compile(rf"[^/=]{{{LEAST},}}")
+#: A longer run is no path: its windows see all of its parts, which aren't scored once more.
+BLOB = 512
+#: Windows that are scored at once.
+SCORED = 4096
 
 #: Characters of a window, on either side, and from window to window; network sizes; findings; the threshold's constraint.
 WIDTH, SIDE, STRIDE = 48, 24, 16
@@ -94,16 +99,21 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             begin = spans[k][1]
         for a, b in [*free, (begin, m.end())]:
             if b - a >= LEAST and keyed(text[a:b]):
-                parts = [(a + p.start(), a + p.end()) for p in PART.finditer(text[a:b]) if keyed(p.group())]
-                out += [(a, b), *(p for p in parts if p != (a, b))]
+                out.append((a, b))
+                if b - a <= BLOB:
+                    parts = [(a + p.start(), a + p.end()) for p in PART.finditer(text[a:b]) if keyed(p.group())]
+                    out += [p for p in parts if p != (a, b)]
     return out
 
 
-def windows(start: int, end: int) -> list[tuple[int, int]]:
-    """A candidate, or where it is longer than WIDTH, overlapping windows over all of it."""
+def windows(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """A candidate, or where it is longer than WIDTH, overlapping windows over all of it, one after the other."""
     if end - start <= WIDTH:
-        return [(start, end)]
-    return [(a, a + WIDTH) for a in [*range(start, end - WIDTH, STRIDE), end - WIDTH]]
+        yield start, end
+        return
+    for a in range(start, end - WIDTH, STRIDE):
+        yield a, a + WIDTH
+    yield end - WIDTH, end
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
@@ -289,19 +299,27 @@ def _scan(batches: Iterator[pa.RecordBatch], net: Network, keep: list[str], colu
         texts = [t or "" for t in shard.column(column).to_pylist()]
         found = [matched(t) for t in texts]
         base = [[m[:3] for m in f] for f, _ in found]
-        # Windows of the patterns' own matches, by their number, and of the further candidates (-1).
-        places = [(i, k, x, y) for i, (f, _) in enumerate(found) for k, (_, _, b, own) in enumerate(f) for x, y in windows(own, b)]
-        places += [(i, -1, x, y) for i, t in enumerate(texts) for a, b in (*found[i][1], *candidates(t, base[i])) for x, y in windows(a, b)]
         above: list[list] = [[] for _ in texts]
         sure = [[0.0] * len(f) for f in base]
-        for begin in range(0, len(places), 4096):
-            part = places[begin : begin + 4096]
+
+        def places() -> Iterator[tuple[int, int, int, int]]:
+            """Windows of the patterns' own matches, by their number, and of the further candidates (-1)."""
+            for i, (f, short) in enumerate(found):  # noqa: B023
+                yield from ((i, k, x, y) for k, (_, _, b, own) in enumerate(f) for x, y in windows(own, b))
+                yield from ((i, -1, x, y) for a, b in (*short, *candidates(texts[i], base[i])) for x, y in windows(a, b))  # noqa: B023
+
+        every = places()
+        while part := list(islice(every, SCORED)):
             chance = net.probability(np.array([encode(texts[i], a, b) for i, _, a, b in part]))
             for (i, k, a, b), p in zip(part, chance.tolist(), strict=True):
                 if k >= 0:
                     sure[i][k] = max(sure[i][k], p)
                 elif p >= net.threshold:
-                    above[i].append((a, b))
+                    # Windows come in order within a candidate, so what meets is joined as it is found.
+                    if above[i] and above[i][-1][0] <= a < above[i][-1][1]:
+                        above[i][-1] = (above[i][-1][0], max(b, above[i][-1][1]))
+                    else:
+                        above[i].append((a, b))
         added = [[(a, len(PATTERNS), b) for a, b in _joined(x)] for x in above]
         names = [p[0] for p in PATTERNS] + ["learned"]
         told = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
