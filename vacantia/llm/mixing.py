@@ -93,7 +93,9 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     ranges = ranges.withColumn("__mix_before", F.coalesce(F.sum("__mix_words").over(earlier), F.lit(0)))
     targets = source_targets(ranges.groupBy("__mix_key").agg(F.sum("__mix_words").alias("__mix_total")), weights, opening, repeats)
     plan = ranges.select("__mix_key", "__mix_range", "__mix_before").join(targets, "__mix_key")
-    inside = W.partitionBy("__mix_key", "__mix_range").orderBy("__mix_order", F.col(doc_id), "__mix_size").rowsBetween(W.unboundedPreceding, -1)
+    # Rows of one id and size differ in their texts, if in anything: reruns deal them alike.
+    ties = [F.xxhash64(text)] if size is None else []
+    inside = W.partitionBy("__mix_key", "__mix_range").orderBy("__mix_order", F.col(doc_id), "__mix_size", *ties).rowsBetween(W.unboundedPreceding, -1)
     out = sized.join(plan, ["__mix_key", "__mix_range"]).withColumn("__mix_start", F.col("__mix_before") + F.coalesce(F.sum(words).over(inside), F.lit(0)))
     if size is not None:
         out = out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_copies") - 1)))
