@@ -18,9 +18,13 @@ def ago(as_of: str, days: float = 0, hours: int = 0) -> Column:
     return now(as_of) - F.expr(f"INTERVAL {int(days)} DAYS") - F.expr(f"INTERVAL {int(hours)} HOURS")
 
 
+def micros(moment: Column) -> Column:
+    """Microseconds of a moment without a time zone since 1970."""
+    return F.unix_micros(F.to_utc_timestamp(moment.cast("timestamp"), F.current_timezone()))
+
+
 def seconds(later: Column, earlier: Column) -> Column:
     """Seconds between two moments without a time zone, as a double."""
-    micros = lambda c: F.unix_micros(F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone()))
     return (micros(later) - micros(earlier)) / 1e6
 
 

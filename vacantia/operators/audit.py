@@ -7,9 +7,11 @@ DataFrame that is one scan with partial aggregation wherever the question allows
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vacantia.functions.columns import ago, count_where, now, percentage, seconds
+from vacantia.functions.columns import ago, count_where, micros, now, percentage, seconds
+from vacantia.operators import ranks
 
 FACETS = ("status", "compliance_status", "remote_class", "geo_class")
 
@@ -90,35 +92,54 @@ def ghost_jobs(job_sources: DataFrame, as_of: str, days_threshold: int = 3, days
     return gone.select("job_id", "source", "source_job_id", "first_seen_at", "last_seen_at", seconds(F.col("last_seen_at"), F.col("first_seen_at")).alias("lifetime_s"))
 
 
-def lifetime_stats(job_sources: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+def lifetime_stats(job_sources: DataFrame, as_of: str, days: int = 30, direct: int = ranks.DIRECT) -> DataFrame:
     life = seconds(F.col("last_seen_at"), F.col("first_seen_at"))
-    return job_sources.filter(F.col("first_seen_at") > ago(as_of, days)).select(life.alias("s")).agg(F.avg("s").alias("avg_lifetime_s"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY s)").alias("median_lifetime_s"))
+    rows = job_sources.filter(F.col("first_seen_at") > ago(as_of, days)).select(life.alias("s"))
+    return ranks.with_percentile(rows, [], [F.avg("s").alias("avg_lifetime_s")], "s", "median_lifetime_s", direct=direct)
 
 
-def _earlier(jobs: DataFrame) -> DataFrame:
-    return jobs.select(F.col("job_id").alias("prev_id"), "job_fingerprint", "company_name", "title", F.col("last_seen_at").alias("previous_last_seen_at"))
+_SAME = ["job_fingerprint", "company_name", "title"]
 
 
-_SAME = ["job_fingerprint", "company_name", "title"]
+def _spans(jobs: DataFrame, as_of: str, days_threshold: int) -> tuple[DataFrame, DataFrame, int]:
+    """Recent jobs at their openings and earlier ones at their ends, in spans of time as long as the gap may be
+    (its microseconds come third). An earlier job stands in its own span and in the next, so a recent one
+    finds in its span whatever may have come before it; a key of very many jobs is dealt by spans."""
+    gap = days_threshold * 86_400_000_000
+    recent = jobs.filter(F.col("first_seen_at") > ago(as_of, days_threshold + 15)).withColumn("at", micros(F.col("first_seen_at")))
+    recent = recent.withColumn("span", F.floor(F.col("at") / gap))
+    # An earlier one that qualifies was last seen no longer before the window than the gap may be.
+    earlier = jobs.filter(F.col("last_seen_at") > ago(as_of, 2 * days_threshold + 15)).withColumn("at", micros(F.col("last_seen_at")))
+    own = F.floor(F.col("at") / gap)
+    return recent, earlier.withColumn("span", F.explode(F.array(own, own + 1))), gap
 
 
 def repost_candidates(jobs: DataFrame, as_of: str, days_threshold: int = 30) -> DataFrame:
     """Pairs of jobs alike in fingerprint, company and title, the later one opened soon after the
-    earlier one was last seen. The equal keys drive the join; the time window is its residual."""
-    recent = jobs.filter(F.col("first_seen_at") > ago(as_of, days_threshold + 15)).select("job_id", "first_seen_at", *_SAME)
-    # An earlier one that qualifies was last seen no longer before the window than the gap may be.
-    earlier = _earlier(jobs).filter(F.col("previous_last_seen_at") > ago(as_of, 2 * days_threshold + 15))
-    gap = F.col("first_seen_at") - F.col("previous_last_seen_at")
-    near = (F.col("job_id") != F.col("prev_id")) & (F.col("first_seen_at") > F.col("previous_last_seen_at")) & (gap < F.expr(f"INTERVAL {days_threshold} DAYS"))
-    pairs = recent.join(earlier, _SAME).filter(near)
-    return pairs.select("job_id", "company_name", "title", "first_seen_at", "previous_last_seen_at", seconds(F.col("first_seen_at"), F.col("previous_last_seen_at")).alias("gap_s")).orderBy(F.desc("first_seen_at"))
+    earlier one was last seen: joined by equal keys and span of time, with the gap as its residual."""
+    recent, earlier, gap = _spans(jobs, as_of, days_threshold)
+    recent = recent.select("job_id", "first_seen_at", "at", "span", *_SAME)
+    earlier = earlier.select(F.col("job_id").alias("prev_id"), F.col("last_seen_at").alias("previous_last_seen_at"), F.col("at").alias("ended"), "span", *_SAME)
+    near = (F.col("job_id") != F.col("prev_id")) & (F.col("at") > F.col("ended")) & (F.col("at") - F.col("ended") < gap)
+    pairs = recent.join(earlier, [*_SAME, "span"]).filter(near)
+    return pairs.select("job_id", "company_name", "title", "first_seen_at", "previous_last_seen_at", ((F.col("at") - F.col("ended")) / 1e6).alias("gap_s")).orderBy(F.desc("first_seen_at"))
 
 
 def repost_counts(jobs: DataFrame, as_of: str, days_threshold: int = 30) -> DataFrame:
-    """(job_id, repost_count) of recent jobs: how many earlier ones qualify."""
-    recent = jobs.filter(F.col("first_seen_at") > ago(as_of, days_threshold + 15)).select("job_id", "first_seen_at", *_SAME)
-    pairs = repost_candidates(jobs, as_of, days_threshold).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
-    return recent.select("job_id").join(pairs, "job_id", "left").select("job_id", F.coalesce("n", F.lit(0)).cast("long").alias("repost_count"))
+    """(job_id, repost_count) of recent jobs: how many earlier ones qualify. No pairs are made: openings and ends
+    of one key and span stand in the order of time, and a range of it counts the ends before an opening."""
+    recent, earlier, gap = _spans(jobs, as_of, days_threshold)
+    keyed = F.struct(*_SAME)
+    whole = recent.filter(F.greatest(*[F.col(c).isNull().cast("int") for c in _SAME]) == 0)
+    columns = [keyed.alias("key"), "span", "at"]
+    # A job that ends before it opens would count itself.
+    own = ((F.col("at") > micros(F.col("last_seen_at"))) & (F.col("at") - micros(F.col("last_seen_at")) < gap)).cast("int")
+    openings = whole.select(*columns, "job_id", F.lit(0).alias("end"), F.coalesce(own, F.lit(0)).alias("own"))
+    ends = earlier.select(*columns, F.lit(None).cast(jobs.schema["job_id"].dataType).alias("job_id"), F.lit(1).alias("end"), F.lit(0).alias("own"))
+    before = W.partitionBy("key", "span").orderBy("at").rangeBetween(1 - gap, -1)
+    counted = openings.union(ends).withColumn("n", F.coalesce(F.sum("end").over(before), F.lit(0)) - F.col("own")).filter("end = 0").select("job_id", F.col("n").cast("long").alias("repost_count"))
+    lone = recent.filter(F.greatest(*[F.col(c).isNull().cast("int") for c in _SAME]) == 1).select("job_id", F.lit(0).cast("long").alias("repost_count"))
+    return counted.union(lone)
 
 
 def failing_integrations(company_ats: DataFrame, companies: DataFrame, as_of: str, days_threshold: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacantia.functions.columns import count_where, now, seconds
+from vacantia.operators import ranks
 
 FULLY_REMOTE = ("remote_only", "remote_region_locked")
 EU_CLASSES = ("eu_member_state", "eu_explicit", "eu_region")
@@ -23,27 +24,28 @@ def _active() -> Column:
     return F.coalesce(F.col("availability_status") == "active", F.lit(False))
 
 
-def daily_stats(jobs: DataFrame, job_sources: DataFrame, day: str) -> DataFrame:
-    """One row for the day [00:00, 24:00) UTC, from one pass over jobs and one over their sources."""
+def daily_stats(jobs: DataFrame, job_sources: DataFrame, day: str, direct: int = ranks.DIRECT) -> DataFrame:
+    """One row for the day [00:00, 24:00) UTC, from one pass over jobs and one over their sources (and more for
+    the median, where more salaries than `direct` are active)."""
     remote = F.when(F.col("remote_class").isin(*FULLY_REMOTE), 1.0).otherwise(0.0)
     salary = F.when(_active(), F.col("salary_min_eur"))
-    market = jobs.agg(
+    figures = [
         count_where(_within("first_seen_at", day)).alias("jobs_created"),
         count_where((F.col("availability_status") == "expired") & _within("last_seen_at", day)).alias("jobs_expired"),
         count_where(_active()).alias("jobs_active"),
         count_where(F.col("is_repost") & _within("first_seen_at", day)).alias("jobs_reposted"),
         F.avg(salary).alias("avg_salary_eur"),
-        F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY salary_min_eur) FILTER (WHERE availability_status = 'active')").alias("median_salary_eur"),
         F.avg(F.when(_active(), remote)).alias("remote_ratio"),
-    )
+    ]
+    market = ranks.with_percentile(jobs.withColumn("__active_salary", salary), [], figures, "__active_salary", "median_salary_eur", direct=direct)
     life = job_sources.filter(_within("last_seen_at", day)).agg(F.avg(seconds(F.col("last_seen_at"), F.col("first_seen_at"))).alias("avg_job_lifetime_s"))
     return market.crossJoin(life).select(F.lit(day).cast("date").alias("date"), "*")  # two rows of one
 
 
-def _segments(offers: DataFrame, kind: str, value: Column, day: str) -> DataFrame:
+def _segments(offers: DataFrame, kind: str, value: Column, day: str, direct: int = ranks.DIRECT) -> DataFrame:
     paid = F.when(F.col("salary_min_eur") >= SALARY_FLOOR, F.col("salary_min_eur"))
-    grouped = offers.withColumns({"segment_value": value, "paid": paid}).groupBy("segment_value")
-    out = grouped.agg(count_where(_active()).alias("jobs_active"), count_where(_within("first_seen_at", day)).alias("jobs_created"), F.count("paid").alias("salary_count"), F.avg("paid").alias("avg_salary_eur"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY paid)").alias("median_salary_eur"))
+    figures = [count_where(_active()).alias("jobs_active"), count_where(_within("first_seen_at", day)).alias("jobs_created"), F.count("paid").alias("salary_count"), F.avg("paid").alias("avg_salary_eur")]
+    out = ranks.with_percentile(offers.withColumns({"segment_value": value, "paid": paid}), ["segment_value"], figures, "paid", "median_salary_eur", direct=direct)
     return out.select(F.lit(day).cast("date").alias("date"), F.lit(kind).alias("segment_type"), "*")
 
 
@@ -52,14 +54,14 @@ def _offers(jobs: DataFrame, day: str) -> DataFrame:
     return jobs.filter((F.col("compliance_status") == "approved") & (F.col("compliance_score") >= FEED_SCORE) & live)
 
 
-def country_segments(jobs: DataFrame, day: str) -> DataFrame:
+def country_segments(jobs: DataFrame, day: str, direct: int = ranks.DIRECT) -> DataFrame:
     """Approved offers by remote scope (EU) or as `Non EU`."""
     value = F.when(F.col("geo_class").isin(*EU_CLASSES), F.coalesce("remote_scope", "geo_class")).otherwise("Non EU")
-    return _segments(_offers(jobs, day).filter(F.col("geo_class").isNotNull()), "country", value, day)
+    return _segments(_offers(jobs, day).filter(F.col("geo_class").isNotNull()), "country", value, day, direct)
 
 
-def column_segments(jobs: DataFrame, day: str, columns=("job_family", "seniority")) -> DataFrame:
-    parts = [_segments(_offers(jobs, day).filter(F.col(c).isNotNull()), c, F.col(c), day) for c in columns]
+def column_segments(jobs: DataFrame, day: str, columns=("job_family", "seniority"), direct: int = ranks.DIRECT) -> DataFrame:
+    parts = [_segments(_offers(jobs, day).filter(F.col(c).isNotNull()), c, F.col(c), day, direct) for c in columns]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -58,6 +58,11 @@ query("a09_lifetime", f"""
 SELECT avg(s) AS avg_lifetime_s, quantile_cont(s, 0.5) AS median_lifetime_s
 FROM (SELECT epoch(last_seen_at) - epoch(first_seen_at) AS s FROM job_sources_v WHERE first_seen_at > {T} - INTERVAL 30 DAY)""")(lambda t: audit.lifetime_stats(t.job_sources, AS_OF))
 
+# The same medians with every group treated as one that no buffer holds.
+query("a09_lifetime_by_rank", f"""
+SELECT avg(s) AS avg_lifetime_s, quantile_cont(s, 0.5) AS median_lifetime_s
+FROM (SELECT epoch(last_seen_at) - epoch(first_seen_at) AS s FROM job_sources_v WHERE first_seen_at > {T} - INTERVAL 4000 DAY)""")(lambda t: audit.lifetime_stats(t.job_sources, AS_OF, 4000, direct=0))
+
 query("f10_ghost_jobs", f"""
 SELECT job_id, source, source_job_id, first_seen_at, last_seen_at, epoch(last_seen_at) - epoch(first_seen_at) AS lifetime_s
 FROM job_sources_v WHERE first_seen_at > {T} - INTERVAL 400 DAY AND last_seen_at - first_seen_at < INTERVAL 3 DAY""")(lambda t: audit.ghost_jobs(t.job_sources, AS_OF, 3, 400))

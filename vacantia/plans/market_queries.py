@@ -36,6 +36,9 @@ COUNTRY = segment_sql("country", "CASE WHEN geo_class IN ('eu_member_state', 'eu
 COLUMNS = "\nUNION ALL ".join(segment_sql(c, c, f"{c} IS NOT NULL") for c in ("job_family", "seniority"))
 query("a11_segments_country", COUNTRY, rounded=PAID)(lambda t: m.country_segments(t.jobs, DAY))
 query("a12_segments_family_seniority", COLUMNS, rounded=PAID)(lambda t: m.column_segments(t.jobs, DAY))
+query("a10_market_daily_by_rank", DAILY, rounded=(*PAID, "remote_ratio", "avg_job_lifetime_s"))(lambda t: m.daily_stats(t.jobs, t.job_sources, DAY, direct=0))
+query("a11_segments_by_rank", COUNTRY, rounded=PAID)(lambda t: m.country_segments(t.jobs, DAY, direct=0))
+query("a12_segments_by_rank", COLUMNS, rounded=PAID)(lambda t: m.column_segments(t.jobs, DAY, direct=0))
 REGIONS = f"""
 c AS ({COUNTRY}),
 labelled AS (SELECT * REPLACE (regexp_replace(regexp_replace(segment_value, '(?i)^home\\s+based\\s*[-–]\\s*', 'Remote - '), '(?i)^remote\\s+job\\s*[,\\s]+\\s*', 'Remote - ') AS segment_value)
