@@ -97,7 +97,8 @@ def transform(docs: DataFrame, doc_id="doc_id", text="text", unit: str = CODE_PO
     """docs with __fim_n (units), __fim_form, __fim_prefix and __fim_middle (code points; null if plain) and
     __fim_output. One pass over the rows, no shuffle. Marks must be such that none can begin within another,
     else an output could be read in two ways; a pattern must not match the empty string."""
-    if any(a[i:] == b[: len(a) - i] or b in a[i:] for a in marks for b in marks for i in range(1, len(a))) or len({*marks}) < 3 or not all(marks):
+    apart = lambda a, b: (a is b or b not in a) and not any(a[i:] == b[: len(a) - i] for i in range(1, len(a)))
+    if not all(marks) or not all(apart(a, b) for a in marks for b in marks):
         raise ValueError(f"marks {marks} overlap")
     if re.compile(unit).match(""):
         raise ValueError(f"{unit} matches the empty string")
