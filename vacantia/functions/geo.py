@@ -8,6 +8,8 @@ first that fits gives the reason.
 from __future__ import annotations
 
 import hashlib
+import inspect
+import sys
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -236,10 +238,16 @@ def scoring_step(trace: Column) -> Column:
     return F.get(F.filter(trace, lambda s: s["step"] == "scoring"), 0)
 
 
+#: Modules whose text decides a resolution: rules and tables of geography and classes, and the text functions they use.
+_POLICY = (classify.__name__, __name__, text_or_empty.__module__)
+
+
 def policy_version() -> str:
-    """`v4.` and a digest of the rule tables, so that a changed table is another version."""
-    tables = [MEMBERS, EEA, UK, EU_REGIONS, EU_WORDS, OTHER_REGIONS, GLOBAL_WORDS, UK_PHRASES, TIMEZONES, OTHER_TOKENS, STATES, US_PHRASES, ALIASES, OTHER_PLACES, classify.OFFICE, classify.HYBRID, classify.REMOTE, classify.REGION_LOCKED, classify.OPTIONAL, classify.HARD, classify.MATRIX]
-    return "v4." + hashlib.md5(repr(tables).encode()).hexdigest()[:7]
+    """`v4.` and a digest of the rules' source, so that a changed rule or table is another version."""
+    digest = hashlib.md5()
+    for name in _POLICY:
+        digest.update(inspect.getsource(sys.modules[name]).encode())
+    return "v4." + digest.hexdigest()[:7]
 
 
 # Phrases of the older scope, by place, after those of the United States.

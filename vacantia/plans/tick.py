@@ -79,7 +79,43 @@ def _kept_by_key(table: DataFrame, new: DataFrame, keys: list[str], last: str) -
     return table.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def tick_steps(v: Versions, as_of: str, day: str, incoming: DataFrame, sightings: DataFrame, probes: DataFrame, policy_version: str | None = None, departments: DataFrame | None = None) -> list[tuple[str, Callable[[], object]]]:
+def in_chunks(v: Versions, name: str, work: DataFrame, key: str, handle: Callable[[DataFrame], DataFrame], seconds: float, size: int = 50, clock: Callable[[], float] = time.perf_counter) -> tuple[int, int]:
+    """Handle a queue of rows chunk by chunk until it is done or the seconds are over: (chunks done, chunks left).
+
+    Rows left over from the last time (table `{name}_left`) come first, and what is left over now replaces
+    them; a key that was left over is not queued twice. What handle makes of each chunk is written behind
+    it, so a chunk that is done stays done: table `{name}_done` has this time's results. Chunks are made by
+    a hash of the key, about `size` rows each, so that no task numbers all rows.
+    """
+    before = v.get(f"{name}_left") if f"{name}_left" in v.last else None
+    new = work if before is None else work.join(before.select(key), key, "left_anti")
+    queue = new.withColumn("__carried", F.lit(False))
+    if before is not None:
+        queue = before.withColumn("__carried", F.lit(True)).unionByName(queue)
+    counts = {r[0]: r[1] for r in queue.groupBy("__carried").count().collect()}
+    chunks = {kind: -(-n // size) for kind, n in counts.items()}
+    number = F.pmod(F.xxhash64(key), F.when(F.col("__carried"), max(1, chunks.get(True, 0))).otherwise(max(1, chunks.get(False, 0))))
+    v.put(f"{name}_queue", queue.withColumn("__chunk", number))
+    queue = v.get(f"{name}_queue")
+    mine = lambda kind, n: (F.col("__carried") == kind) & (F.col("__chunk") == n)
+    began, done, folder = clock(), [], f"{v.folder}/{name}_done/version={v.last.get(f'{name}_done', -1) + 1}"
+    handle(queue.limit(0).drop("__carried", "__chunk")).write.mode("overwrite").parquet(folder)
+    order = [(kind, n) for kind in (True, False) for n in range(chunks.get(kind, 0))]
+    for kind, n in order:
+        if clock() - began >= seconds:
+            break
+        handle(queue.filter(mine(kind, n)).drop("__carried", "__chunk")).write.mode("append").parquet(folder)
+        done.append((kind, n))
+    v.last[f"{name}_done"] = v.last.get(f"{name}_done", -1) + 1
+    finished = F.lit(False)
+    for kind in (True, False):
+        if own := [n for k, n in done if k == kind]:
+            finished = finished | ((F.col("__carried") == kind) & F.col("__chunk").isin(own))
+    v.put(f"{name}_left", queue.filter(~finished).drop("__carried", "__chunk"))
+    return len(done), len(order) - len(done)
+
+
+def tick_steps(v: Versions, as_of: str, day: str, incoming: DataFrame, sightings: DataFrame, probes: DataFrame, policy_version: str | None = None, departments: DataFrame | None = None, probe: Callable[[DataFrame], DataFrame] | None = None, seconds: float = 15.0) -> list[tuple[str, Callable[[], object]]]:
     """The seven steps of a tick over jobs, job_sources, companies, company_ats, compliance_reports, daily_stats
     and segments. incoming: processed postings; sightings: rows of job_sources; probes: what state.observed takes.
 
@@ -87,7 +123,8 @@ def tick_steps(v: Versions, as_of: str, day: str, incoming: DataFrame, sightings
     decision, writes reports by (job_uid, policy_version) and appends salaries to review (salary_cases).
     Maintenance goes on, after reposts and company figures, to signal scores and to three backfills: resolutions
     of another policy version than the given one, salaries out of texts, and departments (job_id, department)
-    fetched anew; a backfill whose columns the jobs don't have is left out.
+    fetched anew; a backfill whose columns the jobs don't have is left out. Where `probe` is given, availability
+    probes the rows of `probes` itself, in chunks and for so many seconds; what is left over waits for the next tick.
     """
     jobs, sources = lambda: v.get("jobs"), lambda: v.get("job_sources")
 
@@ -102,6 +139,12 @@ def tick_steps(v: Versions, as_of: str, day: str, incoming: DataFrame, sightings
             written += [v.put("compliance_reports", _kept_by_key(v.get("compliance_reports"), reports, ["job_uid", "policy_version"], "job_id")), appended("salary_cases", ingest.salary_cases(incoming))]
         return ", ".join([*written, v.put("jobs", state.merged_jobs(old, incoming.select(*[c for c in incoming.columns if c in old.columns])))])
 
+    def availability() -> str:
+        if probe is None:
+            return v.put("jobs", state.observed(jobs(), probes))
+        done, left = in_chunks(v, "verification", probes, "job_id", probe, seconds)
+        return f"{v.put('jobs', state.observed(jobs(), v.get('verification_done')))}, {done} chunks, {left} left"
+
     def market_metrics() -> str:
         v.put("daily_stats", market.keep_first(v.get("daily_stats"), market.daily_stats(jobs(), sources(), day), "date"))
         new = market.country_segments(jobs(), day).unionByName(market.column_segments(jobs(), day))
@@ -124,7 +167,7 @@ def tick_steps(v: Versions, as_of: str, day: str, incoming: DataFrame, sightings
     return [
         ("ingestion", ingestion),
         ("lifecycle", lambda: v.put("jobs", state.lifecycle(jobs(), as_of))),
-        ("availability", lambda: v.put("jobs", state.observed(jobs(), probes))),
+        ("availability", availability),
         ("market_metrics", market_metrics),
         ("maintenance", maintenance),
         ("frontend_export", lambda: v.put("feed", exports.feed_json(jobs()))),
