@@ -234,14 +234,16 @@ def matches(texts: list[bytes], items: Items) -> pa.Table:
     return pa.table([pa.array(shard.counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), found).cast(_ARROW.field(1).type), pa.array(listed, pa.list_(pa.string()))], schema=_ARROW)
 
 
-def _searcher(items: Items, column: int, keep: list[str], continued: bool):
+def _searcher(items: Items, column: int, keep: list[str], hits_only: bool = False):
+    """Rows with what they hit; of a pass behind the first only rows that hit something are told."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in common.shards(batches, column, SHARD_BYTES):
             hits = matches(common.utf8(shard.column(column)), items)
-            columns = hits.columns
-            if continued:
-                columns = [columns[0], *(pa.array([a + b for a, b in zip(shard.column(name).to_pylist(), hits.column(name).to_pylist(), strict=True)], _ARROW.field(name).type) for name in _ARROW.names[1:])]
-            yield from pa.table([*(shard.column(c) for c in keep), *columns], names=[*keep, *_ARROW.names]).to_batches()
+            out = pa.table([*(shard.column(c) for c in keep), *hits.columns], names=[*keep, *_ARROW.names])
+            if hits_only:
+                out = out.filter(pa.compute.greater(pa.compute.list_value_length(hits.column("__hit_items")), 0))
+            yield from out.to_batches()
 
     return search
 
@@ -266,16 +268,23 @@ def find(docs: DataFrame, benchmark: DataFrame, text="text", keep: list[str] | N
     common.bounded_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     every = blocks(benchmark, item_id, item_text)
-    out, block, first = docs, next(every), True
+    block, following = next(every), next(every, None)
+    if following is None:
+        schema = T.StructType([docs.schema[c] for c in keep] + _KINDS.fields)
+        return docs.mapInArrow(_searcher(Items(block, window), docs.columns.index(text), keep), schema)
+    # A larger benchmark: rows get a key, each pass writes what it found by these keys, and the passes meet in the end.
+    spark, row = docs.sparkSession, "__hit_row"
+    keyed = common.cut(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-documents")
+    schema = T.StructType([T.StructField(row, T.LongType())] + _KINDS.fields)
+    folder, first = common.shared_dir(spark, "benchmark-passes"), True
     while block is not None:
-        following = next(every, None)
-        names = docs.columns if following is not None else keep
-        schema = T.StructType([docs.schema[c] for c in names] + _KINDS.fields)
-        out = out.mapInArrow(_searcher(Items(block, window), docs.columns.index(text), names, not first), schema)
-        if following is not None:
-            out = common.cut(out, "benchmark-pass")
-        block, first = following, False
-    return out
+        found = keyed.select(row, text).mapInArrow(_searcher(Items(block, window), 1, [row], not first), schema)
+        found.write.mode("append").parquet(folder)
+        block, following, first = following, next(every, None), False
+    names = [f.name for f in _KINDS.fields]
+    passes = spark.read.schema(schema).parquet(folder).groupBy(F.col(row).alias("__hit_of"))
+    merged = passes.agg(F.max(names[0]).alias(names[0]), *[F.flatten(F.collect_list(c)).alias(c) for c in names[1:]])
+    return keyed.join(merged, F.col(row) == F.col("__hit_of")).select(*keep, *names)
 
 
 def _n_hit():
