@@ -111,9 +111,14 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of `vectors`; both have columns (id, v)."""
     spark = vectors.sparkSession
     common.bounded_batches(spark)
-    lists, folder = None, None
-    for query_ids, matrix in _blocks(queries):
-        block = vectors.mapInArrow(_searcher(query_ids, matrix, k), _HITS)
+    folder, every = None, _blocks(queries)
+    waiting = next(every, None)
+    while waiting is not None:
+        following = next(every, None)
+        if folder is None and following is not None:
+            vectors = common.cut(vectors, "vectors")  # several blocks read the whole numbers, not what they are made of
+        block = vectors.mapInArrow(_searcher(*waiting, k), _HITS)
+        waiting = following
         folder = folder or common.shared_dir(spark, "top-lists")
         block.write.mode("append").parquet(folder)
     lists = spark.createDataFrame([], _HITS) if folder is None else spark.read.schema(_HITS).parquet(folder)
