@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import os
+import math
 import re
 import string
 import zlib
@@ -38,6 +39,8 @@ SEQUENCE, BATCH, END = 2048, 64, 2
 #: Bytes of text that are tokenised at once, and words whose ids a worker remembers (some 230 bytes each;
 #: none longer than LONG), twice at most.
 SHARD_BYTES, REMEMBERED, LONG = 2 << 20, 200_000, 64
+#: Text of a range of documents, which is one file (32 MB of text are some 20 MB of ids; its index is one task's).
+FILE_BYTES = 32 << 20
 
 #: ASCII signs that end words, and words of small Latin letters.
 _SIGNS = string.punctuation
@@ -246,7 +249,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id="doc_id", text="t
 
     rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("m"))
     # A hot id is dealt by its texts, and one text of it by its rows, which are alike.
-    ordered = rows.repartitionByRange(F.col("i").asc_nulls_first(), "h", "m").sortWithinPartitions(F.col("i").asc_nulls_first(), "h", "t").select("i", "t")
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    ranges = max(spark.sparkContext.defaultParallelism, math.ceil(n_bytes / FILE_BYTES))
+    ordered = rows.repartitionByRange(ranges, F.col("i").asc_nulls_first(), "h", "m").sortWithinPartitions(F.col("i").asc_nulls_first(), "h", "t").select("i", "t")
     ordered.mapInArrow(task, MANIFEST).write.parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest)
 
