@@ -75,7 +75,8 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     __mix_start (first word in its source's stream), __mix_open and __mix_taken.
 
     A source's documents stand in the order of a hash of their ids. Their running word count is made
-    in two steps so that a hot source is not one task: sums of hash ranges, then counts within a range.
+    in three steps so that a hot source is not one task: sums of coarse hash ranges, of ranges within these, then counts
+    within a range.
     Sizes are counted in the text where no column of them is given; where one is, equal rows are one until
     their words are dealt out, so that neither is an id that very many rows share.
     """
@@ -89,9 +90,15 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
         sized = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("__mix_copies"))
     words = F.col("__mix_size") * F.col("__mix_copies")
     ranges = sized.groupBy("__mix_key", "__mix_range").agg(F.sum(words).alias("__mix_words"))
-    earlier = W.partitionBy("__mix_key").orderBy("__mix_range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.withColumn("__mix_before", F.coalesce(F.sum("__mix_words").over(earlier), F.lit(0)))
-    targets = source_targets(ranges.groupBy("__mix_key").agg(F.sum("__mix_words").alias("__mix_total")), weights, opening, repeats)
+    # A source's ranges stand in coarse ones, about as many as each of those has, so no task has all of them.
+    ranges = ranges.withColumn("__mix_coarse", F.substring("__mix_range", 1, digits // 2))
+    coarse = ranges.groupBy("__mix_key", "__mix_coarse").agg(F.sum("__mix_words").alias("__mix_sum"))
+    earlier = W.partitionBy("__mix_key").orderBy("__mix_coarse").rowsBetween(W.unboundedPreceding, -1)
+    coarse = coarse.withColumn("__mix_first", F.coalesce(F.sum("__mix_sum").over(earlier), F.lit(0)))
+    nearer = W.partitionBy("__mix_key", "__mix_coarse").orderBy("__mix_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("__mix_near", F.coalesce(F.sum("__mix_words").over(nearer), F.lit(0)))
+    targets = source_targets(coarse.groupBy("__mix_key").agg(F.sum("__mix_sum").alias("__mix_total")), weights, opening, repeats)
+    ranges = ranges.join(coarse.drop("__mix_sum"), ["__mix_key", "__mix_coarse"]).withColumn("__mix_before", F.col("__mix_first") + F.col("__mix_near"))
     plan = ranges.select("__mix_key", "__mix_range", "__mix_before").join(targets, "__mix_key")
     # Rows of one id and size differ in their texts, if in anything: reruns deal them alike.
     ties = [F.xxhash64(text)] if size is None else []
