@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vacantia.plans import audit_queries, discovery_queries, function_queries, ingest_queries, landed_queries, market_queries, payload_queries, policy_queries, posted_queries, rule_queries, search_queries, source_queries, state_queries, table_queries, text_queries, tick_queries  # noqa: F401
+from vacantia.plans import audit_queries, discovery_queries, document_queries, function_queries, ingest_queries, landed_queries, market_queries, payload_queries, policy_queries, posted_queries, rule_queries, search_queries, source_queries, state_queries, table_queries, text_queries, tick_queries  # noqa: F401
 from vacantia.plans.registry import ORACLES, QUERIES
 
 

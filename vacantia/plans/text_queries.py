@@ -32,15 +32,17 @@ k AS (SELECT page_id, u, array_to_string(list_filter(string_split(u.q, '&'), lam
 SELECT page_id, lower(u.s) || '://' || lower(u.h) || u.p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM k""")(
     lambda t: t.read("pages").select("page_id", x.clean_url(F.concat("url", F.when(F.col("page_id") % 3 == 0, "&utm_source=x&gclid=1#frag").otherwise(""))).alias("url"))
 )
-query("h01_uid", f"SELECT doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), {NORM.format('substr(text, 1, 60)')}, {NORM.format('source')})) AS job_uid FROM documents")(lambda t: docs(t).select("doc_id", x.job_uid(F.col("doc_id"), F.substring("text", 1, 60), F.col("source")).alias("job_uid")))
+query("h01_uid", f"SELECT doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), {NORM.format('text')}, {NORM.format('source')})) AS job_uid FROM documents")(lambda t: docs(t).select("doc_id", x.job_uid(F.col("doc_id"), F.col("text"), F.col("source")).alias("job_uid")))
 CUT = "substr({0}, 1, {1})"
+#: A title for each document.
+LABEL = "(lang || '  ' || source)"
 query("h02_fingerprint", f"""
-SELECT doc_id, md5(concat_ws('|', {NORM.format('source')}, {NORM.format('lang')}, {NORM.format('substr(text, 1, 40)')}, '', substr({NORM.format("substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 1500)")}, 1, 500))) AS job_fingerprint FROM documents""")(
-    lambda t: docs(t).select("doc_id", x.job_fingerprint(F.col("source"), F.col("lang"), F.substring("text", 1, 40), F.lit(None), F.col("text")).alias("job_fingerprint"))
+SELECT doc_id, md5(concat_ws('|', {NORM.format('source')}, {NORM.format('lang')}, {NORM.format(LABEL)}, '', substr({NORM.format("substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 1500)")}, 1, 500))) AS job_fingerprint FROM documents""")(
+    lambda t: docs(t).select("doc_id", x.job_fingerprint(F.col("source"), F.col("lang"), F.concat("lang", F.lit("  "), "source"), F.lit(None), F.col("text")).alias("job_fingerprint"))
 )
 query("h03_canonical", f"""
-SELECT doc_id, sha1(concat_ws('|', {NORM.format('source')}, {NORM.format('substr(text, 1, 40)')}, substr({NORM.format("substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 3000)")}, 1, 1000))) AS canonical_id FROM documents""")(
-    lambda t: docs(t).select("doc_id", x.canonical_job_id(F.col("source"), F.substring("text", 1, 40), F.col("text")).alias("canonical_id"))
+SELECT doc_id, sha1(concat_ws('|', {NORM.format('source')}, {NORM.format(LABEL)}, substr({NORM.format("substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 3000)")}, 1, 1000))) AS canonical_id FROM documents""")(
+    lambda t: docs(t).select("doc_id", x.canonical_job_id(F.col("source"), F.concat("lang", F.lit("  "), "source"), F.col("text")).alias("canonical_id"))
 )
 query("a25_leftover_tags", "SELECT tag, count(*) AS n FROM (SELECT unnest(list_transform(regexp_extract_all(html, '</?([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1), lambda g: lower(g))) AS tag FROM pages) GROUP BY tag ORDER BY n DESC, tag LIMIT 5")(
     lambda t: t.read("pages").select(F.explode(x.leftover_tags(F.col("html"))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(5)

@@ -109,9 +109,17 @@ query("o01_tick_salary_cases", "SELECT job_id, 60000 AS salary_min, 60000 AS sal
 
 
 def discovery_run(t):
+    """One run of discovery over all companies, likewise once a session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, "discovery")
+    if key not in _RUNS:
+        _RUNS[key] = _discovery_run(t)
+    return _RUNS[key]
+
+
+def _discovery_run(t):
     make = t.spark.createDataFrame
     v = tick.Versions(t.spark, shared_folder(t.spark, "discovery"))
-    v.put("companies", t.companies.select(F.col("company_id").cast("string").alias("company_id"), "legal_name", "careers_url", "ats_provider", "is_active").limit(20))
+    v.put("companies", t.companies.select(F.col("company_id").cast("string").alias("company_id"), "legal_name", "careers_url", "ats_provider", "is_active"))
     v.put("discovered_slugs", make([("lever", "known", "old", "promoted")], "provider string, slug string, discovery_source string, status string"))
     done = tick.run_steps(tick.discovery_steps(
         v, make([("Acme Inc",), ("Acme INC",)], "name string"), make([("https://jobs.lever.co/acme", ""), ("", "nothing")], "redirect string, page string"),
