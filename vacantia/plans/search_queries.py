@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacantia.operators import search as s
+from vacantia.operators import trigram_index
 from vacantia.plans.registry import query
+from vacantia.streaming.tick import shared_folder
 
 COLS = ("job_id", "title", "company_name", "status", "compliance_score", "first_seen_at")
 NAMES = ", ".join(COLS)
@@ -44,6 +46,18 @@ query("t01_page", f"SELECT {NAMES} FROM jobs_v WHERE status = 'active' ORDER BY
 query("t02_trigram_search", f"""
 SELECT {NAMES} FROM jobs_v WHERE title ILIKE '%automobile%' OR company_name ILIKE '%automobile%'
 ORDER BY least({distance('title', "'automobile'")}, {distance('company_name', "'automobile'")}) NULLS LAST, first_seen_at DESC, job_id LIMIT 100""")(lambda t: s.page(s.search(t.jobs, q="automobile"), 100, q="automobile").select(*COLS))
+
+
+def by_index(t, q: str):
+    """The same page by an index of trigrams, written once for the table."""
+    path = f"{shared_folder(t.spark, 'trigrams')}/jobs"
+    trigram_index.write(t.jobs, path, "job_id", "title", "company_name")
+    return trigram_index.page(s.search(t.jobs, status="active"), t.spark.read.parquet(path), q, 100, 20).select(*COLS)
+
+
+query("t02_indexed_search", f"""
+SELECT {NAMES} FROM jobs_v WHERE status = 'active'
+ORDER BY least({distance('title', "'urgent mobile 00012'")}, {distance('company_name', "'urgent mobile 00012'")}) NULLS LAST, first_seen_at DESC, job_id LIMIT 100 OFFSET 20""")(lambda t: by_index(t, "urgent mobile 00012"))
 query("t02_trigram_companies", f"SELECT company_id, legal_name FROM companies_v WHERE is_active AND legal_name ILIKE '%12%' ORDER BY {distance('legal_name', "'12'")}, signal_score DESC, company_id LIMIT 40")(
     lambda t: s.rank_companies(s.companies(t.companies, is_active=True, q="12"), 40, "12").select("company_id", "legal_name")
 )

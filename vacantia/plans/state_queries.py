@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from vacantia.operators import state as s
 from vacantia.plans.bindings import AS_OF, MID, Tables
 from vacantia.plans.registry import query
+from vacantia.streaming.keyed_state import KeyedState
+from vacantia.streaming.tick import shared_folder
 
 M = f"TIMESTAMP '{MID}'"
 STATUS = f"""CASE WHEN status <> 'expired' AND (verification_failures >= 3 OR coalesce(availability_status = 'expired', false) OR coalesce(last_verified_at < {M} - INTERVAL 30 DAY, false)) THEN 'expired'
@@ -42,29 +44,45 @@ def old_new(t: Tables):
     return tuple(t.spark.sql(text.replace("jobs_v", "{jobs}"), jobs=t.jobs) for text in (OLD, NEW))
 
 
-query("d01_job_merge", f"""
+D01 = f"""
 WITH o AS ({OLD}), n AS ({NEW})
 SELECT coalesce(o.job_id, n.job_id) AS job_id, coalesce(o.company_id, n.company_id) AS company_id, coalesce(o.source, n.source) AS source, {", ".join(f"CASE WHEN n.job_id IS NOT NULL THEN n.{c} ELSE o.{c} END AS {c}" for c in ("title", "job_fingerprint", "status", "compliance_status", "last_seen_at"))},
   least(o.first_seen_at, n.first_seen_at) AS first_seen_at, o.verification_failures
-FROM o FULL JOIN n ON o.job_id = n.job_id""", "jobs_v")(lambda t: s.merged_jobs(*old_new(t)))
+FROM o FULL JOIN n ON o.job_id = n.job_id"""
+query("d01_job_merge", D01, "jobs_v")(lambda t: s.merged_jobs(*old_new(t)))
+
+
+def bucketed(t: Tables, keys: list[str], old, new, rule):
+    """A stored table in buckets of its keys, of which only those that a batch touches are read and rewritten."""
+    table = KeyedState(t.spark, f"{shared_folder(t.spark, 'bucketed')}/state", old.schema, keys, n_buckets=64)
+    table.merge(old, lambda before, rows: rows)
+    table.merge(new, rule, "batch", 0)
+    return table.read()
+
+
+query("d01_bucketed_merge", D01, "jobs_v")(lambda t: bucketed(t, ["job_id"], *old_new(t), s.merged_jobs))
 query("d02_snapshots", f"WITH o AS ({OLD}), n AS ({NEW}) SELECT o.* FROM o JOIN n ON o.job_id = n.job_id WHERE o.title IS DISTINCT FROM n.title OR o.job_fingerprint IS DISTINCT FROM n.job_fingerprint", "jobs_v")(lambda t: s.snapshots(*old_new(t)))
 query("d02_snapshots_repeated", f"WITH o AS ({OLD}), n AS ({NEW}) SELECT o.job_id, o.title, TIMESTAMP '{AS_OF}' AS captured_at FROM o JOIN n ON o.job_id = n.job_id WHERE o.title IS DISTINCT FROM n.title OR o.job_fingerprint IS DISTINCT FROM n.job_fingerprint", "jobs_v")(
     # Every job arrives three times; what it was before is kept once.
     lambda t: (lambda old, new: s.snapshots(old, new.union(new).union(new), captured_at=AS_OF).select("job_id", "title", "captured_at"))(*old_new(t))
 )
 SRC = "source, source_job_id, job_id, first_seen_at, last_seen_at, seen_count"
-query("d03_source_merge", f"""
+D03 = f"""
 WITH o AS (SELECT source, source_job_id, min(job_id) AS job_id, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at, max(seen_count) AS seen_count FROM job_sources_v WHERE seen_count <= 3 GROUP BY ALL),
 n AS (SELECT source, source_job_id, min('x' || job_id) AS job_id, min(first_seen_at) AS first_seen_at, max(last_seen_at) + INTERVAL '9' DAY AS last_seen_at, count(*) AS m FROM job_sources_v WHERE seen_count >= 3 GROUP BY ALL)
 SELECT coalesce(o.source, n.source) AS source, coalesce(o.source_job_id, n.source_job_id) AS source_job_id, coalesce(n.job_id, o.job_id) AS job_id, least(o.first_seen_at, n.first_seen_at) AS first_seen_at,
   coalesce(n.last_seen_at, o.last_seen_at) AS last_seen_at, CAST(coalesce(o.seen_count, 0) + coalesce(n.m, 0) AS INTEGER) AS seen_count
-FROM o FULL JOIN n ON o.source = n.source AND o.source_job_id = n.source_job_id""", "job_sources_v")(
-    lambda t: s.merged_sources(
-        t.job_sources.filter("seen_count <= 3").groupBy("source", "source_job_id").agg(F.min("job_id").alias("job_id"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.max("seen_count").alias("seen_count")),
-        t.job_sources.filter("seen_count >= 3").withColumns({"job_id": F.concat(F.lit("x"), "job_id"), "last_seen_at": F.col("last_seen_at") + F.expr("INTERVAL 9 DAYS")}),
-        F.col("last_seen_at"),
-    )
-)
+FROM o FULL JOIN n ON o.source = n.source AND o.source_job_id = n.source_job_id"""
+
+
+def sightings(t: Tables):
+    """Stored and incoming sources of jobs."""
+    stored = t.job_sources.filter("seen_count <= 3").groupBy("source", "source_job_id").agg(F.min("job_id").alias("job_id"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.max("seen_count").alias("seen_count"))
+    return stored, t.job_sources.filter("seen_count >= 3").withColumns({"job_id": F.concat(F.lit("x"), "job_id"), "last_seen_at": F.col("last_seen_at") + F.expr("INTERVAL 9 DAYS")})
+
+
+query("d03_source_merge", D03, "job_sources_v")(lambda t: s.merged_sources(*sightings(t), F.col("last_seen_at")))
+query("d03_bucketed_merge", D03, "job_sources_v")(lambda t: bucketed(t, ["source", "source_job_id"], *sightings(t), lambda old, new: s.merged_sources(old, new, F.col("last_seen_at"))))
 query("j16_canonical_resolution", """
 WITH stored AS (SELECT * FROM jobs_v WHERE k % 2 = 0), mapped AS (SELECT source, source_job_id, min(job_id) AS s FROM job_sources_v WHERE seen_count = 1 GROUP BY ALL),
 i AS (SELECT k AS position, concat('in', job_id) AS job_id, concat(job_fingerprint, CASE WHEN k % 3 = 0 THEN '#' ELSE '' END) AS job_fingerprint, concat('src', CAST(k % 7 AS VARCHAR(10))) AS source, concat(job_id, '-1') AS source_job_id FROM jobs_v WHERE k % 2 = 1),
