@@ -7,8 +7,8 @@ every suffix of the benchmark's items is binary-searched in it. Where it lands t
    row the nearer one is the longest match of that place of a document;
  * the range that begins with its first words (a window of them) lists all occurrences of that window.
 
-No document is shuffled. A pass over the documents serves a block of items of bounded size; what a pass
-has found is written before the next block is searched. A window that many items share is searched
+With a benchmark of one block no document is shuffled. A larger one takes a pass over the documents for each
+block of items of bounded size; passes write what they find by a key of the row, and meet in one join. A window that many items share is searched
 once and keeps the list of its items.
 
 Nulls: a null text has no words; a null item id is searched like others but not listed. Empty items
