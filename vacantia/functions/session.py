@@ -10,12 +10,29 @@ from pyspark.sql import SparkSession
 
 from vacantia.functions import classify
 from vacantia.functions.text import quote
+from vacantia.sources.discovery import GUESSES, SUFFIXES
 
 
 def _any(column: str, phrases) -> str:
     return f"{column} RLIKE r'{'|'.join(map(quote, phrases))}'"
 
 
+def _word(column: str, phrases) -> str:
+    return rf"{column} RLIKE r'\b(?:{'|'.join(map(quote, phrases))})\b'"
+
+
+def _rule(column: str, rules) -> str:
+    """The result of the first rule of which some word stands in the text."""
+    return "CASE " + " ".join(f"WHEN {_word(column, words)} THEN '{result}'" for words, result in rules) + " ELSE 'unknown' END"
+
+
+def _plain_title() -> str:
+    sql = "lower(coalesce(title, ''))"
+    for source, target in classify.SYNONYMS:
+        sql = rf"regexp_replace({sql}, r'\b{quote(source)}\b', '{target}')"
+    return sql
+
+
 #: SQL of white space stripped at both ends.
 _STRIPPED = r"regexp_replace(coalesce(value, ''), r'(?U)^\s+|\s+$', '')"
 
@@ -38,11 +55,26 @@ FUNCTIONS = (
     ("in_euros", "amount DOUBLE, code STRING", "DOUBLE", "nullif(amount, 0) * CASE upper(code) " + " ".join(f"WHEN '{code}' THEN {rate}D" for code, rate in classify.EUROS.items()) + " END"),
     ("salary_transparency", "description STRING, detected BOOLEAN", "STRING",
      f"CASE WHEN detected THEN 'disclosed' WHEN coalesce(description, '') = '' THEN 'unknown' WHEN {_any('lower(description)', classify.TRANSPARENCY)} THEN 'transparent_statement' ELSE 'not_disclosed' END"),
+    ("family_of_words", "value STRING", "STRING", _rule("lower(coalesce(value, ''))", classify.FAMILIES)),
+    ("job_family", "title STRING, department STRING", "STRING", "coalesce(nullif(family_of_words(department), 'unknown'), family_of_words(title))"),
+    ("job_role", "title STRING, department STRING", "STRING", "CASE job_family(title, department) " + " ".join(f"WHEN '{name}' THEN {_rule('lower(title)', rules)}" for name, rules in classify.ROLES.items()) + " ELSE 'unknown' END"),
+    ("job_seniority", "title STRING", "STRING", _rule("lower(coalesce(title, ''))", classify.SENIORITIES)),
+    ("job_specialization", "title STRING", "STRING", _rule(_plain_title(), classify.SPECIALIZATIONS)),
+)
+_CLEAN = r"regexp_replace(regexp_replace(lower(coalesce(name, '')), r'\b(inc|llc|ltd|gmbh|corp|co|limited|group)\b\.?', ''), r'(?U)^\s+|\s+$', '')"
+#: Table functions: name, parameters, columns and the query that a call stands for.
+TABLES = (
+    ("slug_guesses", "name STRING", "place INT, slug STRING", rf"""
+SELECT posexplode(slice(array_distinct(concat(bases, flatten(transform(array({', '.join(f"'{x}'" for x in SUFFIXES)}), s -> flatten(transform(bases, b -> array(concat(b, s), concat(b, '-', s)))))))), 1, {GUESSES}))
+FROM (SELECT filter(array_distinct(array(regexp_replace(regexp_replace(regexp_replace(clean, r'[^a-z0-9\s_]+', ''), r'[\s_]+', '-'), r'^-+|-+$', ''), regexp_replace(clean, r'[^a-z0-9]+', ''))), b -> b <> '') AS bases
+  FROM (SELECT coalesce(nullif({_CLEAN}, ''), lower(coalesce(name, ''))) AS clean))"""),
 )
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """The session with the FUNCTIONS, which replace functions of its own that have their names."""
+    """The session with the FUNCTIONS and TABLES, which replace functions of its own that have their names."""
     for name, parameters, kind, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
+    for name, parameters, columns, body in TABLES:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE({columns}) RETURN {body}")
     return spark

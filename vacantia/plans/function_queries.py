@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from vacantia.functions import classify, session
-from vacantia.plans.registry import query
+from vacantia.plans.posted_queries import NAMED
+from vacantia.plans.registry import ORACLES, query
 from vacantia.plans.rule_queries import POSTINGS, parts, words
 from vacantia.plans.table_queries import rows
 from vacantia.plans.text_queries import NORM
@@ -41,3 +42,11 @@ SELECT job_id, is_hard_geo(description) AS hard_geo, compliance_score(remote_cla
   in_euros(salary_min_eur, text_currency(pay)) AS eur, salary_transparency(description, k % 2 = 0) AS transparency
 FROM (SELECT *, CASE WHEN k % 3 = 0 THEN '$100' WHEN k % 3 = 1 THEN '100 Zloty' ELSE 'nothing' END AS pay FROM {jobs})""", jobs=rows(t, RULED))
 )
+ORACLES["udf_taxonomy"] = ORACLES["c09_taxonomy_rows"]
+query("udf_taxonomy")(
+    lambda t: session.register(t.spark).sql("SELECT job_id, job_family(title, department) AS job_family, job_role(title, department) AS job_role, job_seniority(title) AS seniority, job_specialization(title) AS specialization FROM {jobs}", jobs=rows(t, POSTINGS))
+)
+ORACLES["udtf_slug_guesses"] = ORACLES["s23_guess_rows"]
+query("udtf_slug_guesses")(
+    lambda t: session.register(t.spark).sql("SELECT company_id, array_join(transform(array_sort(collect_list(struct(g.place, g.slug))), x -> x.slug), ',') AS guesses FROM {names} n, LATERAL slug_guesses(n.name) g GROUP BY company_id", names=rows(t, NAMED))
+)
