@@ -98,3 +98,12 @@ def _way_in(t):
     told = done.select("job_id", F.md5(F.col("description").cast("binary")).alias("description"), "salary_min", "salary_max", "salary_source", "salary_transparency_status")
     scoring = F.get(F.filter("v", lambda s: s["step"] == "scoring"), 0)
     return told.join(report, "job_id").select(*told.columns, F.size("v").alias("n_steps"), F.coalesce(F.array_join(scoring["penalties"], ","), F.get("v", 0)["result"]).alias("against"), "hard_geo_flag")
+
+
+query("k04_report_rows", f"""
+WITH l AS (SELECT *, k % 5 = 2 AS hard, k % 2 = 0 AS far, k % 4 < 2 AS near FROM ({LANDED}))
+SELECT job_id, sha256(concat_ws('|', 'c-1', lower(title), lower(remote_scope))) AS job_uid, 'v1' AS policy_version, CASE WHEN hard THEN 'unknown' WHEN far THEN 'remote_only' ELSE 'non_remote' END AS remote_class,
+  CASE WHEN hard OR NOT near THEN 'non_eu' ELSE 'eu_member_state' END AS geo_class, hard AS hard_geo_flag, CAST(CASE WHEN far AND near AND NOT hard THEN 100 ELSE 0 END AS INTEGER) AS base_score, CAST(NULL AS VARCHAR) AS penalties, CAST(NULL AS VARCHAR) AS bonuses,
+  CAST(CASE WHEN far AND near AND NOT hard THEN 100 ELSE 0 END AS INTEGER) AS final_score, CASE WHEN far AND near AND NOT hard THEN 'approved' ELSE 'rejected' END AS final_status, CASE WHEN hard THEN 'geo_restriction_hard' END AS policy_reason FROM l""", "jobs_v")(
+    lambda t: ingest.compliance_reports(ingest.process(rows(t, LANDED.replace("chr(195), chr(188)", "'Ã', '¼'")), "v1")).drop("decision_vector")
+)
