@@ -215,7 +215,8 @@ def _numbered(column: Column) -> Column:
 def unescaped(column: Column) -> Column:
     """Character references decoded once, as the standard has them: no second reading of what a decoded & makes."""
     one = lambda p: F.when(p.startswith("&#"), F.coalesce(_numbered(p), p)).when(p.startswith("&"), F.coalesce(_named(p), p)).otherwise(p)
-    return F.when(column.contains("&"), F.array_join(F.transform(F.split(column, r"(?=&)"), one), "")).otherwise(column)
+    whole = lambda c: F.when(c.contains("&"), F.array_join(F.transform(F.split(c, r"(?=&)"), one), "")).otherwise(c)
+    return F.get(F.transform(F.array(column), whole), 0)  # the column is worked out once
 
 
 def markdown(column: Column) -> Column:
