@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import classify
 from vacantia.functions.classify import hard_geo, remote_model, resolution
+from vacantia.functions.columns import let as _let
 from vacantia.functions.text import collapse, quote, strip, text_or_empty, unescaped
 
 # Fixed values.
@@ -134,11 +135,6 @@ def localization(description: Column) -> Column:
     return F.lower(F.when(html != "", collapse(unescaped(F.regexp_replace(html, "<[^>]+>", " ")))).when(inline != "", collapse(inline)).otherwise(collapse(below)))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def geography(title: Column, description: Column, scope: Column) -> Column:
     """struct(geo_class, geo_reason). What scope and title say comes first; the description is only read where
     they say nothing, list by list, and each list only where none before it has a phrase."""
