@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import classify
 from vacantia.functions.classify import hard_geo, remote_model, resolution
 from vacantia.functions.columns import let as _let
-from vacantia.functions.text import collapse, quote, strip, text_or_empty, unescaped
+from vacantia.functions.text import collapse, one_of, strip, text_or_empty, unescaped
 
 # Fixed values.
 MEMBERS = [
@@ -76,7 +76,7 @@ OTHER_PLACES = [
 
 
 def _alone(phrases) -> str:
-    return r"(?<![a-z0-9])(?:" + "|".join(map(quote, phrases)) + r")(?![a-z0-9])"
+    return r"(?<![a-z0-9])(?:" + one_of(phrases) + r")(?![a-z0-9])"
 
 
 def _has(text: Column, phrases) -> Column:
@@ -89,7 +89,7 @@ def _first(text: Column, phrases, *more: Column) -> Column:
     One pass of one constant pattern over a text: where a word may begin, it looks ahead for the phrases in
     the list's order, so that of those that begin there it names the first, and hides none that begins later.
     """
-    pattern = F.lit(r"(?<![a-z0-9])(?=(" + "|".join(map(quote, phrases)) + r")(?![a-z0-9]))")
+    pattern = F.lit(r"(?<![a-z0-9])(?=(" + one_of(phrases) + r")(?![a-z0-9]))")
     found = [F.regexp_extract_all(t, pattern, 1) for t in (text, *more)]
     found = F.concat(*found) if more else found[0]
     listed = F.array(*map(F.lit, phrases))

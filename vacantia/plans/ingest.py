@@ -13,6 +13,12 @@ SURE = 80
 _FOUND = ("salary_min", "salary_max", "salary_currency", "salary_period")
 
 
+def spread(postings: DataFrame) -> DataFrame:
+    """postings over all cores: a batch may come in one file, and its rows take long to process."""
+    spark = postings.sparkSession
+    return postings.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def process(postings: DataFrame, policy_version: str) -> DataFrame:
     """postings with identity, compliance, taxonomy, salary, transparency and quality.
 

@@ -58,9 +58,9 @@ def whole_tick(t) -> tuple[tick.Versions, list[tick.Outcome]]:
     v.put("compliance_reports", v.get("compliance_reports").withColumn("job_uid", F.col("job_id")))
     v.put("daily_stats", market.daily_stats(t.jobs, t.job_sources, "1998-05-31"))
     v.put("segments", market.country_segments(t.jobs, "1998-05-31"))
-    arriving = rows(t, ARRIVING)
-    known = ingest.process(arriving, "v1").drop("payload", "k")
-    known = common_cut(v, "processed", known.union(known.filter(F.col("job_id").cast("long") % 2 == 1)))
+    arriving = ingest.spread(rows(t, ARRIVING))
+    known = common_cut(v, "processed", ingest.process(arriving, "v1").drop("payload", "k"))
+    known = known.union(known.filter(F.col("job_id").cast("long") % 2 == 1))
     probes = t.jobs.filter("k % 3 = 0").select("job_id", F.lit("active").alias("availability_status"), F.lit(MID).cast("timestamp_ntz").alias("verified_at"), F.lit(False).alias("failure"))
     departments = t.jobs.select("job_id", F.lit("found").alias("department"))
     _RUNS[key] = v, tick.run_steps(tick.tick_steps(v, MID, DAY, known, t.job_sources.filter("seen_count = 3"), probes, "v1", departments))
