@@ -40,3 +40,25 @@ def test_tick_processes_each_posting_once_over_all_cores(spark):
     processed = tick_queries.whole_tick(Tables(spark, FOLDER))[0].get("processed")
     assert processed.count() == processed.select("job_id").distinct().count()
     assert ingest.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_late_sighting_keeps_the_later_one(spark):
+    kind = "source string, source_job_id string, job_id string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, seen_count int"
+    make = lambda job, first, last: spark.sql(f"SELECT 's' AS source, '1' AS source_job_id, '{job}' AS job_id, TIMESTAMP_NTZ '{first}' AS first_seen_at, TIMESTAMP_NTZ '{last}' AS last_seen_at, 1 AS seen_count")
+    merged = spark.createDataFrame([], kind)
+    for batch in (make("a", "2000-01-02", "2000-01-09"), make("b", "2000-01-01", "2000-01-05"), make("c", "2000-01-03", "2000-01-09")):
+        merged = state.merged_sources(merged, batch, F.col("last_seen_at"), late=True)
+    assert [(r.job_id, str(r.first_seen_at), str(r.last_seen_at), r.seen_count) for r in merged.collect()] == [("c", "2000-01-01 00:00:00", "2000-01-09 00:00:00", 3)]
+
+
+@tables
+def test_stream_of_many_files_gives_what_one_merge_does(spark, tmp_path):
+    # One source's sightings stand in files of their own, of which the later named one is the earlier sighting.
+    spark.sql("SELECT 's' AS source, '1' AS source_job_id, 'a' AS job_id, TIMESTAMP_NTZ '2000-01-01' AS first_seen_at, TIMESTAMP_NTZ '2000-01-01' + make_dt_interval(10 - id) AS last_seen_at, 2 AS seen_count FROM range(3) ORDER BY id").repartitionByRange(3, F.desc("last_seen_at")).createOrReplaceTempView("sightings_r04")
+
+    class Sightings(Tables):
+        job_sources = spark.table("sightings_r04")
+
+    from vacantia.plans.discovery_queries import stream
+
+    assert [(str(r.last_seen_at), r.seen_count) for r in stream(Sightings(spark, FOLDER)).collect()] == [("2000-01-11 00:00:00", 3)]

@@ -114,21 +114,23 @@ def snapshots(old: DataFrame, incoming: DataFrame, watched=("job_fingerprint", "
     return out if captured_at is None else out.withColumn("captured_at", now(captured_at))
 
 
-def merged_sources(old: DataFrame, incoming: DataFrame, order: Column | None = None) -> DataFrame:
+def merged_sources(old: DataFrame, incoming: DataFrame, order: Column | None = None, late: bool = False) -> DataFrame:
     """Upsert of (source, source_job_id): latest job, earliest first sight, one more sighting for each row of
-    the batch, whose rows count in `order` (as they are read)."""
+    the batch, whose rows count in `order` (as they are read). A batch comes after what is stored, unless it may
+    be late: then the order decides there too, and a stored job and last sight that are later stay."""
     keys = ["source", "source_job_id"]
     rows = incoming.withColumn("__order", F.monotonically_increasing_id() if order is None else order)
-    last = F.max_by(F.struct("job_id", "last_seen_at"), F.struct("__order")).alias("last")  # a struct: rows without an order count, as the first
+    last = F.max_by(F.struct("job_id", "last_seen_at", "__order"), F.struct("__order")).alias("last")  # a struct: rows without an order count, as the first
     rows = rows.groupBy(*keys).agg(last, F.min("first_seen_at").alias("__first_seen_at"), F.count(F.lit(1)).alias("__n"))
-    new = rows.select(*keys, "__first_seen_at", "__n", F.col("last.job_id").alias("__job_id"), F.col("last.last_seen_at").alias("__last_seen_at"))
-    out = old.join(new, keys, "full_outer")
+    new = rows.select(*keys, "__first_seen_at", "__n", F.col("last.job_id").alias("__job_id"), F.col("last.last_seen_at").alias("__last_seen_at"), F.struct("last.__order").alias("__order"))
+    out = (old.withColumn("__stored", F.struct(order)) if late else old).join(new, keys, "full_outer")
     arrived, known = F.col("__n").isNotNull(), F.col("job_id").isNotNull()
+    stays = arrived & known & (F.col("__stored") > F.col("__order")) if late else F.lit(False)
     return out.select(
         *keys,
-        F.coalesce("__job_id", "job_id").alias("job_id"),
+        F.when(stays, F.col("job_id")).otherwise(F.coalesce("__job_id", "job_id")).alias("job_id"),
         F.least("first_seen_at", "__first_seen_at").alias("first_seen_at"),
-        F.coalesce("__last_seen_at", "last_seen_at").alias("last_seen_at"),
+        F.when(stays, F.col("last_seen_at")).otherwise(F.coalesce("__last_seen_at", "last_seen_at")).alias("last_seen_at"),
         (F.when(known, F.col("seen_count")).otherwise(0) + F.when(arrived, F.col("__n")).otherwise(0)).cast("int").alias("seen_count"),
     )
 

@@ -58,10 +58,11 @@ SOURCE_KEYS = ["source", "source_job_id"]
 
 def stream(t):
     """Sources of jobs arrive in three files, and the stream is stopped and started again between them: its state,
-    of which each batch rewrites only the buckets it touches, is what one merge would give."""
+    of which each batch rewrites only the buckets it touches, is what one merge would give. A landing may be several
+    files, whose sightings of one source come in any order."""
     folder = tick.shared_folder(t.spark, "tick")
     rows = t.job_sources
-    merge = lambda before, batch: state.merged_sources(before, batch, F.col("last_seen_at"))
+    merge = lambda before, batch: state.merged_sources(before, batch, F.col("last_seen_at"), late=True)
     start = merge(rows.limit(0), rows.filter("seen_count = 1"))
     for k in range(3):
         # Each run makes its state anew from the folder, as a restarted driver would.
