@@ -10,6 +10,7 @@ from vacantia.functions import classify
 from vacantia.operators import state
 from vacantia.plans import ingest, tick_queries
 from vacantia.plans.bindings import Tables
+from vacantia.sources import boards
 
 FOLDER = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no test tables")
@@ -62,3 +63,12 @@ def test_stream_of_many_files_gives_what_one_merge_does(spark, tmp_path):
     from vacantia.plans.discovery_queries import stream
 
     assert [(str(r.last_seen_at), r.seen_count) for r in stream(Sightings(spark, FOLDER)).collect()] == [("2000-01-11 00:00:00", 3)]
+
+
+@pytest.mark.parametrize("provider", ["jobadder", "smartrecruiters", "workable", "traffit"])
+def test_board_payload_is_read_once(spark, provider):
+    # Filters on the posting don't read the payload again; beside it, texts that are JSON themselves may be read.
+    raw = spark.createDataFrame([("s", "{"), ("s", None)], "slug string, payload string")
+    posted = boards.normalise(raw, provider, "2024-06-01")
+    assert optimised(posted).count("from_json(StructField(" + boards.PROVIDERS[provider][0].split()[0]) == 1
+    assert posted.count() == 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import text as x
 from vacantia.functions.classify import ats_salary
-from vacantia.functions.columns import now
+from vacantia.functions.columns import let, now
 
 PAY = "map<string,string>"
 
@@ -140,8 +140,8 @@ def _teamtailor() -> dict[str, Column]:
 def _traffit() -> dict[str, Column]:
     fields = F.map_from_entries(F.transform(F.filter(_col("advert.values"), lambda v: v["field_id"].isNotNull()), lambda v: F.struct(v["field_id"], F.coalesce(v["value"], F.lit("")))))
     field = lambda k: F.try_element_at(fields, F.lit(k))
-    blob = lambda c: F.from_json(c, "locality string, region1 string, country string")
-    town = lambda c: F.nullif(F.concat_ws(", ", *[_filled(blob(c)[k]) for k in ("locality", "region1", "country")]), F.lit(""))
+    named = lambda b: F.nullif(F.concat_ws(", ", *[_filled(b[k]) for k in ("locality", "region1", "country")]), F.lit(""))
+    town = lambda c: let(F.from_json(c, "locality string, region1 string, country string"), named)
     place = F.coalesce(town(_col("options.job_location")), town(field("geolocation")), F.lit(""))
     far = F.coalesce(_col("options.remote").isin("1", "true"), F.lit(False))
     body = x.described((field("description"), None), (field("requirements"), "Requirements"), (field("responsibilities"), "Responsibilities"), (field("what_we_offer"), "What we offer"))
@@ -191,7 +191,8 @@ def normalise(raw: DataFrame, provider: str, received_at: str) -> DataFrame:
     """Canonical postings of a provider's payloads, which they keep: raw has (slug, payload). Postings without an
     id or title, or (where the provider has addresses) without one, go; one without a time gets received_at."""
     schema, projection = PROVIDERS[provider]
-    parsed = raw.select("slug", "payload", F.from_json("payload", schema).alias("p"))
+    # Out of an array of one the payload is read once: what is asked of `p` below isn't put in terms of the payload.
+    parsed = raw.select("slug", "payload", F.explode(F.array(F.from_json("payload", schema))).alias("p"))
     out = parsed.select(*[c.alias(n) for n, c in projection().items()], "payload")
     addressed = F.lit(True) if provider in ("personio", "recruitee") else F.coalesce(F.col("source_url"), F.lit("")) != ""
     kept = out.filter(F.col("source_job_id").isNotNull() & (F.col("title") != "") & addressed)
