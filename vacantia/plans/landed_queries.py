@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vacantia.plans import ingest
 from vacantia.plans.registry import query
 from vacantia.plans.table_queries import rows
 from vacantia.sources import archives, boards, discovery, landed
@@ -13,6 +14,8 @@ from vacantia.streaming.tick import shared_folder
 POSTED = """SELECT k, job_id, CASE CAST(k % 3 AS INT) WHEN 0 THEN 'workable' WHEN 1 THEN 'smartrecruiters' ELSE 'jobadder' END AS provider, concat('board-', CAST(CAST(floor(k / 3) AS BIGINT) % 5 AS VARCHAR(5))) AS slug,
   CAST(CAST(floor(k / 15) AS BIGINT) % 4 AS INT) AS page, title FROM jobs_v"""
 FAILS = "slug = 'board-4'"
+#: Postings of a page stand in responses of no more than so many each, so that no response grows with the tables.
+RESPONSE = 1000
 #: Details of a seventh are missing, and jobadder has none.
 DETAILED = "provider <> 'jobadder' AND k % 7 <> 0"
 
@@ -23,7 +26,9 @@ def _land(t, folder: str) -> None:
     own = own.when(F.col("provider") == "smartrecruiters", F.to_json(F.struct(F.col("job_id").alias("id"), F.col("title").alias("name"), F.lit("2024-05-01").alias("releasedDate"), F.struct(F.lit("Porto").alias("city")).alias("location"))))
     own = own.otherwise(F.to_json(F.struct(F.col("k").alias("adId"), "title", F.lit("text").alias("description"), F.lit("2024-05-01").alias("postedAt"))))
     place = F.create_map(*[F.lit(x) for p in ("workable", "smartrecruiters", "jobadder") for x in (p, landed.LISTS[p])])
-    pages = posted.withColumn("own", own).groupBy("provider", "slug", "page").agg(F.array_join(F.collect_list("own"), ",").alias("items"))
+    # Of the keys in a span of so many times 60, one in 60 (3 providers, 5 boards, 4 pages) is of one page.
+    response = F.floor(F.col("k") / (60 * RESPONSE))
+    pages = posted.withColumn("own", own).groupBy("provider", "slug", "page", response.alias("response")).agg(F.array_join(F.collect_list("own"), ",").alias("items"))
     body = F.concat(F.lit('{"'), F.try_element_at(place, F.col("provider")), F.lit('": ['), F.col("items"), F.lit("]}"))
     failed = F.col("slug") == "board-4"
     status = F.when(failed & (F.col("provider") == "workable"), 404).when(failed & (F.col("provider") == "smartrecruiters"), 503).otherwise(200)
@@ -34,7 +39,7 @@ def _land(t, folder: str) -> None:
     detail = detail.otherwise(F.to_json(F.struct(F.concat("title", F.lit("!")).alias("name"), F.struct(F.struct(F.struct(F.lit("Job").alias("title"), F.lit("Do").alias("text")).alias("jobDescription")).alias("sections")).alias("jobAd"))))
     there = F.col("k") % 7 != 0
     details = posted.filter("provider <> 'jobadder'").filter(~failed).select(envelope("detail", F.col("job_id"), F.when(there, 200).otherwise(500), F.lit(False), F.when(there, detail)).alias("value"))
-    lists.union(details).repartition(6).write.text(folder)
+    ingest.spread(lists.union(details)).write.text(folder)
 
 
 def read(t):

@@ -122,23 +122,32 @@ def _splits(files: list[tuple[str, int]]) -> list[_Files]:
     return [_Files(names) for names in out]
 
 
+def _lines(stream) -> Iterator[bytes]:
+    """A file's lines; a long one is put together once, however many reads it takes."""
+    pieces: list[bytes] = []
+    while chunk := stream.read(1 << 20):
+        first, *more = chunk.split(b"\n")
+        pieces.append(first)
+        if more:
+            yield b"".join(pieces)
+            yield from more[:-1]
+            pieces = [more[-1]]
+    yield b"".join(pieces)
+
+
 def _read(folder: str, partition: _Files) -> Iterator[pa.RecordBatch]:
     system, path = _filesystem(folder)
     waiting: list[tuple] = []
     batch = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*waiting, strict=True), _ARROW, strict=True)], schema=_ARROW)
     for name in partition.files:
         with system.open_input_stream(f"{path}/{name}") as stream:
-            rest = b""
-            while chunk := stream.read(1 << 20):
-                *lines, rest = (rest + chunk).split(b"\n")
-                for line in lines:
-                    if line.strip():
-                        waiting += rows_of(line.decode("utf-8", "replace"), name)
+            for line in filter(bytes.strip, _lines(stream)):
+                # A response of many postings goes on in several batches.
+                for row in rows_of(line.decode("utf-8", "replace"), name):
+                    waiting.append(row)
                     if len(waiting) >= BATCH_ROWS:
                         yield batch()
                         waiting = []
-            if rest.strip():
-                waiting += rows_of(rest.decode("utf-8", "replace"), name)
     if waiting:
         yield batch()
 
