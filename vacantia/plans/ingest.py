@@ -60,13 +60,13 @@ def process(postings: DataFrame, policy_version: str) -> DataFrame:
 _STRUCTURED = "struct<salary_min:double,salary_max:double,salary_currency:string,salary_period:string,salary_source:string,salary_min_eur:double,salary_max_eur:double>"
 
 
-def compliance_reports(processed: DataFrame) -> DataFrame:
-    """The reports of processed postings, one for each and policy version, with the decision's steps. Nothing
-    is taken off or added to a score apart from its classes, so penalties and bonuses stay empty."""
+def compliance_reports(processed: DataFrame, *more: str) -> DataFrame:
+    """The reports of processed postings, one for each and policy version, with the decision's steps and more of the
+    postings' columns. Nothing is taken off or added to a score apart from its classes, so penalties and bonuses stay empty."""
     return processed.select(
         "job_id", "job_uid", "policy_version", "remote_class", "geo_class", (F.coalesce("policy_reason", F.lit("")) == "geo_restriction_hard").alias("hard_geo_flag"),
         F.col("compliance_score").alias("base_score"), F.lit(None).cast("string").alias("penalties"), F.lit(None).cast("string").alias("bonuses"),
-        F.col("compliance_score").alias("final_score"), F.col("compliance_status").alias("final_status"), F.to_json("decision_trace").alias("decision_vector"), "policy_reason",
+        F.col("compliance_score").alias("final_score"), F.col("compliance_status").alias("final_status"), F.to_json("decision_trace").alias("decision_vector"), "policy_reason", *more,
     )
 
 

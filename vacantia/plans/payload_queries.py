@@ -93,11 +93,13 @@ FROM d""", "jobs_v")(lambda t: _way_in(t))
 
 
 def _way_in(t):
-    done = ingest.process(rows(t, LANDED.replace("chr(195), chr(188)", "'Ã', '¼'")), "v1")
-    report = ingest.compliance_reports(done.withColumn("job_uid", F.col("job_id"))).select(F.col("job_uid").alias("job_id"), "hard_geo_flag", F.from_json("decision_vector", "array<struct<step:string,result:string,penalties:array<string>>>").alias("v"))
-    told = done.select("job_id", F.md5(F.col("description").cast("binary")).alias("description"), "salary_min", "salary_max", "salary_source", "salary_transparency_status")
+    done = ingest.process(ingest.spread(rows(t, LANDED.replace("chr(195), chr(188)", "'Ã', '¼'"))), "v1")
+    told = ("description", "salary_min", "salary_max", "salary_source", "salary_transparency_status")
+    # Both out of one row: a join of the postings' texts with their reports would process each posting twice.
+    report = ingest.compliance_reports(done.withColumn("description", F.md5(F.col("description").cast("binary"))), *told)
+    report = report.withColumn("v", F.from_json("decision_vector", "array<struct<step:string,result:string,penalties:array<string>>>"))
     scoring = F.get(F.filter("v", lambda s: s["step"] == "scoring"), 0)
-    return told.join(report, "job_id").select(*told.columns, F.size("v").alias("n_steps"), F.coalesce(F.array_join(scoring["penalties"], ","), F.get("v", 0)["result"]).alias("against"), "hard_geo_flag")
+    return report.select("job_id", *told, F.size("v").alias("n_steps"), F.coalesce(F.array_join(scoring["penalties"], ","), F.get("v", 0)["result"]).alias("against"), "hard_geo_flag")
 
 
 query("k04_report_rows", f"""
